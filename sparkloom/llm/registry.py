@@ -6,16 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, tokens
+from . import mixing, pieces, secrets, tokens
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_codes": tokens.op1_token_codes,
         "op4_pieces": pieces.op4_pieces,
+        "op7_secrets": secrets.op7_secrets,
         "op9_mixing": mixing.op9_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.OP9_SQL}
+    return {"op7_secrets": secrets.OP7_SQL, "op9_mixing": mixing.OP9_SQL}
