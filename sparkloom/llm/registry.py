@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, pieces, secrets, tokens
+from . import fingerprints, mixing, pieces, secrets, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,7 +14,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_token_codes": tokens.op1_token_codes,
         "op4_pieces": pieces.op4_pieces,
         "op7_secrets": secrets.op7_secrets,
+        "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_mixing": mixing.op9_mixing,
+        "op10_toxicity": toxicity.op10_toxicity,
     }
 
 
