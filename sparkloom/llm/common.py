@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,17 @@ def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.n
     return data[offs[0] : offs[-1]], offs - offs[0]
 
 
+def slices(batch: pa.RecordBatch, column: str | int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """A batch in slices of about `most` bytes of a string column (a longer text stands alone), so that a task's arrays
+    stay small whatever the rows of a batch hold."""
+    _, offs = string_buffers(batch.column(column))
+    begin = 0
+    while begin < batch.num_rows:
+        stop = max(begin + 1, int(np.searchsorted(offs, offs[begin] + most, "right")) - 1)
+        yield batch.slice(begin, stop - begin)
+        begin = stop
+
+
 def ragged_take(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Concatenate flat[starts[i] : starts[i] + lengths[i]] over all i."""
     ends = np.cumsum(lengths)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, ragged_take, string_buffers
+from .common import documents, ragged_take, slices, string_buffers
 from .tokens import MEMO, distinct_chunks
 
 MARK = "▁"
@@ -99,7 +99,7 @@ def encode_pieces(docs: DataFrame, model: str, text: str = "text", ids: str = "p
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model)
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, text)):
             got, counts = codec.encode(batch.column(batch.schema.get_field_index(text)))
             if end_id is not None:
                 got, counts = _ended(got, counts, end_id)
@@ -122,7 +122,7 @@ def decode_pieces(encoded: DataFrame, model: str, ids: str = "piece_ids", text:
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = PieceCodec(model)
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             flat, counts = _lists(batch.column(batch.schema.get_field_index(ids)))
             kept = [n for n in batch.schema.names if n != text]
             yield pa.RecordBatch.from_arrays([*(batch.column(batch.schema.get_field_index(n)) for n in kept), pa.array(codec.decode(flat, counts), pa.string())], names=[*kept, text])
@@ -142,7 +142,7 @@ def piece_sums(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
     """n_tokens, ids_sha256 (decimal ids joined by one space) and decoded_sha256 of each row."""
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 2)):
             flat, counts = _lists(batch.column(1))
             names = np.char.add(np.arange(int(flat.max()) + 1 if len(flat) else 1).astype(str), " ")
             joined = np.frombuffer("".join(names).encode(), np.uint8)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, ragged_take, scratch_dir, string_buffers
+from .common import documents, ragged_take, scratch_dir, slices, string_buffers, written
 
 #: Bits between two entries of a rank directory.
 RANK_EVERY = 512
@@ -171,7 +171,7 @@ def encode_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, k
             keys.clear(), counts.clear(), ids.clear()
             return pa.RecordBatch.from_pylist([row], SEGMENT)
 
-        for batch in batches:
+        for batch in (x for b in batches for x in slices(b, 1)):
             got, n = end_each(*encoder(batch.column(1)), end_id)
             begin, ends, names = 0, np.cumsum(n), batch.column(0).to_pylist()
             while begin < len(n):
@@ -191,8 +191,9 @@ def encode_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, k
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id").mapInArrow(segments, SEGMENT_DDL).write.parquet(path)
 
 
-def read_tokens(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids of each document, read back from the segments.
+def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 (of the ids as little-endian 32-bit integers) and, if asked for, ids of each
+    document, read back from the segments.
 
     Starts add up over the parts (one row for each part of the written table) and within each part over its segments.
     """
@@ -201,15 +202,20 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     bases = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("base"))
     within = Window.partitionBy("part").orderBy("segment").rowsBetween(Window.unboundedPreceding, -1)
     begins = table.select("part", "segment", F.coalesce(F.sum("n_tokens").over(within), F.lit(0)).alias("ahead")).join(bases, "part").select("part", "segment", (F.col("base") + F.col("ahead")).alias("base"))
+    begins = written(begins)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for x in batch.to_pylist():
-                ids, ends = Codes.loaded(x["levels"]).decode(), np.array(x["ends"], np.int64)
-                begins = np.concatenate([[0], ends[:-1]])
-                yield pa.RecordBatch.from_arrays([pa.array(x["doc_ids"], pa.int64()), pa.array(begins + x["base"]), pa.array(ends - begins), pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64)))], names=["doc_id", "start", "n_tokens", "ids"])
+        for row in (b.slice(i, 1) for b in batches for i in range(b.num_rows)):
+            x = row.to_pylist()[0]
+            ids, ends = Codes.loaded(x["levels"]).decode(), np.array(x["ends"], np.int64)
+            begins, raw = np.concatenate([[0], ends[:-1]]), ids.astype("<u4")
+            crc = [zlib.crc32(raw[a:b]) for a, b in zip(begins, ends, strict=True)]
+            columns = [pa.array(x["doc_ids"], pa.int64()), pa.array(begins + x["base"]), pa.array(ends - begins), pa.array(crc, pa.int64())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]).astype(np.int32)), pa.array(ids.astype(np.int64))))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"][: len(columns)])
 
-    return table.select("part", "segment", "doc_ids", "ends", "levels").join(begins, ["part", "segment"]).select("doc_ids", "ends", "levels", "base").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids array<bigint>")
+    return table.select("part", "segment", "doc_ids", "ends", "levels").join(begins, ["part", "segment"]).select("doc_ids", "ends", "levels", "base").mapInArrow(rows, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<bigint>" * with_ids)
 
 
 def token_at(spark: SparkSession, path: str, doc_id: int, position: int) -> int | None:
@@ -222,23 +228,10 @@ def token_at(spark: SparkSession, path: str, doc_id: int, position: int) -> int
     return Codes.loaded([x.asDict() for x in found["levels"]])[begin + position] if 0 <= position < found["ends"][k] - begin else None
 
 
-def token_sums(spark: SparkSession, path: str) -> DataFrame:
-    """read_tokens() with the CRC-32 of each document's ids as little-endian 32-bit integers in place of the ids."""
-
-    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flat, offs = batch.column(3).values.to_numpy(zero_copy_only=False), batch.column(3).offsets.to_numpy()
-            raw = flat.astype("<u4")
-            crc = [zlib.crc32(raw[a:b]) for a, b in zip(offs[:-1], offs[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(crc, pa.int64())], names=["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return read_tokens(spark, path).mapInArrow(sums, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     path = scratch_dir(spark)
     encode_tokens(documents(spark, sf_dir, "doc_id", "text"), path, public_tokenizers.path("byte_bpe_50k.json"))
-    return token_sums(spark, path)
+    return read_tokens(spark, path, with_ids=False)
 
