@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, mixing, pieces, secrets, tokens, toxicity
+from . import fingerprints, jaccard, mixing, pieces, secrets, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_codes": tokens.op1_token_codes,
         "op4_pieces": pieces.op4_pieces,
+        "op6_jaccard": jaccard.op6_jaccard,
         "op7_secrets": secrets.op7_secrets,
         "op8_fingerprints": fingerprints.op8_fingerprints,
         "op9_mixing": mixing.op9_mixing,
