@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, mixing, pieces, secrets, tokens, toxicity
+from . import fingerprints, jaccard, mixing, pieces, secrets, substrings, suffixes, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_token_codes": tokens.op1_token_codes,
+        "op2_substrings": substrings.op2_substrings,
+        "op3_suffixes": suffixes.op3_suffixes,
         "op4_pieces": pieces.op4_pieces,
         "op6_jaccard": jaccard.op6_jaccard,
         "op7_secrets": secrets.op7_secrets,
