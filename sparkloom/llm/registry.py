@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, mixing, pieces, secrets, substrings, suffixes, tokens, toxicity
+from . import fingerprints, jaccard, media, mixing, pieces, secrets, substrings, suffixes, tokens, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substrings": substrings.op2_substrings,
         "op3_suffixes": suffixes.op3_suffixes,
         "op4_pieces": pieces.op4_pieces,
+        "op5_media": media.op5_media,
         "op6_jaccard": jaccard.op6_jaccard,
         "op7_secrets": secrets.op7_secrets,
         "op8_fingerprints": fingerprints.op8_fingerprints,
