@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from sparkloom.plans import index_queries
+
 
 def queries() -> dict:
-    return {}
+    return dict(index_queries.QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(index_queries.SQL)

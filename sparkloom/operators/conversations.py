@@ -1,0 +1,56 @@
+"""Conversations: pages of messages, histories and the prompts made of them."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+HISTORY, PAGE, LONGEST_PAGE = 12, 50, 200
+CONTEXT_CHARS = 1200
+
+
+def page_limit(limit: int | None) -> int:
+    """The page size asked for, checked: 1 to 200, 50 if none is given."""
+    n = PAGE if limit is None else limit
+    if not 1 <= n <= LONGEST_PAGE:
+        raise ValueError(f"limit must be 1 to {LONGEST_PAGE}")
+    return n
+
+
+def messages_page(messages: DataFrame, limit: int | None = None, conversation: str = "conversation_id", order: str = "ord") -> DataFrame:
+    """Each conversation's first messages."""
+    rank = F.row_number().over(Window.partitionBy(conversation).orderBy(order))
+    return messages.withColumn("rank", rank).where(F.col("rank") <= page_limit(limit))
+
+
+def messages_before(messages: DataFrame, cursors: DataFrame, limit: int | None = None, nearest: bool = False, conversation: str = "conversation_id", order: str = "ord") -> DataFrame:
+    """Messages before each conversation's cursor (conversation, before): the oldest ones, or those nearest to it."""
+    rows = messages.join(cursors, conversation).where(F.col(order) < F.col("before"))
+    rank = F.row_number().over(Window.partitionBy(conversation).orderBy(F.desc(order) if nearest else F.asc(order)))
+    return rows.withColumn("rank", rank).where(F.col("rank") <= page_limit(limit)).drop("before")
+
+
+def history(messages: DataFrame, last: int = HISTORY, conversation: str = "conversation_id", order: str = "ord") -> DataFrame:
+    """The last messages of each conversation as a model sees them: without system ones, the assistant as model."""
+    rank = F.row_number().over(Window.partitionBy(conversation).orderBy(F.desc(order)))
+    rows = messages.where("role <> 'system'").withColumn("rank", rank).where(F.col("rank") <= last)
+    return rows.withColumn("role", F.when(F.col("role") == "assistant", "model").otherwise(F.col("role"))).drop("rank")
+
+
+def context_block(rows: DataFrame, conversation: str = "conversation_id", order: str = "ord", body: str = "content", most: int = CONTEXT_CHARS) -> DataFrame:
+    """One numbered block of text from the rows of each conversation, each cut at `most` characters."""
+    parts = F.array_sort(F.collect_list(F.struct(order, F.substring(body, 1, most).alias("body"))))
+    numbered = F.transform(parts, lambda x, i: F.concat(F.lit("["), (i + 1).cast("string"), F.lit("] "), x["body"]))
+    return rows.groupBy(conversation).agg(F.array_join(numbered, "\n\n").alias("context"))
+
+
+def touched(messages: DataFrame, conversation: str = "conversation_id", at: str = "created_at") -> DataFrame:
+    return messages.groupBy(conversation).agg(F.max(at).alias("updated_at"))
+
+
+def orphans(messages: DataFrame, conversations: DataFrame, conversation: str = "conversation_id") -> DataFrame:
+    return messages.join(conversations, conversation, "left_anti")
+
+
+def system_prompt(context: Column) -> Column:
+    return F.concat(F.lit("Answer from the passages below and cite them by number.\n\n"), F.coalesce(context, F.lit("")))
