@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import index_queries
+from sparkloom.plans import index_queries, text_queries
 
 
 def queries() -> dict:
-    return dict(index_queries.QUERIES)
+    return index_queries.QUERIES | text_queries.QUERIES
 
 
 def oracle_sql() -> dict:
-    return dict(index_queries.SQL)
+    return index_queries.SQL | text_queries.SQL

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 import regex
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .text import PASSAGE_RULES
 
@@ -73,6 +74,6 @@ def sentences(text: str | None) -> list[str]:
     return [s for s in out if len(s) >= 8]
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def split_sentences(texts: pd.Series) -> pd.Series:
     return texts.map(sentences)

@@ -80,9 +80,10 @@ def unique_word_share(text: Column) -> Column:
 
 def repeated_gram(text: Column, n: int = 18, times: int = 3) -> Column:
     """Whether some run of n characters occurs `times` times: a longer run that does contains one of n that does."""
-    letters = F.split(F.lower(text), "")
-    grams = F.array_sort(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(letters) - n + 1)), lambda i: F.array_join(F.slice(letters, i, n), "")))
-    pairs = F.transform(F.array(grams), lambda g: F.zip_with(g, F.slice(g, F.lit(times), F.greatest(F.lit(1), F.size(g))), lambda a, b: a == b))
+    cut = lambda letters: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(letters) - n + 1)), lambda i: F.array_join(F.slice(letters, i, n), ""))
+    # one-element arrays name what would otherwise be computed again for each position
+    grams = F.transform(F.array(F.split(F.lower(text), "")), lambda letters: F.sort_array(cut(letters)))
+    pairs = F.transform(grams, lambda g: F.zip_with(g, F.slice(g, F.lit(times), F.greatest(F.lit(1), F.size(g))), lambda a, b: a == b))
     return (F.length(text) >= n + times - 1) & F.exists(F.element_at(pairs, 1), lambda same: F.coalesce(same, F.lit(False)))
 
 

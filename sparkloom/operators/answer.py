@@ -8,6 +8,7 @@ from collections.abc import Callable
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.functions.sentences import passage, sentences
 
@@ -63,7 +64,7 @@ def extract(terms: list[str], ranked: list[tuple[str, str]]) -> str:
     return "\n\n".join(out) or EMPTY
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def extractive_answers(terms: pd.Series, chunks: pd.Series) -> pd.Series:
     return pd.Series([extract(list(t), [(c["heading"], c["text"]) for c in cs]) for t, cs in zip(terms, chunks, strict=True)])
 

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: From texts to one vector each; runs once a batch, so that a model can be loaded once a worker.
 Embedder = Callable[[list[str]], np.ndarray]
@@ -31,7 +32,7 @@ def hashed_embedder(dimension: int = 64) -> Embedder:
 
 
 def embedding(embedder: Embedder) -> Callable[[Column | str], Column]:
-    @F.pandas_udf("array<float>")
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for texts in batches:
             yield pd.Series(list(embedder(texts.fillna("").tolist()).astype(np.float32)))
