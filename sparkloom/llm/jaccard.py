@@ -12,7 +12,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import documents, mix64, slices, string_buffers, word_bounds, word_hashes, written
@@ -26,6 +26,8 @@ PARTIAL = 8
 BROADCAST_ROWS = 2_000_000
 #: Below this size a set takes further levels until it has fragments to spare; above it, chance sees to that.
 SMALL = 160
+#: One fragment in so many is looked at first.
+SAMPLE = 16
 #: Set digests that a task keeps so as not to send the fragments of copies again.
 SEEN = 500_000
 LOWER = np.arange(256, dtype=np.uint8)
@@ -61,7 +63,8 @@ def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
                 total = mix64(total + words[upto[d] + i : upto[d] + i + 1] * np.uint64(2 * i + 3))
             extra.append(total[0] >> np.uint64(64 - HASH_BITS))
         grams, owner = np.append(grams, np.array(extra, np.uint64)), np.append(owner, short)
-    keys = np.unique((owner.astype(np.uint64) << np.uint64(HASH_BITS)) | grams)
+    keys = np.sort((owner.astype(np.uint64) << np.uint64(HASH_BITS)) | grams)
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     owner = (keys >> np.uint64(HASH_BITS)).astype(np.int64)
     return keys & np.uint64((1 << HASH_BITS) - 1), np.searchsorted(owner, np.arange(n_docs + 1))
 
@@ -87,13 +90,14 @@ def level_of(n: np.ndarray, share: float) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(1.0, share * n))).astype(np.int64)
 
 
-def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Set number and key of each non-empty fragment, on every level that a set may share with a similar one.
+def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Set number, key, level and spare of each non-empty fragment, on every level that a set may share with a similar one.
 
     With t the threshold, sets of sizes a <= b that are similar differ in at most d = a * (1 - t) / t grams, and b <= a / t.
     Both take the level of a. Of a's non-empty fragments at most d differ, so one is left where there are more than d.
     Small sets go up from level to level until even a partner's fragments must exceed that, so that the level on which
-    the smaller has enough of them is among those of both.
+    the smaller has enough of them is among those of both. A set that has `spare` fragments more than needed for one
+    common one can leave out its `spare` most frequent ones: similar sets still meet in the rarest common fragment.
     """
     sizes = np.diff(upto)
     lose = (1 - threshold) / threshold
@@ -104,7 +108,7 @@ def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tupl
     more = needs & (sizes < SMALL)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     mixed = mix64(grams)
-    out_set, out_key = [], []
+    out: list[list[np.ndarray]] = [[], [], [], []]
     for level in range(int(low[needs].min()) if needs.any() else 1, HASH_BITS + 1):
         on = needs & (((level == low) | (level == high)) | (more & (level >= low)))
         if not on.any():
@@ -118,13 +122,37 @@ def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tupl
         new[1:] = (who[1:] != who[:-1]) | (frag[1:] != frag[:-1])
         first = np.flatnonzero(new)
         sums = np.add.reduceat(mixed[some], first)
-        out_set.append(who[first])
-        out_key.append(mix64(sums + frag[first] * np.uint64(0x94D049BB133111EB) + np.uint64(level + 1)))
         held = np.bincount(who[first], minlength=len(sizes))
+        spare = np.maximum(held - np.floor(lose * sizes + 1e-9).astype(np.int64) - 1, 0)
+        who = who[first]
+        keys = mix64(sums + frag[first] * np.uint64(0x94D049BB133111EB) + np.uint64(level + 1))
+        for o, v in zip(out, (who, keys.view(np.int64), np.full(len(who), level), spare[who]), strict=True):
+            o.append(v)
         more &= ~(on & (held > enough) & (level >= high))
-    if not out_set:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return np.concatenate(out_set), np.concatenate(out_key).view(np.int64)
+    return tuple(np.concatenate(o).astype(np.int64) if o else np.zeros(0, np.int64) for o in out)
+
+
+class Fresh:
+    """Picks the sets of a slice that a task hasn't met yet, as far as it keeps track."""
+
+    def __init__(self):
+        self.seen: set[int] = set()
+
+    def __call__(self, k: np.ndarray) -> np.ndarray:
+        order = np.argsort(k, kind="stable")
+        first = order[np.append(True, k[order][1:] != k[order][:-1])] if len(k) else order
+        fresh = np.sort(np.array([i for i in first.tolist() if int(k[i]) not in self.seen], np.int64))
+        if len(self.seen) > SEEN:
+            self.seen.clear()
+        self.seen.update(k[fresh].tolist())
+        return fresh
+
+
+def fresh_keys(fresh: np.ndarray, grams: np.ndarray, upto: np.ndarray, threshold: float) -> tuple[np.ndarray, ...]:
+    sizes = np.diff(upto)
+    keep = np.zeros(len(sizes), bool)
+    keep[fresh] = True
+    return fragment_keys(grams[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[fresh])]), threshold)
 
 
 def guarded(df: DataFrame) -> DataFrame:
@@ -132,51 +160,47 @@ def guarded(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _sets(docs: DataFrame, key: str, text: str, n: int) -> DataFrame:
+def _sets(docs: DataFrame, key: str, text: str, n: int, threshold: float) -> DataFrame:
+    """doc_id, text_hash, n, k (the set's digest) and a sample of the set's fragments by their hash."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unseen = Fresh()
         for batch in small_slices(batches, 2):
             grams, upto = gram_sets(batch.column(2), n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(upto).astype(np.int64)), pa.array(digests(grams, upto))], names=["doc_id", "text_hash", "n", "k"])
+            k = digests(grams, upto)
+            fresh = unseen(k)
+            who, keys, _, _ = fresh_keys(fresh, grams, upto, threshold)
+            some = np.flatnonzero(keys % SAMPLE == 0)
+            some = some[np.argsort(who[some], kind="stable")]
+            offs = np.searchsorted(fresh[who[some]], np.arange(batch.num_rows + 1)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(upto).astype(np.int64)), pa.array(k), pa.ListArray.from_arrays(pa.array(offs), pa.array(keys[some]))], names=["doc_id", "text_hash", "n", "k", "sample"])
 
-    return rows.mapInArrow(sized, "doc_id long, text_hash long, n long, k long")
+    return rows.mapInArrow(sized, "doc_id long, text_hash long, n long, k long, sample array<bigint>")
 
 
 def _fragments(docs: DataFrame, text: str, n: int, threshold: float) -> DataFrame:
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        unseen = Fresh()
         for batch in small_slices(batches, 0):
             grams, upto = gram_sets(batch.column(0), n)
             k = digests(grams, upto)
-            first = np.unique(k, return_index=True)[1]
-            fresh = np.array([i for i in first.tolist() if k[i] not in seen], np.int64)
-            if len(seen) > SEEN:
-                seen.clear()
-            seen.update(k[fresh].tolist())
-            sizes = np.diff(upto)
-            keep = np.zeros(len(k), bool)
-            keep[fresh] = True
-            grams = grams[np.repeat(keep, sizes)]
-            fresh = np.flatnonzero(keep)
-            who, keys = fragment_keys(grams, np.concatenate([[0], np.cumsum(sizes[fresh])]), threshold)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(k[fresh][who])], names=["key", "k"])
-
-    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(keyed, "key long, k long")
+            fresh = unseen(k)
+            who, keys, level, spare = fresh_keys(fresh, grams, upto, threshold)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(k[fresh][who]), pa.array(level.astype(np.int32)), pa.array(spare.astype(np.int32))], names=["key", "k", "level", "spare"])
+
+    return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(keyed, "key long, k long, level int, spare int")
 
 
 def _pieces(docs: DataFrame, wanted: DataFrame, text: str, n: int) -> DataFrame:
     """k, n, fragment and its grams, for the sets of the texts in `wanted` (text_hash)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        unseen = Fresh()
         for batch in small_slices(batches, 0):
             grams, upto = gram_sets(batch.column(0), n)
             k = digests(grams, upto)
-            first = [i for i in np.unique(k, return_index=True)[1].tolist() if k[i] not in seen]
-            if len(seen) > SEEN:
-                seen.clear()
-            seen.update(k[first].tolist())
+            first = unseen(k).tolist()
             names, sizes, places, begins, ends = [], [], [], [], []
             for i in first:
                 inner = np.searchsorted(grams[upto[i] : upto[i + 1]], np.arange(PARTIAL + 1, dtype=np.uint64) * np.uint64((1 << HASH_BITS) // PARTIAL)) + upto[i]
@@ -207,55 +231,61 @@ def _similar(pairs: DataFrame, pieces: DataFrame, threshold: float) -> DataFrame
     return total.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * round(100 * threshold)).select("a", "b")
 
 
+def _pivot_pairs(rows: DataFrame) -> DataFrame:
+    """From key, k, component: in each bucket of several components, the pairs (a, b) of one set with those of others.
+
+    The one set is that with the most companions in all its buckets, most likely what the others are copies of.
+    """
+    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.count("*").alias("members")).where("low < top").select("key", "members")
+    live = written(rows.join(mixed, "key"))
+    weight = live.groupBy("k").agg(F.sum("members").alias("weight"))
+    pivots = live.join(weight, "k").groupBy("key").agg(F.max(F.struct("weight", "k", "component")).alias("pivot")).select("key", F.col("pivot.k").alias("p"), F.col("pivot.component").alias("pc"))
+    pairs = live.join(pivots, "key").where("component <> pc").select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
+    return pairs.distinct()
+
+
+def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    if labels is None:
+        return rows.withColumn("component", F.col("k"))
+    return rows.join(guarded(labels.withColumnRenamed("node", "k")), "k", "left").withColumn("component", F.coalesce("component", "k"))
+
+
 def _linked_sets(docs: DataFrame, sets: DataFrame, text: str, n: int, threshold: float) -> DataFrame | None:
     """Components of the distinct sets (node, component), None where nothing links.
 
-    Within a bucket of equal fragments, one set is compared with all others first: the one whose fragments are shared
-    most. What this links needs no further pairs. The next round takes another set of each bucket that still has several
-    components, and then all pairs of different components that are left are compared, each once.
+    Sets in one component need no further pairs, so obvious copies are linked first: in the buckets of a sample of the
+    fragments, one set is compared with the others. Then all fragments are looked at, and only buckets of several
+    components count; there again one set is compared with the others, and what is left is compared pair by pair, each
+    pair once.
     """
-    keys = _fragments(docs, text, n, threshold)
-    live = keys.groupBy("key").agg(F.min("k").alias("low"), F.max("k").alias("high")).where("low < high").select("key")
-    live = written(live)
-    rows = written(keys.join(guarded(live), "key", "left_semi").distinct())
-    candidates = rows.select("k").distinct()
-    wanted = written(sets.join(candidates, "k").groupBy("k").agg(F.min("text_hash").alias("text_hash")).select("text_hash"))
-    pieces = written(_pieces(docs, wanted, text, n))
-    sizes = rows.groupBy("key").agg(F.count("*").alias("members"))
-    weight = rows.join(sizes, "key").groupBy("k").agg(F.sum("members").alias("weight"))
-    rows = rows.join(weight, "k")
-    order = F.struct("weight", "k")
-    links = labels = None
-    done = None
-    for step in ("first", "second", "rest"):
-        if labels is not None:
-            known = rows.drop("component").join(labels.withColumnRenamed("node", "k"), "k", "left").withColumn("component", F.coalesce("component", "k"))
-        else:
-            known = rows.withColumn("component", F.col("k"))
-        mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.max(order).alias("pivot")).where("low < top")
-        if step != "first":
-            mixed = written(mixed)
-        if step == "rest":
-            one = known.join(mixed.select("key"), "key").select("key", "k", "component")
-            pairs = one.alias("l").join(one.alias("r"), (F.col("l.key") == F.col("r.key")) & (F.col("l.k") < F.col("r.k")) & (F.col("l.component") != F.col("r.component")))
-            pairs = pairs.select(F.col("l.k").alias("a"), F.col("r.k").alias("b"))
-        else:
-            pivots = mixed.select("key", F.col("pivot.k").alias("p"))
-            own = pivots.join(known.select(F.col("key"), F.col("k").alias("p"), F.col("component").alias("pc")), ["key", "p"])
-            pairs = known.join(own, "key").where("component <> pc").select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
-        pairs = pairs.distinct()
-        if done is not None:
-            pairs = pairs.join(done, ["a", "b"], "left_anti")
-        pairs = written(pairs)
+    links = labels = done = None
+
+    def compared(pairs: DataFrame) -> bool:
+        nonlocal links, labels, done
+        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
         if not pairs.limit(1).count():
-            break
-        found = written(_similar(pairs, pieces, threshold))
+            return False
+        names = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
+        wanted = written(sets.join(names, "k").groupBy("k").agg(F.min("text_hash").alias("text_hash")).select("text_hash"))
+        found = written(_similar(pairs, written(_pieces(docs, wanted, text, n)), threshold))
         links = found if links is None else links.unionByName(found)
         done = pairs if done is None else done.unionByName(pairs)
-        if step != "rest":  # a pivot that is tested leaves its buckets
-            rows = written(known.join(own.select("key", F.col("p").alias("k")), ["key", "k"], "left_anti").select("key", "k", "weight"))
         if links.limit(1).count():
             labels = connected_components(links)
+        return True
+
+    compared(_pivot_pairs(_labelled(sets.select("k", F.explode("sample").alias("key")).distinct(), None)))
+    keys = _labelled(_fragments(docs, text, n, threshold), labels)
+    live = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.count("*").alias("often")).where("low < top").select("key", "often")
+    rows = written(keys.join(guarded(written(live)), "key").select("key", "k", "level", "spare", "often").distinct())
+    rarest = F.row_number().over(Window.partitionBy("k", "level").orderBy(F.desc("often"), "key"))
+    rows = written(rows.withColumn("place", rarest).where("place > spare").select("key", "k"))
+    if compared(_pivot_pairs(_labelled(rows, labels))):
+        known = _labelled(rows, labels)
+        mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top")).where("low < top").select("key")
+        one = written(known.join(mixed, "key").select("key", "k", "component"))
+        both = (F.col("l.key") == F.col("r.key")) & (F.col("l.k") < F.col("r.k")) & (F.col("l.component") != F.col("r.component"))
+        compared(one.alias("l").join(one.alias("r"), both).select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct())
     return labels
 
 
@@ -266,7 +296,7 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
     other; they are one set throughout, and copies are never expanded into pairs. Rows with equal keys keep a row each;
     a null key takes the smallest key of its component, null if it has none. Other columns are ignored.
     """
-    sets = written(_sets(docs, key, text, n))
+    sets = written(_sets(docs, key, text, n, threshold))
     labels = _linked_sets(docs, sets, text, n, threshold)
     full = sets.where("n > 0")
     if labels is not None:
