@@ -8,6 +8,7 @@ for each 512 bits. Token i is read by following ranks from level to level, witho
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,8 +22,9 @@ from .common import documents, ragged_take, scratch_dir, slices, string_buffers,
 RANK_EVERY = 512
 #: A segment takes whole documents until it has so many tokens.
 SEGMENT_TOKENS = 1 << 18
-#: Distinct chunks that a worker keeps from batch to batch.
+#: Distinct chunks that a worker keeps, the first that it meets, so mostly frequent ones; others are encoded once a batch.
 MEMO = 400_000
+_MEMOS: dict[str, dict[str, bytes]] = {}
 LEVEL = pa.struct([("codes", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
 SEGMENT = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("levels", pa.list_(LEVEL))])
 SEGMENT_DDL = "part int, segment int, n_tokens long, doc_ids array<bigint>, ends array<bigint>, levels array<struct<codes:binary,more:binary,ranks:binary>>"
@@ -116,7 +118,7 @@ class ByteEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.memo: dict[str, bytes] = {}
+        self.memo = _MEMOS.setdefault(path, {})
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch, and the number of ids of each text."""
@@ -124,12 +126,13 @@ class ByteEncoder:
         starts = chunk_starts(data, offs)
         which, texts = distinct_chunks(data, starts)
         texts = texts.to_pylist()
-        if len(self.memo) > MEMO:
-            self.memo.clear()
-        missing = [x for x in texts if x not in self.memo]
-        for x, e in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-            self.memo[x] = np.array(e.ids, np.uint32).tobytes()
-        parts = [self.memo[x] for x in texts]
+        parts = list(map(self.memo.get, texts))
+        missing = [i for i, x in enumerate(parts) if x is None]
+        for i, e in zip(missing, self.tokenizer.encode_batch_fast([texts[i] for i in missing], add_special_tokens=False), strict=True):
+            parts[i] = array("I", e.ids).tobytes()
+        room = MEMO - len(self.memo)
+        if room > 0:
+            self.memo.update((texts[i], parts[i]) for i in missing[:room])
         flat = np.frombuffer(b"".join(parts), np.uint32)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         begins = np.cumsum(lengths) - lengths
