@@ -10,7 +10,7 @@ from sparkloom.functions import paths, text
 
 def files(spark: SparkSession, root: str, folder: str = "content/posts") -> DataFrame:
     """essay_path (from `folder` on) and body, with plain line ends, of all files below `root`."""
-    rows = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
+    rows = spark.read.text(root, wholetext=True, recursiveFileLookup=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("body"))
     return rows.select(F.regexp_extract("file", rf"({folder}/.*)$", 1).alias("essay_path"), text.normalized(F.col("body")).alias("body")).where("essay_path <> ''")
 
 

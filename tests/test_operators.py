@@ -1,0 +1,165 @@
+import os
+
+import pytest
+from pyspark.sql import functions as F
+
+from sparkloom.operators import backfill, conversations, manifest, models, retrieve, sagas, terms
+from sparkloom.sources import corpus, tables
+from sparkloom.streaming import backfill as stream
+
+ENTRY = "essay_path string, content_hash string, total_chunks long, next_chunk_index long, committed_chunks long"
+LIVE = "essay_path string, content_hash string"
+
+
+def entries(spark, rows):
+    return spark.createDataFrame([(p, h, t, n, n) for p, h, t, n in rows], ENTRY)
+
+
+@pytest.mark.parametrize(
+    "known, live, want, changed, drained",
+    [
+        ([], [("p", "a")], [("p", "embed_new", None)], False, False),
+        ([("p", "a", 100, 40)], [("p", "a")], [("p", "embed_resume", None)], False, False),
+        ([("p", "a", 100, 100)], [("p", "a")], [], False, True),
+        ([("p", "old", 120, 120)], [("p", "new")], [("p", "reembed_changed", 120)], True, False),
+        ([("p", "a", 80, 80)], [], [("p", "delete_removed", 80)], True, False),
+        ([("p", "a", 100, 100), ("q", "b", 200, 50)], [("p", "a"), ("q", "b")], [("q", "embed_resume", None)], False, False),
+    ],
+)
+def test_backlog(spark, known, live, want, changed, drained):
+    actions = manifest.backlog(entries(spark, known), spark.createDataFrame(live, LIVE))
+    assert [tuple(r) for r in actions.collect()] == want
+    assert tuple(manifest.backlog_flags(actions).first()) == (changed, drained)
+
+
+def test_merge_and_verify(spark):
+    remote = entries(spark, [("p", "a", 500, 100), ("q", "new", 500, 100)])
+    local = entries(spark, [("p", "a", 500, 180), ("q", "stale", 500, 300), ("r", "x", 9, 9)])
+    got = {r["essay_path"]: (r["content_hash"], r["committed_chunks"]) for r in manifest.merge_cursors(remote, local).collect()}
+    assert got == {"p": ("a", 180), "q": ("new", 100)}
+    assert spark.range(1).select(manifest.merged_status(F.lit("batch_running"), F.lit("batch_failed"))).first()[0] == "batch_failed"
+    have = spark.createDataFrame([("p", 0), ("p", 89)], "essay_path string, chunk_index long")
+    missing = manifest.verify(entries(spark, [("p", "a", 500, 180)]), have).collect()
+    assert [tuple(r) for r in missing] == [("p", 179)]
+    assert manifest.rollup(entries(spark, [("p", "a", 40, 40), ("q", "b", 10, 10)])).first()["committed_archive_vectors"] == 50
+
+
+def test_plans_staleness_and_digest(spark):
+    a, b = spark.createDataFrame([("a", "1")], LIVE), spark.createDataFrame([("b", "2")], LIVE)
+    known = a.withColumn("total_chunks", F.lit(1))
+    assert sorted(map(tuple, manifest.sync_plan(known, b).collect())) == [("a", "remove"), ("b", "process")]
+    assert not manifest.is_stale(known, a.limit(0)).first()[0] and manifest.is_stale(known, a.unionByName(b)).first()[0]
+    assert manifest.is_stale(known, a, has_digest=False).first()[0] and not manifest.is_stale(known, a).first()[0]
+    digest = lambda df: manifest.corpus_digest(df).first()[0]
+    assert digest(a.unionByName(b)) == digest(b.unionByName(a)) != digest(a) and digest(a.limit(0)) != digest(a)
+    back = manifest.from_json(manifest.as_json(entries(spark, [("p", "a", 3, 2)])))
+    assert tuple(back.first()) == ("p", "a", 3, 2, 2)
+    assert tuple(manifest.from_json(spark.createDataFrame([("p", "{oops")], "essay_path string, payload string")).first()) == ("p", "", 0, 0, 0)
+
+
+def test_budget(spark):
+    assert backfill.WriteBudget.resolved({}).chunk_write_budget == 9495
+    assert backfill.WriteBudget.resolved({"PROVIDER_DAILY_CAP": "2000", "WRITE_BUDGET": "100"}).chunk_write_budget == 95
+    for env in ({"WRITE_BUDGET": "10000"}, {"WRITE_BUDGET": "5"}, {"WRITE_BUDGET": "lots"}, {"WRITE_BUDGET": "-5"}):
+        with pytest.raises(ValueError):
+            backfill.WriteBudget.resolved(env)
+    meter = backfill.BudgetMeter(backfill.WriteBudget(write_budget=105))
+    meter.spend(chunks=60)
+    meter.spend(chunks=40)
+    meter.spend(bookkeeping=2)
+    assert (meter.spent, meter.remaining) == (102, 0)
+    with pytest.raises(ValueError):
+        meter.spend(chunks=1)
+
+
+def test_backfill_runs_until_drained(spark):
+    essays = spark.createDataFrame([(f"content/posts/unfolding/chatgpt-202{i}.mdx", " ".join(["w"] * (2000 + i))) for i in range(3)], "essay_path string, body string")
+    known, states = entries(spark, [("gone", "x", 4, 4)]), []
+    for _ in range(6):
+        plan, after, state = backfill.run_batch(essays, known, backfill.WriteBudget(write_budget=11))
+        assert plan.agg(F.sum("deletes_granted") + F.sum("upserts_granted")).first()[0] <= 6
+        known = spark.createDataFrame(after.collect(), ENTRY)
+        states.append(state)
+        if state == "backlog_complete":
+            break
+    assert states[-1] == "backlog_complete" and len(states) == 4
+    assert all(r["next_chunk_index"] == r["total_chunks"] == 5 for r in known.collect())
+
+
+def test_sagas(spark):
+    rows = spark.createDataFrame([(e[0], e[2], e[3]) for e in sagas.EDGES] + [("backfill", "backlog_complete", "daily_schedule")], "machine string, state string, event string")
+    got = sagas.step(rows).collect()
+    assert sorted(r["edge"] for r in got if r["edge"]) == sorted(e[1] for e in sagas.EDGES) and sum(r["edge"] is None for r in got) == 1
+    cases = [("backlog_pending", False, "daily_schedule"), ("batch_failed", False, "batch_retry"), ("batch_running", False, "batch_retry"), ("batch_committed", True, "batch_retry"), ("backlog_pending", True, "archive_content_changed"), ("backlog_complete", True, "archive_content_changed")]
+    df = spark.createDataFrame(cases, "s string, c boolean, w string")
+    assert all(r[0] == r[1] for r in df.select(sagas.backfill_event(F.col("s"), F.col("c")), "w").collect())
+
+
+def test_terms(spark):
+    words = terms.glossary(spark)
+    aliases = terms.short_aliases(words)
+    some = lambda names: {r["alias"] for r in terms.short_aliases(spark.createDataFrame([(n,) for n in names], "term string")).collect()}
+    assert {"ana", "cata", "hylo", "coa"} <= some(["catamorphism", "anamorphism", "hylomorphism", "coalgebra"])
+    assert "ana" not in some(["analysis", "anamorphism"])
+    asked = spark.createDataFrame([(0, "what's catamorphism"), (1, "what's catmorphism"), (2, "privacy policy"), (3, "what's ana?"), (4, "concres and νF or muf")], "query_id int, query string")
+    expanded = {r["query_id"]: r["expanded"] for r in terms.expand_queries(asked, words, aliases).collect()}
+    assert "catamorphism fold F-algebra" in expanded[0] and "catamorphism fold F-algebra" in expanded[1]
+    assert expanded[2] == "privacy policy" and "anamorphism unfold" in expanded[3] and terms.INITIAL in expanded[4] and terms.FINAL in expanded[4]
+    found = {r["query_id"]: r for r in terms.query_terms(asked, words, aliases).collect()}
+    assert found[1]["fuzzy"] == ["catamorphism"] and {"concres", "concrescence"} <= set(found[4]["terms"])
+
+
+def test_conversations(spark):
+    rows = spark.createDataFrame([(1, i, ["user", "assistant"][i % 2], f"m{i}") for i in range(20)] + [(1, 20, "system", "s")], "conversation_id int, ord int, role string, content string")
+    got = conversations.history(rows, 4).orderBy("ord").collect()
+    assert [r["content"] for r in got] == ["m16", "m17", "m18", "m19"] and got[1]["role"] == "model"
+    assert conversations.messages_page(rows, 3).count() == 3
+    before = spark.createDataFrame([(1, 10)], "conversation_id int, before int")
+    pick = lambda near: [r["ord"] for r in conversations.messages_before(rows, before, 2, near).orderBy("ord").collect()]
+    assert (pick(False), pick(True)) == ([0, 1], [8, 9])
+    for n in (0, 201):
+        with pytest.raises(ValueError):
+            conversations.page_limit(n)
+    assert conversations.context_block(got and conversations.history(rows, 2)).first()["context"] == "[1] m18\n\n[2] m19"
+
+
+def test_search_and_embedder(spark):
+    embed = models.hashed_embedder(16)
+    vectors = spark.createDataFrame([(i, embed([f"word{i} other{i % 3}"])[0].tolist()) for i in range(30)] + [(99, None)], "vec_id long, vector array<float>")
+    asked = vectors.where("vec_id < 3").select(F.col("vec_id").alias("query_id"), "vector")
+    top = retrieve.similar(asked, vectors, 1).collect()
+    assert all(r["score"] == pytest.approx(1, abs=1e-4) for r in top) and len(top) == 3
+    assert retrieve.similar(asked.limit(0), vectors, 1).count() == 0
+    texts = spark.createDataFrame([("a b",), (None,)], "t string").select(models.embedding(embed)("t").alias("v")).collect()
+    assert texts[0]["v"] == pytest.approx(embed(["a b"])[0].tolist())
+
+
+def test_corpus_tables_and_stream(spark, tmp_path):
+    root = tmp_path / "site"
+    for name, body in {"content/posts/examined/a.mdx": "one\r\ntwo", "content/posts/unfolding/chatgpt-2024.mdx": "stub", "content/posts/data/unfolding-chatgpt/chatgpt-2024.md": "full body", "content/posts/examined/x.png": "no"}.items():
+        os.makedirs((root / name).parent, exist_ok=True)
+        (root / name).write_text(body, newline="")
+    found = corpus.files(spark, str(root))
+    got = {r["essay_path"]: r["body"] for r in corpus.essays(found, with_archives=True).collect()}
+    assert got == {"content/posts/examined/a.mdx": "one\ntwo", "content/posts/unfolding/chatgpt-2024.mdx": "full body"}
+    assert corpus.archives(found).first()["essay_slug"] == "/posts/unfolding/chatgpt-2024"
+
+    table = tables.VersionedTable(spark, str(tmp_path / "t"))
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, v int")
+    table.upsert(rows(("a", 1), ("b", 2)))
+    table.upsert(rows(("b", 3), ("c", 4)))
+    table.delete(rows(("a", 0)))
+    assert sorted(map(tuple, table.read().collect())) == [("b", 3), ("c", 4)] and table.version() == 3
+    assert {r["id"]: r["v"] for r in table.fetch(rows(("b", 0), ("z", 0))).collect()} == {"b": 3, "z": None}
+    with pytest.raises(ValueError):
+        tables.appended(table, rows(("b", 9)))
+    assert tables.read_manifest(None, "{bad", {"status": "no_index"}) == {"status": "no_index"}
+    assert tables.read_manifest(None, '{"extra": 1}', {"status": "no_index"}) == {"status": "no_index", "extra": 1}
+
+    source = str(tmp_path / "in")
+    essays = spark.createDataFrame([("content/posts/examined/a.mdx", "some words here")], "essay_path string, body string")
+    essays.write.parquet(source)
+    vectors = tables.VersionedTable(spark, str(tmp_path / "vectors"))
+    for _ in range(2):
+        stream.start(spark, source, vectors, str(tmp_path / "cp"), models.hashed_embedder(8)).awaitTermination()
+    assert [r["id"] for r in vectors.read().collect()] == ["posts--examined--a#0"] and vectors.version() == 1
