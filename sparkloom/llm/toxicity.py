@@ -26,6 +26,8 @@ CANDIDATES, FEATURES, POSITIVES, UNLABELLED = 30_000, 512, 4000, 8000
 #: A candidate occurs in so many positive examples, and in this share of them, at least.
 LEAST, LEAST_SHARE = 3, 0.004
 THRESHOLD = 0.7
+#: Keys of toxic rows that are broadcast at most.
+BROADCAST_ROWS = 1_000_000
 #: A word's bytes: letters, digits and everything beyond ASCII.
 LETTERS = np.zeros(256, bool)
 LETTERS[np.r_[48:58, 97:123, 128:256]] = True
@@ -139,16 +141,20 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     POSITIVES and UNLABELLED rows in the order of a hash of the key. Without positive examples all scores are 0."""
     names = labels.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     rows = docs.where(~held_out(key)).select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
-    known = names.agg(F.count("*").alias("n"), F.sum("__toxic").alias("p")).first()
+    known = names.agg(F.count("*").alias("n"), F.sum((F.col("__toxic") == 1).cast("long")).alias("p")).first()
     none = Model(np.zeros(0, np.uint64), np.zeros(0), 0.0)
     if not known["p"]:
         return none
     prior = float(np.clip(known["p"] / known["n"], 0.01, 0.5))
-    positive = rows.join(names.where("__toxic = 1").select(F.col("doc_id").alias("__key")), "__key", "left_semi").select("__text")
+    toxic = names.where("__toxic = 1").select(F.col("doc_id").alias("__key"))
+    toxic = F.broadcast(toxic) if known["p"] <= BROADCAST_ROWS else toxic  # else Spark shuffles the texts
+    positive = rows.join(toxic, "__key", "left_semi").select("__text")
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 0)):
-            hashes, n = np.unique(counted(*features(batch.column(0)))[1], return_counts=True)
+            hashes = np.sort(counted(*features(batch.column(0)))[1])
+            first = np.flatnonzero(np.append(True, hashes[1:] != hashes[:-1])) if len(hashes) else hashes.astype(np.int64)
+            hashes, n = hashes[first], np.diff(np.append(first, len(hashes)))
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
 
     n_positive = positive.count()
