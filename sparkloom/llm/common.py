@@ -37,11 +37,28 @@ def scratch_dir(spark: SparkSession) -> str:
 
 
 def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
-    """Cut the lineage: write a Parquet table in the shared folder and read it back (survives lost executors)."""
+    """Cut the lineage: write a Parquet table in the shared folder and read it back (survives lost executors).
+
+    What has been shuffled for it is needed no more. Spark deletes shuffle files when the driver's garbage collector
+    finds them unused, which it otherwise looks for every half hour; asking for it here keeps disks from filling up.
+    """
     spark = spark or df.sparkSession
     path = scratch_dir(spark)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    spark._jvm.System.gc()
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def dropped(*frames: DataFrame) -> None:
+    """Delete tables of written() from which everything has been derived and written again."""
+    for frame in frames:
+        path = getattr(frame, "_scratch_path", None)
+        if path:
+            spark = frame.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def string_buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:

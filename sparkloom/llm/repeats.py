@@ -9,8 +9,9 @@ a span. Equal windows have equal samples at equal offsets, so everything else is
 3. the first span of each kind of any other sample is cut into blocks of windows by their offset from the sample, and
    these, where they still differ, into windows; the same two steps decide among them.
 
-Every level is a few joins and sums by key over rows that are far fewer than the positions; hot keys are summed before
-they are shuffled and their joins can be split.
+Long repeats are found first, with windows four times as wide and so a quarter of the spans: what they cover can't hold a
+first occurrence, so its windows are left out afterwards. Every level is a few joins and sums by key over rows that are
+far fewer than the positions; hot keys are summed before they are shuffled and their joins can be split.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix64, slices, written
+from .common import dropped, mix64, slices, written
 
 #: Rows that are broadcast at most; beyond that Spark joins by shuffling.
 BROADCAST_ROWS = 2_000_000
@@ -31,7 +32,10 @@ BLOCK = 8
 BASE = np.uint64(0x9E6C63D0876A9A4F | 1)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 NULL_DOC = (1 << 63) - 1
-SPANS = "key long, id long, doc long, tag int, lo int, n int, at int"
+#: A span's place: first window, number of windows and offset of the sample, packed so that places sort by the first.
+SPANS = "key long, id long, doc long, tag int, place long"
+#: How much wider the first level's windows and samples are.
+WIDER = 4
 #: Of a slice: 64-bit values of the units, and where each text's units begin (one more at the end).
 Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
@@ -54,8 +58,11 @@ class Ranges:
         return mix64((self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts])
 
 
-def sampled_spans(values: np.ndarray, upto: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """Of each span: document number, first window, number of windows, offset of the sample, sample's and span's hash."""
+def sampled_spans(values: np.ndarray, upto: np.ndarray, window: int, gram: int, left_out: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
+    """Of each span: document number, first window, number of windows, offset of the sample, sample's and span's hash.
+
+    left_out: of each unit, whether a window that starts there is to be left out.
+    """
     n = len(values)
     if n < window:
         return tuple(np.zeros(0, np.int64) for _ in range(4)) + (np.zeros(0, np.uint64),) * 2
@@ -70,6 +77,8 @@ def sampled_spans(values: np.ndarray, upto: np.ndarray, window: int, gram: int)
     sample = (best & np.uint64(0xFFFFFFFF)).astype(np.int64)
     ends = np.repeat(upto[1:], np.diff(upto))[: len(sample)]
     valid = np.arange(len(sample)) + window <= ends
+    if left_out is not None:
+        valid &= ~left_out[: len(sample)]
     new = valid.copy()
     new[1:] &= ~valid[:-1] | (sample[1:] != sample[:-1])
     last = valid.copy()
@@ -83,9 +92,18 @@ def sampled_spans(values: np.ndarray, upto: np.ndarray, window: int, gram: int)
 
 def _rows(batch: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, ids: np.ndarray, lo: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
     docs, tags = (batch.column(i).to_numpy(zero_copy_only=False)[doc] for i in (0, 1))
-    columns = [key.view(np.int64), ids.view(np.int64), docs, tags, lo, n, at]
-    kinds = [pa.int64()] * 3 + [pa.int32()] * 4
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "id", "doc", "tag", "lo", "n", "at"])
+    place = lo.astype(np.int64) << 24 | n.astype(np.int64) << 12 | at.astype(np.int64)
+    columns = [key.view(np.int64), ids.view(np.int64), docs, tags, place]
+    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "id", "doc", "tag", "place"])
+
+
+def _first_window() -> Column:
+    return F.shiftright("place", 24).cast("int")
+
+
+def _windows() -> Column:
+    return F.shiftright("place", 12).bitwiseAND(F.lit(4095)).cast("int")
 
 
 def guarded(df: DataFrame) -> DataFrame:
@@ -99,19 +117,25 @@ def tagged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)).alias("doc"), F.hash(body).alias("tag"), body.alias("text"))
 
 
-def _first_level(docs: DataFrame, units: Units, window: int, gram: int, most: int) -> DataFrame:
+def _sampled(docs: DataFrame, units: Units, window: int, gram: int, most: int, keys_only: bool = False) -> DataFrame:
+    """The spans of docs (doc, tag, text, and ranges whose windows are left out)."""
+
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 2, most)):
             values, upto = units(batch.column(2))
-            doc, lo, n, at, key, ids = sampled_spans(values, upto, window, gram)
-            yield _rows(batch, doc, key, ids, lo - upto[doc], n, at)
+            out = cover(batch, upto, window - 1) if batch.num_columns > 3 else None
+            doc, lo, n, at, key, ids = sampled_spans(values, upto, window, gram, out)
+            if keys_only:
+                yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
+            else:
+                yield _rows(batch, doc, key, ids, lo - upto[doc], n, at)
 
-    return docs.mapInArrow(rows, SPANS)
+    return docs.mapInArrow(rows, "key long" if keys_only else SPANS)
 
 
 def _next_level(docs: DataFrame, open_spans: DataFrame, units: Units, window: int, block: int, most: int) -> DataFrame:
     """The open spans cut into blocks of `block` windows by their offset from the sample (1: windows)."""
-    asked = written(open_spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("lo", "n", "at", "key")).alias("asked")))
+    asked = written(open_spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "key")).alias("asked")))
     wanted = docs.join(guarded(asked), ["doc", "tag"]).select("doc", "tag", "text", "asked")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,9 +144,9 @@ def _next_level(docs: DataFrame, open_spans: DataFrame, units: Units, window: in
             ranges = Ranges(values)
             asked = batch.column(3)
             flat = asked.flatten()
-            counts = np.diff(asked.offsets.to_numpy())
-            doc = np.repeat(np.arange(batch.num_rows), counts)
-            lo, n, at, key = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(4))
+            doc = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+            packed, key = (flat.field(i).to_numpy(zero_copy_only=False) for i in range(2))
+            lo, n, at = packed >> 24, packed >> 12 & 4095, packed & 4095
             far, near = at // block, (at - n + 1) // block  # blocks of windows so far before the sample
             pieces = (far - near + 1).astype(np.int64)
             which = np.repeat(np.arange(len(lo)), pieces)
@@ -134,22 +158,34 @@ def _next_level(docs: DataFrame, open_spans: DataFrame, units: Units, window: in
             keys = ids if block == 1 else mix64(key[which].view(np.uint64) + j.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
             yield _rows(batch, doc[which], keys, ids, begin, end - begin + 1, place - begin)
 
-    return wanted.mapInArrow(rows, SPANS)
+    found = written(wanted.mapInArrow(rows, SPANS))
+    dropped(asked)
+    return found
+
+
+def _live(keys: DataFrame) -> DataFrame:
+    return written(keys.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
 
 
-def _decide(rows: DataFrame, within: bool) -> tuple[DataFrame, DataFrame]:
-    """The rows that repeat an earlier one of their kind, and those that are the first of one of several kinds.
+def _decide(rows: DataFrame, live: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows that repeat an earlier one of their kind, and those that are the first of one of several kinds, which
+    need the third table until they have been read.
 
     within: an earlier place in the same document counts; else only a smaller document does.
     """
-    rows = written(rows)
-    live = written(rows.groupBy("key").agg(F.count("*").alias("rows")).where("rows > 1").select("key"))
-    rows = written(rows.join(guarded(live), "key", "left_semi"))
-    place = F.struct("doc", "lo") if within else F.struct("doc")
+    alive = written(rows.join(guarded(live), "key", "left_semi"))
+    dropped(rows, live)
+    rows = alive
+    place = F.struct("doc", "place") if within else F.col("doc")
     firsts = written(rows.groupBy("key", "id").agg(F.min(place).alias("first")))
     several = firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", F.lit(True).alias("several"))
-    known = written(rows.join(firsts, ["key", "id"]).withColumn("again", place > F.col("first")))
-    return known.where("again"), known.where("NOT again").join(several, "key", "left_semi").select("key", "doc", "tag", "lo", "n", "at")
+    known = written(rows.join(firsts, ["key", "id"]).select("key", "doc", "tag", "place", (place > F.col("first")).alias("again")))
+    dropped(rows)
+    return known.where("again"), known.where("NOT again").join(several, "key", "left_semi"), firsts
+
+
+def _covered(again: DataFrame, window: int) -> DataFrame:
+    return again.select("doc", "tag", F.struct(_first_window().alias("start"), (_first_window() + _windows() + F.lit(window - 1)).alias("end")).alias("range"))
 
 
 def repeated_ranges(docs: DataFrame, units: Units, window: int, gram: int, within: bool, most: int = 2 << 20) -> DataFrame:
@@ -157,14 +193,21 @@ def repeated_ranges(docs: DataFrame, units: Units, window: int, gram: int, withi
 
     docs has doc, tag and text, see tagged().
     """
-    covered = None
-    rows = _first_level(docs, units, window, gram, most)
+    wide = written(_sampled(docs, units, WIDER * window, WIDER * gram, most))
+    again, _, firsts = _decide(wide, _live(wide), within)
+    dropped(firsts)
+    covered = _covered(again, WIDER * window)
+    known = written(covered.groupBy("doc", "tag").agg(F.collect_list("range").alias("ranges")))
+    rest = docs.join(guarded(known), ["doc", "tag"], "left").select("doc", "tag", "text", "ranges")
+    live = _live(_sampled(rest, units, window, gram, most, keys_only=True))
+    rows = _sampled(rest, units, window, gram, most)
     for block in (BLOCK, 1, 0):
-        again, still = _decide(rows, within)
-        found = again.select("doc", "tag", F.struct(F.col("lo").alias("start"), (F.col("lo") + F.col("n") + F.lit(window - 1)).alias("end")).alias("range"))
-        covered = found if covered is None else covered.unionByName(found)
+        again, still, firsts = _decide(rows, live, within)
+        covered = covered.unionByName(_covered(again, window))
         if block:
             rows = _next_level(docs, still, units, window, block, most)
+            live = _live(rows)
+        dropped(firsts)
     return covered.groupBy("doc", "tag").agg(F.collect_list("range").alias("ranges"))
 
 
@@ -177,8 +220,8 @@ def doc_id() -> Column:
     return F.when(F.col("doc") != NULL_DOC, F.col("doc"))
 
 
-def cover(batch: pa.RecordBatch, upto: np.ndarray) -> np.ndarray:
-    """Of each unit of a slice, whether a range covers it."""
+def cover(batch: pa.RecordBatch, upto: np.ndarray, short: int = 0) -> np.ndarray:
+    """Of each unit of a slice, whether a range (without its last `short` units) covers it."""
     column = batch.column(3)
     flat, offs = column.flatten(), column.offsets.to_numpy()
     counts = np.diff(offs)
@@ -188,5 +231,5 @@ def cover(batch: pa.RecordBatch, upto: np.ndarray) -> np.ndarray:
     steps = np.zeros(int(upto[-1]) + 1, np.int32)
     if len(flat):
         np.add.at(steps, flat.field(0).to_numpy(zero_copy_only=False) + base, 1)
-        np.add.at(steps, flat.field(1).to_numpy(zero_copy_only=False) + base, -1)
+        np.add.at(steps, flat.field(1).to_numpy(zero_copy_only=False) + base - short, -1)
     return np.cumsum(steps)[:-1] > 0

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, ragged_take, slices, string_buffers, word_bounds, word_hashes
 from .repeats import cover, doc_id, repeated_ranges, tagged, with_ranges
 
-WINDOW, GRAM = 50, 8
+WINDOW, GRAM = 50, 16
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

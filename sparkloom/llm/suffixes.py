@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import documents, mix64, slices, string_buffers
 from .repeats import cover, doc_id, repeated_ranges, tagged, with_ranges
 
-WINDOW, GRAM = 100, 16
+WINDOW, GRAM = 100, 32
 BYTES = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x6A09E667F3BCC908))
 
 
