@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_secrets": secrets.OP7_SQL, "op9_mixing": mixing.OP9_SQL}
+    return {"op2_substrings": substrings.OP2_SQL, "op6_jaccard": jaccard.OP6_SQL, "op7_secrets": secrets.OP7_SQL, "op9_mixing": mixing.OP9_SQL}

@@ -61,3 +61,15 @@ def without_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "te
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_words(documents(spark, sf_dir, "doc_id", "text")).drop("kept")
 
+
+
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
+k AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d)),
+f AS (SELECT h, min(doc_id) AS first FROM k GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + j AS pos FROM (SELECT doc_id, i, unnest(range(50)) AS j FROM k JOIN f USING (h) WHERE first < doc_id)),
+w AS (SELECT doc_id, unnest(words) AS word, generate_subscripts(words, 1) AS pos FROM d),
+r AS (SELECT w.doc_id, count(*) AS n_words, count(gone.pos) AS n_removed, string_agg(word, ' ' ORDER BY w.pos) FILTER (gone.pos IS NULL) AS kept
+  FROM w LEFT JOIN gone ON w.doc_id = gone.doc_id AND w.pos = gone.pos GROUP BY w.doc_id)
+SELECT d.doc_id, coalesce(n_words, 0)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN r USING (doc_id)
+"""
