@@ -26,7 +26,8 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "__size
 
     A source's ceiling is `most` times its size. Excess over a ceiling is shared again by weight until no target is above
     one, which is the level at which min(ceiling, level * weight) sums to the whole: sources are taken by ceiling over
-    weight, and the first k of them are full when the level left for the others stays below the next one's ratio.
+    weight, and the first k of them are full when the level left for the others stays below the next one's ratio. Levels
+    only fall from that k on, so it is the largest of those that stay below.
     Works on one row a source (a partial sum has been made before the shuffle); an empty table gives no rows.
     """
     per = sizes.groupBy(source).agg(F.sum(size).alias("__source_size"))
@@ -40,7 +41,7 @@ def source_targets(sizes: DataFrame, source: str = "source", size: str = "__size
         F.sum("__weight").over(whole) - F.coalesce(F.sum("__weight").over(before), F.lit(0.0))
     )
     per = per.withColumn("__level", level).withColumn("__level", F.when(F.col("__level") <= F.col("__cap") / F.col("__weight"), F.col("__level")))
-    per = per.withColumn("__level", F.min("__level").over(whole))
+    per = per.withColumn("__level", F.max("__level").over(whole))
     target = F.coalesce(F.least(F.col("__cap"), F.col("__level") * F.col("__weight")), F.lit(0.0))
     per = per.withColumn("__target", target)
     return per.select(source, "__source_size", "__target", F.when(F.col("__source_size") > 0, F.col("__target") / F.col("__source_size")).otherwise(0.0).alias("__rate"))
@@ -86,7 +87,7 @@ w AS (SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS tu
 c AS (SELECT *, (turn % 3 + 1)::DOUBLE AS weight, source_size::DOUBLE * 3 AS cap FROM w),
 l AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0))
   / (sum(weight) OVER () - coalesce(sum(weight) OVER (ORDER BY cap / weight, turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)) AS lev FROM c),
-m AS (SELECT *, min(CASE WHEN lev <= cap / weight THEN lev END) OVER () AS level FROM l),
+m AS (SELECT *, max(CASE WHEN lev <= cap / weight THEN lev END) OVER () AS level FROM l),
 t AS (SELECT source, source_size, coalesce(least(cap, level * weight), 0.0) AS target FROM m),
 r AS (SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0 END AS rate FROM t),
 k AS (SELECT d.doc_id, d.size, r.source_size, r.target, r.rate,

@@ -40,6 +40,7 @@ def test_each_stage_against_brute_force(spark):
 
     assert plain(outs[2]) == [cleaned(r) for r in plain(outs[1])]
     copies = {r["doc_id"]: r["__copies"] for r in mixing.with_copies(outs[2]).collect()}
+    assert 0.8 < sum(len(r[1].split()) for r in plain(outs[3])) / sum(len(r[1].split()) for r in plain(outs[2])) < 1.2
     assert plain(outs[3]) == sorted((r for r in plain(outs[2]) for _ in range(copies[r[0]])), key=str)
     sp = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
     want = sorted(((r[0], [*sp.encode(r[1]), 2]) for r in plain(outs[3])), key=str)

@@ -1,4 +1,5 @@
 import hashlib
+import re
 import zlib
 
 import numpy as np
@@ -81,22 +82,42 @@ def brute_targets(sizes, weights=(1, 2, 3), most=3):
     return target
 
 
-@pytest.mark.parametrize("case", [None, [], "small"])
+MIXES = {
+    "awkward": rows,
+    "empty": list,
+    "one full": lambda: [(i, "w " * (1 + i % 5), "en", f"s{min(i, 4)}", 0, 0, "") for i in range(300)],
+    "even": lambda: [(i, "w " * (1 + i % 5), "en", f"s{i % 7}", 0, 0, "") for i in range(700)],
+    "hot": lambda: [(i, "w " * (1 + i % 5), "en", f"s{(i % 3) and i % 20}", 0, 0, "") for i in range(900)],
+    "one source": lambda: [(i, "w w", "en", None, 0, 0, "") for i in range(50)],
+}
+
+
+@pytest.mark.parametrize("case", MIXES)
 def test_op9_targets_and_copies(spark, tmp_path, case):
-    data = {None: rows(), "small": [(i, "w " * (1 + i % 5), "en", f"s{min(i, 4)}", 0, 0, "") for i in range(300)]}.get(case if case != [] else "none", [])
+    data = MIXES[case]()
     folder = documents_dir(table(spark, data), tmp_path)
     got = mixing.op9_mixing(spark, folder).collect()
     sizes: dict = {}
     for r in data:
-        sizes[r[3]] = sizes.get(r[3], 0) + len((r[1] or "").split(" ") if False else [x for x in __import__("re").findall(r"[^\x20\x09-\x0D]+", r[1] or "")])
+        sizes[r[3]] = sizes.get(r[3], 0) + len(re.findall(r"[^\x20\x09-\x0D]+", r[1] or ""))
     want = brute_targets(sizes)
     source = {}
     for r in data:
         source.setdefault(r[0], r[3])
     assert len(got) == len(data)
+    taken: dict = dict.fromkeys(sizes, 0)
     for r in got:
         assert r["target"] == pytest.approx(want[source[r["doc_id"]]])
         assert r["source_size"] == sizes[source[r["doc_id"]]]
         assert 0 <= r["taken"] <= 3 * r["size"] and (r["size"] == 0 or r["taken"] % r["size"] == 0)
+        taken[source[r["doc_id"]]] += r["taken"]
+    if case in ("even", "hot", "one source"):
+        assert sum(want.values()) == pytest.approx(sum(sizes.values()))
+        for name, target in want.items():
+            fraction = target / sizes[name] % 1
+            spread = sum(r["size"] ** 2 for r in got if source[r["doc_id"]] == name) * fraction * (1 - fraction)
+            assert abs(taken[name] - target) <= 4 * spread**0.5 + 1e-6
     assert sorted(map(str, got)) == sorted(map(str, mixing.op9_mixing(spark, folder).collect()))
-    assert mixing.mix_sources(table(spark, data)).columns == table(spark, data).columns
+    mixed = mixing.mix_sources(table(spark, data))
+    assert mixed.columns == table(spark, data).columns
+    assert mixed.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
