@@ -85,9 +85,10 @@ def digests(grams: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def level_of(n: np.ndarray, share: float) -> np.ndarray:
-    """log2 of the number of fragments for sets of size n: at least share * n."""
-    return np.ceil(np.log2(np.maximum(1.0, share * n))).astype(np.int64)
+def level_of(n: np.ndarray, percent: int) -> np.ndarray:
+    """log2 of the number of fragments for sets of size n: at least 1.25 * (1 - t) / t * n, with t in whole percents."""
+    least = np.maximum(1, -(-5 * (100 - percent) * n // (4 * percent)))
+    return np.ceil(np.log2(least)).astype(np.int64)
 
 
 def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -98,13 +99,14 @@ def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tupl
     Small sets go up from level to level until even a partner's fragments must exceed that, so that the level on which
     the smaller has enough of them is among those of both. A set that has `spare` fragments more than needed for one
     common one can leave out its `spare` most frequent ones: similar sets still meet in the rarest common fragment.
+    All bounds are reckoned in whole percents, as the links are: in binary fractions they miss sets that just reach them.
     """
-    sizes = np.diff(upto)
-    lose = (1 - threshold) / threshold
-    share = 1.25 * lose
-    high, low = level_of(sizes, share), level_of(np.floor(threshold * sizes), share)
-    needs = sizes * lose >= 1  # smaller sets are similar to equal ones only
-    enough = lose * sizes + (1 - threshold) * sizes
+    sizes = np.diff(upto).astype(np.int64)
+    percent = round(100 * threshold)
+    differ = sizes * (100 - percent) // percent
+    high, low = level_of(sizes, percent), level_of(sizes * percent // 100, percent)
+    needs = differ >= 1  # smaller sets are similar to equal ones only
+    enough = sizes * (100 - percent) * (100 + percent)  # of a partner's fragments: more than 100 * percent times theirs
     more = needs & (sizes < SMALL)
     owner = np.repeat(np.arange(len(sizes)), sizes)
     mixed = mix64(grams)
@@ -123,12 +125,12 @@ def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tupl
         first = np.flatnonzero(new)
         sums = np.add.reduceat(mixed[some], first)
         held = np.bincount(who[first], minlength=len(sizes))
-        spare = np.maximum(held - np.floor(lose * sizes + 1e-9).astype(np.int64) - 1, 0)
+        spare = np.maximum(held - differ - 1, 0)
         who = who[first]
         keys = mix64(sums + frag[first] * np.uint64(0x94D049BB133111EB) + np.uint64(level + 1))
         for o, v in zip(out, (who, keys.view(np.int64), np.full(len(who), level), spare[who]), strict=True):
             o.append(v)
-        more &= ~(on & (held > enough) & (level >= high))
+        more &= ~(on & (held * 100 * percent > enough) & (level >= high))
     return tuple(np.concatenate(o).astype(np.int64) if o else np.zeros(0, np.int64) for o in out)
 
 

@@ -90,3 +90,35 @@ def test_components_and_one_of_each(spark):
     found = kept.collect()
     assert sorted({r["doc_id"] for r in found} - {None}) == sorted({c for _, _, c in brute(data)} - {None})
     assert len(found) == len({(r["doc_id"], r["text"]) for r in found})
+
+
+def just_similar():
+    """Pairs of whole-word texts whose 5-gram sets of 3 to 12 have a similarity of exactly 0.8 where that can be."""
+    out = []
+    for size in range(3, 13):
+        for repeat in range(6):
+            base = [f"s{size}r{repeat}w{i}" for i in range(size + 4)]
+            for more in (1, 2, 3):  # one or more grams at the end: size / (size + more)
+                out += [base, base + [f"s{size}r{repeat}e{more}x{i}" for i in range(more)]]
+            other = [f"q{size}r{repeat}w{i}" for i in range(size + 4)]
+            out += [other, other[:-1] + [f"q{size}r{repeat}z"]]  # one gram differs on both sides
+    return [(i, " ".join(words), "en", "s", 1, 1, "") for i, words in enumerate(out)]
+
+
+def test_sets_of_just_the_threshold_link(spark):
+    data = just_similar()
+    got = sorted(map(tuple, jaccard.jaccard_components(table(spark, data)).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute(data, 5, 80)
+    words = [f"w{i}" for i in range(9)]
+    two = table(spark, [(i, " ".join(words[: 8 + i]), "en", "s", 1, 1, "") for i in (0, 1)])
+    assert [r["doc_id"] for r in jaccard.one_of_each(two).collect()] == [0]
+
+
+@pytest.mark.parametrize("percent", [80, 85, 90])
+def test_bounds_in_whole_percents(percent):
+    for size in range(1, 60):
+        for more in range(1, 1 + size * (100 - percent) // percent):
+            words = [f"w{i}" for i in range(size + 4 + more)]
+            grams, upto = jaccard.gram_sets(pa.array([" ".join(words[: size + 4]), " ".join(words)]), 5)
+            who, keys, _, _ = jaccard.fragment_keys(grams, upto, percent / 100)
+            assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
