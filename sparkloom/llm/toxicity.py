@@ -138,7 +138,7 @@ def held_out(key: str = "doc_id"):
 
 def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text") -> Model:
     """Learn from rows that held_out() leaves. Feature counts cover all of them; only the final fit takes samples, of
-    POSITIVES and UNLABELLED rows in the order of a hash of the key. Without positive examples all scores are 0."""
+    POSITIVES and UNLABELLED rows in the order of a hash of the key (with the text where it is null). Without positive examples all scores are 0."""
     names = labels.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("__toxic"))
     rows = docs.where(~held_out(key)).select(F.col(key).cast("long").alias("__key"), F.coalesce(F.col(text), F.lit("")).alias("__text"))
     known = names.agg(F.count("*").alias("n"), F.sum((F.col("__toxic") == 1).cast("long")).alias("p")).first()
@@ -148,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     prior = float(np.clip(known["p"] / known["n"], 0.01, 0.5))
     toxic = names.where("__toxic = 1").select(F.col("doc_id").alias("__key"))
     toxic = F.broadcast(toxic) if known["p"] <= BROADCAST_ROWS else toxic  # else Spark shuffles the texts
-    positive = rows.join(toxic, "__key", "left_semi").select("__text")
+    positive = rows.join(toxic, "__key", "left_semi").select("__key", "__text")
 
     def vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 0)):
@@ -159,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     n_positive = positive.count()
     least = max(LEAST, LEAST_SHARE * n_positive) if n_positive > 2 * LEAST else 1
-    top = positive.mapInArrow(vocabulary, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
+    top = positive.select("__text").mapInArrow(vocabulary, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
     if not top:
         return none
     found = np.array([r["feature"] for r in top], np.int64).view(np.uint64)
@@ -192,15 +192,15 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
     def sample(texts: DataFrame, n: int, of: int) -> np.ndarray:
         share = min(1.0, 1.2 * n / max(of, 1) + 100 / max(of, 1))
-        seed = F.xxhash64("__text")
+        seed = F.xxhash64("__key", F.when(F.col("__key").isNull(), F.col("__text")))
         some = texts.select(seed.alias("__seed"), "__text").where(F.pmod("__seed", F.lit(1_000_000)) < int(share * 1_000_000) + 1)
-        got = some.mapInArrow(examples, "key long, which array<int>").orderBy(F.pmod("key", F.lit(1_000_000)), "key").limit(n).collect()
+        got = some.mapInArrow(examples, "key long, which array<int>").orderBy(F.pmod("key", F.lit(1_000_000)), "key", F.array_sort("which")).limit(n).collect()
         x = np.zeros((len(got), len(vocabulary_kept)), np.float32)
         for i, r in enumerate(got):
             x[i, r["which"]] = 1
         return x
 
-    weights, bias = fit_nnpu(sample(positive, POSITIVES, n_positive), sample(rows.select("__text"), UNLABELLED, n_all), prior)
+    weights, bias = fit_nnpu(sample(positive, POSITIVES, n_positive), sample(rows, UNLABELLED, n_all), prior)
     return Model(vocabulary_kept, weights, bias)
 
 

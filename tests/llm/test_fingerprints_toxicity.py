@@ -91,3 +91,20 @@ def test_nnpu_keeps_the_negative_part_up():
     u = (rng.random((2000, 3)) < [0.3, 0.5, 0.5]).astype(np.float32)
     w, _ = toxicity.fit_nnpu(p, u, 0.3)
     assert w[0] > 1 and w[2] < 0 and np.isfinite(w).all()
+
+
+def test_copies_are_sampled_row_by_row(spark, monkeypatch):
+    drawn = []
+    fit = toxicity.fit_nnpu
+    monkeypatch.setattr(toxicity, "UNLABELLED", 300)
+    monkeypatch.setattr(toxicity, "fit_nnpu", lambda p, u, prior: drawn.append(u) or fit(p, u, prior))
+    rng = np.random.default_rng(4)
+    docs, labels = [], []
+    for i in range(3000):
+        toxic = i % 30 == 1
+        text = "one vilest text in a third of the rows" if i % 3 == 0 else " ".join(rng.choice(["some", "other", "plain", "words"], 6)) + f" n{i}" + " vilest" * toxic
+        docs.append((i, text, "en", "s", 1, 1, ""))
+        labels.append((i, 1, int(toxic)))
+    model = toxicity.train(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    place = np.searchsorted(model.hashes, toxicity.features(pa.array(["vilest"]))[1][-1])
+    assert len(drawn[0]) == 300 and 0.25 < drawn[0][:, place].mean() < 0.48
