@@ -1,8 +1,8 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
 Confirmed toxic documents are the positive examples and all other training documents, whatever their label, the
-unlabelled ones. Features are words and word beginnings that occur at least once, twice or four times in a text. A
-linear model in numpy minimises the class-prior-corrected risk, whose negative part is kept from going below zero.
+unlabelled ones. Features are words, word beginnings and pieces of long unbroken runs that occur at least once, twice or
+four times in a text. A linear model in numpy minimises the class-prior-corrected risk, whose negative part is kept from going below zero.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from .common import documents, mix64, slices, string_buffers
 
 #: Lengths of word beginnings, in bytes, and the counts from which a feature holds.
 STARTS = (5, 6, 7, 8, 10)
+#: Lengths of the pieces, in bytes, that begin at every character of a run longer than a word is read.
+LONGEST, PIECES = 32, (6, 10)
 TIMES = (1, 2, 4)
 #: Bounds of what is fitted on: features looked at, features kept, positive and unlabelled examples.
 CANDIDATES, FEATURES, POSITIVES, UNLABELLED = 30_000, 512, 4000, 8000
@@ -28,17 +30,51 @@ LEAST, LEAST_SHARE = 3, 0.004
 THRESHOLD = 0.7
 #: Keys of toxic rows that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
-#: A word's bytes: letters, digits and everything beyond ASCII.
+#: A word's bytes: letters, digits and everything beyond ASCII but the separators below.
 LETTERS = np.zeros(256, bool)
 LETTERS[np.r_[48:58, 97:123, 128:256]] = True
 _TABLE = mix64(np.arange(256, dtype=np.uint64) + np.uint64(0x7F4A7C15))
-_WEIGHTS = mix64(np.arange(32, dtype=np.uint64) + np.uint64(0x1B873593)) | np.uint64(1)
+_WEIGHTS = mix64(np.arange(LONGEST, dtype=np.uint64) + np.uint64(0x1B873593)) | np.uint64(1)
+#: Ranges of Unicode spaces and punctuation: Latin-1, general, CJK and full-width forms.
+SEPARATORS = [(0x80, 0xA9), (0xAB, 0xB4), (0xB6, 0xB9), (0xBB, 0xBF), (0x2000, 0x206F), (0x3000, 0x3004), (0x3008, 0x3020), (0x3030, 0x3030), (0xFF00, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)]
+
+
+def letters(data: np.ndarray) -> np.ndarray:
+    """Whether each byte of UTF-8 texts belongs to a word."""
+    solid = LETTERS[data]
+    lead = np.flatnonzero((data == 0xC2) | (data == 0xE2) | (data == 0xE3) | (data == 0xEF))
+    long = data[lead] >= 0xE0
+    second = data[lead + 1].astype(np.int64) & 63
+    third = data[np.minimum(lead + 2, len(data) - 1)].astype(np.int64) & 63
+    code = np.where(long, (data[lead].astype(np.int64) & 15) << 12 | second << 6 | third, (data[lead].astype(np.int64) & 31) << 6 | second)
+    apart = np.zeros(len(lead), bool)
+    for low, top in SEPARATORS:
+        apart |= (code >= low) & (code <= top)
+    solid[lead[apart]] = solid[lead[apart] + 1] = False
+    solid[lead[apart & long] + 2] = False
+    return solid
+
+
+def beginnings(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, emitted: tuple[int, ...]) -> tuple[np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+    """The sum over the bytes of each string, and for each of some lengths the strings that have it and their hashes."""
+    sums = np.zeros(len(starts), np.uint64)
+    live, out = np.arange(len(starts)), []
+    for k in range(int(lengths.max()) if len(lengths) else 0):
+        live = live[lengths[live] > k]
+        sums[live] += _TABLE[data[starts[live] + k]] * _WEIGHTS[k]
+        if k + 1 in emitted:
+            out.append((live, mix64(sums[live] + np.uint64(k + 1))))
+    return sums, out
 
 
 def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """The text number and hash of each word and each word beginning of a batch, lower-cased; words count up to 32 bytes."""
+    """The text number and hash of each word and each word beginning of a batch, lower-cased.
+
+    Words count up to 32 bytes. In longer runs (scripts without spaces, unbroken strings), pieces that begin at each
+    further character are features as well, the same as beginnings of words, so that every byte takes part in one.
+    """
     data, offs = string_buffers(pc.utf8_lower(column))
-    solid = LETTERS[data]
+    solid = letters(data)
     first, last = solid.copy(), solid.copy()
     first[1:] &= ~solid[:-1]
     last[:-1] &= ~solid[1:]
@@ -48,16 +84,18 @@ def features(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     last[edges - 1] = solid[edges - 1]
     starts, ends = np.flatnonzero(first), np.flatnonzero(last) + 1
     doc = np.searchsorted(offs, starts, "right") - 1
-    lengths = np.minimum(ends - starts, 32)
-    sums = np.zeros(len(starts), np.uint64)
-    docs, hashes = [], []
-    live = np.arange(len(starts))
-    for k in range(int(lengths.max()) if len(lengths) else 0):
-        live = live[lengths[live] > k]
-        sums[live] += _TABLE[data[starts[live] + k]] * _WEIGHTS[k]
-        if k + 1 in STARTS:
-            docs.append(doc[live])
-            hashes.append(mix64(sums[live] + np.uint64(k + 1)))
+    sums, found = beginnings(data, starts, np.minimum(ends - starts, LONGEST), STARTS)
+    docs, hashes = [doc[i] for i, _ in found], [h for _, h in found]
+    wide = np.flatnonzero(ends - starts > LONGEST)
+    if len(wide):
+        inside = np.zeros(len(data) + 1, np.int8)
+        inside[starts[wide] + 1] += 1
+        inside[ends[wide]] -= 1
+        further = np.flatnonzero((np.cumsum(inside[:-1], dtype=np.int8) > 0) & ((data & 0xC0) != 0x80))
+        run = np.searchsorted(starts, further, "right") - 1
+        for i, h in beginnings(data, further, np.minimum(ends[run] - further, max(PIECES)), PIECES)[1]:
+            docs.append(doc[run[i]])
+            hashes.append(h)
     docs.append(doc)
     hashes.append(mix64(sums + np.uint64(0x5BD1E995)))
     return np.concatenate(docs), np.concatenate(hashes)

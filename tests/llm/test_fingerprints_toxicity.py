@@ -108,3 +108,18 @@ def test_copies_are_sampled_row_by_row(spark, monkeypatch):
     model = toxicity.train(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
     place = np.searchsorted(model.hashes, toxicity.features(pa.array(["vilest"]))[1][-1])
     assert len(drawn[0]) == 300 and 0.25 < drawn[0][:, place].mean() < 0.48
+
+
+def test_every_byte_of_long_runs_takes_part():
+    of = lambda t: set(toxicity.features(pa.array([t]))[1].tolist())
+    for text in ("x" * 70 + "a1b2c3" + "y" * 5, "这是一个没有空格的很长很长的句子里面有坏话在最后面", "ข้อความภาษาไทยที่ไม่มีช่องว่างเลยสักที่เดียว"):
+        for at in range(len(text)):
+            assert of(text) != of(text[:at] + "é" + text[at + 1 :])
+    for sign in "\u00a0\u3000。、，！—…“”«»":
+        assert of(f"first{sign}second") == of("first second")
+    assert of("œuvre") != of("uvre") and of("人々") != of("人")
+    shared = of("在前面" * 8 + "坏话在最后") & of("坏话在")
+    assert len(shared) >= 1  # found within a run as at the beginning of a word
+    many = ["plain words", "x" * 50, "", "last 一二三四五六七八九十一二三四五"]
+    doc, hashes = toxicity.features(pa.array(many))
+    assert [set(hashes[doc == i].tolist()) for i in range(4)] == [of(t) for t in many]
