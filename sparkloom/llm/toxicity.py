@@ -16,19 +16,17 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, slices, string_buffers
+from .common import documents, mix64, slices, string_buffers, written
 
 #: Lengths of word beginnings, in bytes, and the counts from which a feature holds.
 STARTS = (5, 6, 7, 8, 10)
 #: Lengths of the pieces, in bytes, that begin at every character of a run longer than a word is read.
 LONGEST, PIECES = 32, (6, 10)
 TIMES = (1, 2, 4)
-#: Bounds of what is fitted on: features looked at, features kept, positive and unlabelled examples.
-CANDIDATES, FEATURES, POSITIVES, UNLABELLED = 30_000, 512, 4000, 8000
-#: A candidate occurs in so many positive examples, and in this share of them, at least.
-LEAST, LEAST_SHARE = 3, 0.004
+#: Bounds of what is fitted on: features, positive and unlabelled examples.
+FEATURES, POSITIVES, UNLABELLED = 512, 4000, 8000
 THRESHOLD = 0.7
-#: Keys of toxic rows that are broadcast at most.
+#: Keys of toxic rows, or features of positive examples, that are broadcast at most.
 BROADCAST_ROWS = 1_000_000
 #: A word's bytes: letters, digits and everything beyond ASCII but the separators below.
 LETTERS = np.zeros(256, bool)
@@ -196,30 +194,18 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
             yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n.astype(np.int64))], names=["feature", "n"])
 
     n_positive = positive.count()
-    least = max(LEAST, LEAST_SHARE * n_positive) if n_positive > 2 * LEAST else 1
-    top = positive.select("__text").mapInArrow(vocabulary, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).where(F.col("n") >= least).orderBy(F.desc("n"), "feature").limit(CANDIDATES).collect()
-    if not top:
+    tally = lambda texts: texts.select("__text").mapInArrow(vocabulary, "feature long, n long")
+    in_positive = written(tally(positive).groupBy("feature").agg(F.sum("n").alias("p")))
+    n_features, n_all = in_positive.count(), rows.count()
+    if not n_features:
         return none
-    found = np.array([r["feature"] for r in top], np.int64).view(np.uint64)
-    order = np.argsort(found)
-    found, in_positive = found[order], np.array([r["n"] for r in top], np.float64)[order]
-
-    def totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums, n = np.zeros(len(found), np.int64), 0
-        for batch in (x for b in batches for x in slices(b, 0)):
-            sums += np.bincount(held(found, batch.column(0))[1], minlength=len(found))
-            n += batch.num_rows
-        some = np.flatnonzero(sums)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(sums[some], n))], names=["feature", "n"])
-
-    counts = {r["feature"]: r["n"] for r in rows.select("__text").mapInArrow(totals, "feature long, n long").groupBy("feature").agg(F.sum("n").alias("n")).collect()}
-    n_all = max(1, counts.pop(-1, 0))
-    in_all = np.zeros(len(found))
-    in_all[list(counts)] = list(counts.values())
-    p, u = (in_positive + 0.1) / (n_positive + 1), (in_all + 0.5) / (n_all + 1)
-    gain = (p - u) / np.sqrt(u * (1 - np.minimum(u, 0.999)))
-    best = np.sort(np.argsort(-gain, kind="stable")[:FEATURES])
-    vocabulary_kept = found[best]
+    looked = in_positive.select("feature")
+    looked = F.broadcast(looked) if n_features <= BROADCAST_ROWS else looked
+    in_all = tally(rows).join(looked, "feature", "left_semi").groupBy("feature").agg(F.sum("n").alias("n"))
+    p, u = (F.col("p") + 0.1) / (n_positive + 1), (F.col("n") + 0.5) / (n_all + 1)
+    gain = (p - u) / F.sqrt(u * (1 - F.least(u, F.lit(0.999))))
+    best = in_positive.join(in_all, "feature").select("feature", gain.alias("gain")).orderBy(F.desc("gain"), "feature").limit(FEATURES).collect()
+    vocabulary_kept = np.sort(np.array([r["feature"] for r in best], np.int64).view(np.uint64))
 
     def examples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 1)):

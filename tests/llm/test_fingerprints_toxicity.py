@@ -123,3 +123,14 @@ def test_every_byte_of_long_runs_takes_part():
     many = ["plain words", "x" * 50, "", "last 一二三四五六七八九十一二三四五"]
     doc, hashes = toxicity.features(pa.array(many))
     assert [set(hashes[doc == i].tolist()) for i in range(4)] == [of(t) for t in many]
+
+
+def test_rare_telling_words_become_features(spark):
+    rng = np.random.default_rng(6)
+    docs = [(i, " ".join(rng.choice(["some", "other", "plain", "words"], 6)), "en", "s", 1, 1, "") for i in range(4500)]
+    labels = [(i, 1, int(i % 3 == 0)) for i in range(4500)]
+    learnt = [i for i, _, toxic in labels if toxic and zlib.crc32(str(i).encode()) % 3 != 1]
+    for i in learnt[:3]:  # 0.3 % of about 1000 positive examples
+        docs[i] = (i, docs[i][1] + " vilest", "en", "s", 1, 1, "")
+    model = toxicity.train(table(spark, docs), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    assert len(learnt) > 900 and toxicity.features(pa.array(["vilest"]))[1][-1] in model.hashes
