@@ -122,3 +122,11 @@ def test_bounds_in_whole_percents(percent):
             grams, upto = jaccard.gram_sets(pa.array([" ".join(words[: size + 4]), " ".join(words)]), 5)
             who, keys, _, _ = jaccard.fragment_keys(grams, upto, percent / 100)
             assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
+
+
+def test_pairs_are_compared_without_new_pivot_pairs(spark, monkeypatch):
+    pivot_pairs = jaccard._pivot_pairs
+    monkeypatch.setattr(jaccard, "_pivot_pairs", lambda rows: pivot_pairs(rows).limit(0))
+    words = [f"w{i}" for i in range(40)]
+    data = [(i, " ".join(words[: 38 + i]), "en", "s", 1, 1, "") for i in range(3)]
+    assert {tuple(r) for r in jaccard.jaccard_components(table(spark, data)).select("doc_id", "component_id").collect()} == {(i, 0) for i in range(3)}
