@@ -1,8 +1,8 @@
-"""Removing word passages that an earlier document has, by compacting the De Bruijn graph of word k-mers.
+"""Removing word passages that an earlier document has, by minimiser spans that are grouped by hash.
 
-Edges of the graph are windows of 50 words. The windows that share a smallest word gram follow each other on a path;
-paths that are equal throughout, source by source, are compacted to one edge with the coordinates of its sources, and
-only where paths of one gram branch are they taken apart again. The first source of an edge keeps its words.
+Runs of windows of 50 words that share a smallest word gram are spans; spans that are equal throughout are one with the
+places of its sources, and only where spans of one gram differ are they taken apart. The first source of a window keeps
+its words. No k-mer edges are joined into paths; see repeats.py.
 """
 
 from __future__ import annotations

@@ -1,9 +1,7 @@
-"""Removing byte strings that occur earlier, by inducing suffix order from sampled suffixes.
+"""Removing byte strings that occur earlier, by minimiser spans that are grouped by hash.
 
-Two suffixes share a string of 100 bytes if they are neighbours with so long a common prefix among all suffixes sorted
-by their first 100 bytes. As in induced sorting, only sampled suffixes (the smallest of a window in a fixed random order)
-are brought together first; the place of any other suffix follows from that of its sample and the bytes before it, taken
-one recursion level at a time. Spark's external sort and shuffle, which spill to disk and merge runs, order the tuples.
+Runs of windows of 100 bytes that share a sample (the smallest gram of a window in a fixed random order) are grouped by
+hash, wide ones first, and only where they differ are they taken apart. No suffixes are sorted; see repeats.py.
 """
 
 from __future__ import annotations
