@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What is marked for broadcast at most.
+BROADCAST_BYTES = 48 << 20
 #: ASCII white space, as bytes.
 SPACES = np.zeros(256, dtype=bool)
 SPACES[[9, 10, 11, 12, 13, 32]] = True
@@ -51,6 +53,12 @@ def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     return out
 
 
+def guarded(df: DataFrame, row_bytes: int = 32) -> DataFrame:
+    """Marked for broadcast where its rows, counted, and their width, stated, stay within BROADCAST_BYTES; else left to
+    Spark's own choice."""
+    return F.broadcast(df) if df.count() * row_bytes <= BROADCAST_BYTES else df
+
+
 def dropped(*frames: DataFrame) -> None:
     """Delete tables of written() from which everything has been derived and written again."""
     for frame in frames:

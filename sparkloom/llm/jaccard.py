@@ -2,30 +2,32 @@
 
 All n-grams are ordered by their hash, and this order is cut into fragments, the same for all sets of about a size. Sets
 that are similar enough differ in fewer n-grams than they have fragments, so they agree on a whole fragment: equal
-fragments give the candidates. A candidate pair's overlap is counted in each of a fixed number of fragments separately,
+fragments make the buckets of candidates. A pair's overlap is counted in each of a fixed number of fragments separately,
 and the partial overlaps are summed per pair.
+
+No bucket is expanded into its pairs. One member, the pivot, is compared with all others; two members whose differences
+from the pivot don't meet are decided by the sizes of these differences alone, and then both link to the pivot if they
+link at all. Members with differences in common meet again in buckets of one such gram, of which each member enters only
+the rarest that it can't do without.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, mix64, slices, string_buffers, word_bounds, word_hashes, written
+from .common import documents, guarded, mix64, slices, string_buffers, word_bounds, word_hashes, written
 from .components import connected_components
 
 #: Bits of an n-gram's hash; a slice's text number goes above them while it is sorted.
 HASH_BITS = 52
 #: Fragments in which overlaps are counted.
 PARTIAL = 8
-#: Keys that are broadcast at most; beyond that Spark joins by shuffling.
-BROADCAST_ROWS = 2_000_000
-#: Below this size a set takes further levels until it has fragments to spare; above it, chance sees to that.
-SMALL = 160
 #: One fragment in so many is looked at first.
 SAMPLE = 16
 #: Set digests that a task keeps so as not to send the fragments of copies again.
@@ -85,9 +87,17 @@ def digests(grams: np.ndarray, upto: np.ndarray) -> np.ndarray:
     return out.view(np.int64)
 
 
-def level_of(n: np.ndarray, percent: int) -> np.ndarray:
-    """log2 of the number of fragments for sets of size n: at least 1.25 * (1 - t) / t * n, with t in whole percents."""
-    least = np.maximum(1, -(-5 * (100 - percent) * n // (4 * percent)))
+def ratio(threshold: float) -> tuple[int, int]:
+    """The threshold as a fraction of two whole numbers, as it is written: 0.85 is 17/20, not the binary number next to it."""
+    if not 0 < threshold <= 1:
+        raise ValueError(f"a similarity threshold is above 0 and at most 1, not {threshold}")
+    exact = Fraction(str(threshold)).limit_denominator(10_000)
+    return exact.numerator, exact.denominator
+
+
+def level_of(n: np.ndarray, num: int, den: int) -> np.ndarray:
+    """log2 of the number of fragments for sets of size n: at least 1.25 * (1 - t) / t * n, with t = num / den."""
+    least = np.maximum(1, -(-5 * (den - num) * n // (4 * num)))
     return np.ceil(np.log2(least)).astype(np.int64)
 
 
@@ -96,23 +106,23 @@ def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tupl
 
     With t the threshold, sets of sizes a <= b that are similar differ in at most d = a * (1 - t) / t grams, and b <= a / t.
     Both take the level of a. Of a's non-empty fragments at most d differ, so one is left where there are more than d.
-    Small sets go up from level to level until even a partner's fragments must exceed that, so that the level on which
-    the smaller has enough of them is among those of both. A set that has `spare` fragments more than needed for one
-    common one can leave out its `spare` most frequent ones: similar sets still meet in the rarest common fragment.
-    All bounds are reckoned in whole percents, as the links are: in binary fractions they miss sets that just reach them.
+    A set goes up from level to level until even a partner's fragments must exceed that, so that the level on which the
+    smaller has enough of them is among those of both. A set that has `spare` fragments more than needed for one common
+    one can leave out its `spare` most frequent ones: similar sets still meet in the rarest common fragment.
+    All bounds are reckoned in whole numbers: in binary fractions they miss sets that just reach them.
     """
     sizes = np.diff(upto).astype(np.int64)
-    percent = round(100 * threshold)
-    differ = sizes * (100 - percent) // percent
-    high, low = level_of(sizes, percent), level_of(sizes * percent // 100, percent)
+    num, den = ratio(threshold)
+    differ = sizes * (den - num) // num
+    high, low = level_of(sizes, num, den), level_of(sizes * num // den, num, den)
     needs = differ >= 1  # smaller sets are similar to equal ones only
-    enough = sizes * (100 - percent) * (100 + percent)  # of a partner's fragments: more than 100 * percent times theirs
-    more = needs & (sizes < SMALL)
+    enough = sizes * (den - num) * (den + num)  # of a partner's fragments: more than num * den times theirs
+    more = needs.copy()
     owner = np.repeat(np.arange(len(sizes)), sizes)
     mixed = mix64(grams)
     out: list[list[np.ndarray]] = [[], [], [], []]
     for level in range(int(low[needs].min()) if needs.any() else 1, HASH_BITS + 1):
-        on = needs & (((level == low) | (level == high)) | (more & (level >= low)))
+        on = needs & (level >= low) & ((level <= high) | more)
         if not on.any():
             if level > int(high.max()) and not more.any():
                 break
@@ -130,7 +140,7 @@ def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tupl
         keys = mix64(sums + frag[first] * np.uint64(0x94D049BB133111EB) + np.uint64(level + 1))
         for o, v in zip(out, (who, keys.view(np.int64), np.full(len(who), level), spare[who]), strict=True):
             o.append(v)
-        more &= ~(on & (held * 100 * percent > enough) & (level >= high))
+        more &= ~(on & (held * num * den > enough) & (level >= high))
     return tuple(np.concatenate(o).astype(np.int64) if o else np.zeros(0, np.int64) for o in out)
 
 
@@ -157,11 +167,6 @@ def fresh_keys(fresh: np.ndarray, grams: np.ndarray, upto: np.ndarray, threshold
     return fragment_keys(grams[np.repeat(keep, sizes)], np.concatenate([[0], np.cumsum(sizes[fresh])]), threshold)
 
 
-def guarded(df: DataFrame) -> DataFrame:
-    """Marked for broadcast where its counted rows are few; else left to Spark's own choice."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def _sets(docs: DataFrame, key: str, text: str, n: int, threshold: float) -> DataFrame:
     """doc_id, text_hash, n, k (the set's digest) and a sample of the set's fragments by their hash."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
@@ -220,30 +225,46 @@ def _pieces(docs: DataFrame, wanted: DataFrame, text: str, n: int) -> DataFrame:
     return rows.mapInArrow(cut, "k long, n long, fragment int, grams array<bigint>").groupBy("k", "n", "fragment").agg(F.first("grams").alias("grams"))
 
 
+def _side(pieces: DataFrame, name: str) -> DataFrame:
+    return pieces.select(F.col("k").alias(name), F.col("n").alias(f"n_{name}"), "fragment", F.col("grams").alias(f"g_{name}"))
+
+
+def _by_fragment(pairs: DataFrame, pieces: DataFrame, a: str, b: str) -> DataFrame:
+    """A row for each pair of sets and fragment, with the grams of both there and the sizes of the sets."""
+    each = pairs.withColumn("fragment", F.explode(F.sequence(F.lit(0), F.lit(PARTIAL - 1))))
+    return each.join(_side(pieces, a), [a, "fragment"]).join(_side(pieces, b), [b, "fragment"])
+
+
 def _similar(pairs: DataFrame, pieces: DataFrame, threshold: float) -> DataFrame:
     """The pairs (a, b) whose sets are similar enough: partial overlaps by fragment, summed per pair."""
-    left = pieces.select(F.col("k").alias("a"), F.col("n").alias("n_a"), "fragment", F.col("grams").alias("g_a"))
-    right = pieces.select(F.col("k").alias("b"), F.col("n").alias("n_b"), "fragment", F.col("grams").alias("g_b"))
+    num, den = ratio(threshold)
     sizes = pieces.where("fragment = 0").select("k", "n")
-    fit = pairs.join(sizes.select(F.col("k").alias("a"), F.col("n").alias("n_a")), "a").join(sizes.select(F.col("k").alias("b"), F.col("n").alias("n_b")), "b")
-    fit = fit.where(F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * round(100 * threshold)).select("a", "b", F.explode(F.sequence(F.lit(0), F.lit(PARTIAL - 1))).alias("fragment"))
-    both = fit.join(left, ["a", "fragment"]).join(right, ["b", "fragment"])
-    partial = both.select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).alias("shared"))
+    fit = pairs.join(sizes.select(F.col("k").alias("a"), F.col("n").alias("m_a")), "a").join(sizes.select(F.col("k").alias("b"), F.col("n").alias("m_b")), "b")
+    fit = fit.where(F.least("m_a", "m_b") * den >= F.greatest("m_a", "m_b") * num).select("a", "b")
+    partial = _by_fragment(fit, pieces, "a", "b").select("a", "b", "n_a", "n_b", F.size(F.array_intersect("g_a", "g_b")).alias("shared"))
     total = partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared"))
-    return total.where(F.col("shared") * 100 >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * round(100 * threshold)).select("a", "b")
+    return total.where(F.col("shared") * den >= (F.col("n_a") + F.col("n_b") - F.col("shared")) * num).select("a", "b")
 
 
-def _pivot_pairs(rows: DataFrame) -> DataFrame:
-    """From key, k, component: in each bucket of several components, the pairs (a, b) of one set with those of others.
+def _mixed(rows: DataFrame, *bucket: str) -> DataFrame:
+    """The buckets with rows of several components, and how many rows they have."""
+    return rows.groupBy(*bucket).agg(F.min("component").alias("low"), F.max("component").alias("top"), F.count("*").alias("members")).where("low < top").drop("low", "top")
+
+
+def _with_pivots(rows: DataFrame) -> DataFrame:
+    """From key, k, component: p, pc, k, component for each member k of a bucket of several components, p its pivot.
 
-    The one set is that with the most companions in all its buckets, most likely what the others are copies of.
+    The pivot is that with the most companions in all its buckets, most likely what the others are copies of.
     """
-    mixed = rows.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.count("*").alias("members")).where("low < top").select("key", "members")
-    live = written(rows.join(mixed, "key"))
+    live = written(rows.join(_mixed(rows, "key"), "key"))
     weight = live.groupBy("k").agg(F.sum("members").alias("weight"))
     pivots = live.join(weight, "k").groupBy("key").agg(F.max(F.struct("weight", "k", "component")).alias("pivot")).select("key", F.col("pivot.k").alias("p"), F.col("pivot.component").alias("pc"))
-    pairs = live.join(pivots, "key").where("component <> pc").select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b"))
-    return pairs.distinct()
+    return live.join(pivots, "key").where("k <> p").select("p", "pc", "k", "component").distinct()
+
+
+def _pivot_pairs(rows: DataFrame) -> DataFrame:
+    """The pairs (a, b) of a pivot with its bucket's members of other components."""
+    return _with_pivots(rows).where("component <> pc").select(F.least("k", "p").alias("a"), F.greatest("k", "p").alias("b")).distinct()
 
 
 def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -252,29 +273,80 @@ def _labelled(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
     return rows.join(guarded(labels.withColumnRenamed("node", "k")), "k", "left").withColumn("component", F.coalesce("component", "k"))
 
 
+def _differing(family: DataFrame, pieces: DataFrame, threshold: float) -> DataFrame:
+    """From p, k, component: what of k's difference from its pivot p another component's member has as well.
+
+    p, k, component, cost, budget and grams, rarest first. A member that lacks r grams of p's and has a others costs
+    r + t * a; the budget is (1 - t) * |p| (all times the threshold's denominator). Two members i and j with s
+    differences in common are similar just if cost(i) + cost(j) - (1 + t) * s is within the budget, the pivot itself
+    being a member of cost 0.
+    """
+    num, den = ratio(threshold)
+    apart = F.concat(F.array_except("g_p", "g_k"), F.array_except("g_k", "g_p"))
+    parts = written(_by_fragment(family, pieces, "p", "k").select("p", "k", "component", "n_p", "n_k", apart.alias("apart")))
+    removed, added = (F.expr(f"(differ + n_{x} - n_{y}) div 2") for x, y in ("pk", "kp"))
+    costs = parts.groupBy("p", "k", "component", "n_p", "n_k").agg(F.sum(F.size("apart")).alias("differ"))
+    costs = costs.select("p", "k", "component", (removed * den + added * num).alias("cost"), (F.col("n_p") * (den - num)).alias("budget"))
+    rows = parts.select("p", "k", "component", F.explode("apart").alias("gram"))
+    often = _mixed(rows, "p", "gram")
+    order = F.array_sort(F.collect_list(F.struct("members", "gram")))
+    lists = rows.join(often, ["p", "gram"]).groupBy("p", "k").agg(order.getField("gram").alias("grams"))
+    return costs.join(lists, ["p", "k"], "left").withColumn("grams", F.coalesce("grams", F.array().cast("array<bigint>")))
+
+
+def _emitted(members: DataFrame, threshold: float) -> DataFrame:
+    """p, gram, k, component, cost, budget, far, place, rest: the grams by which a member can be found.
+
+    Of two members that don't both link to the pivot, the far one (that costs more) is beyond the budget, and the other
+    one is near. What a role must have in common with any partner is known from its own cost, so that it can do without
+    as many grams less one, the most frequent ones.
+    """
+    num, den = ratio(threshold)
+    held = F.size("grams")
+    least_far = F.greatest(F.lit(1), F.expr(f"(cost - budget + {den - 1}) div {den}"))
+    least_near = F.greatest(F.lit(1), F.expr(f"(cost + greatest(cost, budget + 1) - budget + {den + num - 1}) div {den + num}"))
+    roles = members.withColumn("far", F.explode(F.array(F.lit(True), F.lit(False)))).where("NOT far OR cost > budget")
+    roles = roles.withColumn("held", held).withColumn("take", F.col("held") - F.when(F.col("far"), least_far).otherwise(least_near) + 1).where("take > 0")
+    rows = roles.select("p", "k", "component", "cost", "budget", "far", "held", F.posexplode(F.slice("grams", F.lit(1), F.col("take").cast("int"))).alias("place", "gram"))
+    return rows.withColumn("rest", F.col("held") - F.col("place")).drop("held", "place")
+
+
+def _agreeing(pairs: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) out of p, i, j that are similar, by their differences from p."""
+    num, den = ratio(threshold)
+    i, j = (members.select("p", F.col("k").alias(x), F.col("cost").alias(f"c_{x}"), F.col("grams").alias(f"g_{x}"), *(["budget"] if x == "i" else [])) for x in "ij")
+    both = pairs.join(i, ["p", "i"]).join(j, ["p", "j"])
+    return both.where(F.col("c_i") + F.col("c_j") - F.size(F.array_intersect("g_i", "g_j")) * (num + den) <= F.col("budget")).select(F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).distinct()
+
+
 def _linked_sets(docs: DataFrame, sets: DataFrame, text: str, n: int, threshold: float) -> DataFrame | None:
     """Components of the distinct sets (node, component), None where nothing links.
 
-    Sets in one component need no further pairs, so obvious copies are linked first: in the buckets of a sample of the
-    fragments, one set is compared with the others. Then all fragments are looked at, and only buckets of several
-    components count; there again one set is compared with the others, and what is left is compared pair by pair, each
-    pair once.
+    Sets in one component need no further links, so obvious copies are linked first: in the buckets of a sample of the
+    fragments, the pivots are compared with the others. Then all fragments are looked at, and only buckets of several
+    components count; there again the pivots are compared with the others. In what is left, members are compared by
+    their differences from the pivots: first with the nearest one in each bucket of a gram, then near with far ones.
     """
+    num, den = ratio(threshold)
     links = labels = done = None
 
-    def compared(pairs: DataFrame) -> bool:
-        nonlocal links, labels, done
-        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
-        if not pairs.limit(1).count():
-            return False
-        names = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct()
-        wanted = written(sets.join(names, "k").groupBy("k").agg(F.min("text_hash").alias("text_hash")).select("text_hash"))
-        found = written(_similar(pairs, written(_pieces(docs, wanted, text, n)), threshold))
-        links = found if links is None else links.unionByName(found)
-        done = pairs if done is None else done.unionByName(pairs)
-        if links.limit(1).count():
+    def linked(found: DataFrame) -> None:
+        nonlocal links, labels
+        if found.limit(1).count():
+            links = found if links is None else links.unionByName(found)
             labels = connected_components(links)
-        return True
+
+    def pieces_of(names: DataFrame) -> DataFrame:
+        wanted = written(sets.join(names, "k").groupBy("k").agg(F.min("text_hash").alias("text_hash")).select("text_hash"))
+        return written(_pieces(docs, wanted, text, n))
+
+    def compared(pairs: DataFrame) -> None:
+        nonlocal done
+        pairs = written(pairs if done is None else pairs.join(done, ["a", "b"], "left_anti"))
+        if pairs.limit(1).count():
+            names = pairs.select(F.col("a").alias("k")).union(pairs.select("b")).distinct()
+            linked(written(_similar(pairs, pieces_of(names), threshold)))
+            done = pairs if done is None else done.unionByName(pairs)
 
     compared(_pivot_pairs(_labelled(sets.select("k", F.explode("sample").alias("key")).distinct(), None)))
     keys = _labelled(_fragments(docs, text, n, threshold), labels)
@@ -283,11 +355,30 @@ def _linked_sets(docs: DataFrame, sets: DataFrame, text: str, n: int, threshold:
     rarest = F.row_number().over(Window.partitionBy("k", "level").orderBy(F.desc("often"), "key"))
     rows = written(rows.withColumn("place", rarest).where("place > spare").select("key", "k"))
     compared(_pivot_pairs(_labelled(rows, labels)))
-    known = _labelled(rows, labels)
-    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top")).where("low < top").select("key")
-    one = written(known.join(mixed, "key").select("key", "k", "component"))
-    both = (F.col("l.key") == F.col("r.key")) & (F.col("l.k") < F.col("r.k")) & (F.col("l.component") != F.col("r.component"))
-    compared(one.alias("l").join(one.alias("r"), both).select(F.col("l.k").alias("a"), F.col("r.k").alias("b")).distinct())
+    family = written(_with_pivots(_labelled(rows, labels)).select("p", "k", "component"))
+    names = family.select("k").union(family.select("p")).distinct()
+    if not family.limit(1).count():
+        return labels
+    members = written(_differing(family, pieces_of(names), threshold))
+    linked(written(members.where("cost <= budget").select(F.least("p", "k").alias("a"), F.greatest("p", "k").alias("b"))))
+    emitted = written(_emitted(members, threshold))
+
+    def once_more() -> DataFrame:
+        now = _labelled(emitted.drop("component"), labels)
+        return written(now.join(_mixed(now, "p", "gram").drop("members"), ["p", "gram"]))
+
+    rows = once_more()
+    nearest = rows.groupBy("p", "gram").agg(F.min(F.struct("cost", "k", "component")).alias("first")).select("p", "gram", F.col("first.k").alias("i"), F.col("first.component").alias("c"))
+    first = rows.join(nearest, ["p", "gram"]).where("component <> c").select("p", "i", F.col("k").alias("j")).distinct()
+    linked(written(_agreeing(first, members, threshold)))
+    rows = once_more()
+    near = rows.where("NOT far").select("p", "gram", F.col("k").alias("i"), F.col("component").alias("ci"), F.col("cost").alias("cost_i"), F.col("rest").alias("rest_i"))
+    far = rows.where("far").select("p", "gram", F.col("k").alias("j"), F.col("component").alias("cj"), F.col("cost").alias("cost_j"), F.col("rest").alias("rest_j"), "budget")
+    # where two lists of grams meet first, what is left of both bounds what they can have in common
+    may = (F.col("cost_i") + F.col("cost_j") - F.least("rest_i", "rest_j") * (num + den)) <= F.col("budget")
+    order = (F.col("cost_i") < F.col("cost_j")) | ((F.col("cost_i") == F.col("cost_j")) & (F.col("i") != F.col("j")))
+    pairs = near.join(far, ["p", "gram"]).where((F.col("ci") != F.col("cj")) & order & may).select("p", F.col("i"), F.col("j")).distinct()
+    linked(written(_agreeing(written(pairs), members, threshold)))
     return labels
 
 
@@ -331,7 +422,6 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id")
 
 
-
 OP6_SQL = r"""
 WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents),
 s AS (SELECT DISTINCT doc_id, md5(array_to_string(words[i:i + 3], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, greatest(2, len(words) - 2))) AS i FROM d WHERE len(words) > 0)),
