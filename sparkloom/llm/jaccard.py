@@ -28,6 +28,9 @@ from .components import connected_components
 HASH_BITS = 52
 #: Fragments in which overlaps are counted.
 PARTIAL = 8
+#: Smaller sets take further levels until they have fragments to spare. Of larger ones few need that; those are looked
+#: for one by one, see _lacking().
+SMALL = 160
 #: One fragment in so many is looked at first.
 SAMPLE = 16
 #: Set digests that a task keeps so as not to send the fragments of copies again.
@@ -106,9 +109,9 @@ def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tupl
 
     With t the threshold, sets of sizes a <= b that are similar differ in at most d = a * (1 - t) / t grams, and b <= a / t.
     Both take the level of a. Of a's non-empty fragments at most d differ, so one is left where there are more than d.
-    A set goes up from level to level until even a partner's fragments must exceed that, so that the level on which the
-    smaller has enough of them is among those of both. A set that has `spare` fragments more than needed for one common
-    one can leave out its `spare` most frequent ones: similar sets still meet in the rarest common fragment.
+    A small set goes up from level to level until even a partner's fragments must exceed that, so that the level on which
+    the smaller has enough of them is among those of both. A set that has `spare` fragments more than needed for one
+    common one can leave out its `spare` most frequent ones: similar sets still meet in the rarest common fragment.
     All bounds are reckoned in whole numbers: in binary fractions they miss sets that just reach them.
     """
     sizes = np.diff(upto).astype(np.int64)
@@ -117,9 +120,7 @@ def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tupl
     high, low = level_of(sizes, num, den), level_of(sizes * num // den, num, den)
     needs = differ >= 1  # smaller sets are similar to equal ones only
     enough = sizes * (den - num) * (den + num)  # of a partner's fragments: more than num * den times theirs
-    more = needs.copy()
-    owner = np.repeat(np.arange(len(sizes)), sizes)
-    mixed = mix64(grams)
+    more = needs & (sizes < SMALL)
     out: list[list[np.ndarray]] = [[], [], [], []]
     for level in range(int(low[needs].min()) if needs.any() else 1, HASH_BITS + 1):
         on = needs & (level >= low) & ((level <= high) | more)
@@ -127,23 +128,47 @@ def fragment_keys(grams: np.ndarray, upto: np.ndarray, threshold: float) -> tupl
             if level > int(high.max()) and not more.any():
                 break
             continue
-        some = np.flatnonzero(on[owner])
-        frag = grams[some] >> np.uint64(HASH_BITS - level)
-        who = owner[some]
-        new = np.ones(len(some), bool)
-        new[1:] = (who[1:] != who[:-1]) | (frag[1:] != frag[:-1])
-        first = np.flatnonzero(new)
-        sums = np.add.reduceat(mixed[some], first)
-        held = np.bincount(who[first], minlength=len(sizes))
+        who, keys, held = keys_on(level, on, grams, upto)
         spare = np.maximum(held - differ - 1, 0)
-        who = who[first]
-        keys = mix64(sums + frag[first] * np.uint64(0x94D049BB133111EB) + np.uint64(level + 1))
-        for o, v in zip(out, (who, keys.view(np.int64), np.full(len(who), level), spare[who]), strict=True):
+        for o, v in zip(out, (who, keys, np.full(len(who), level), spare[who]), strict=True):
             o.append(v)
         more &= ~(on & (held * num * den > enough) & (level >= high))
     return tuple(np.concatenate(o).astype(np.int64) if o else np.zeros(0, np.int64) for o in out)
 
 
+def keys_on(level: int, on: np.ndarray, grams: np.ndarray, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Set number and key of each non-empty fragment on a level, for the sets that are `on`, and how many each set has."""
+    owner = np.repeat(np.arange(len(on)), np.diff(upto))
+    some = np.flatnonzero(on[owner])
+    frag, who = grams[some] >> np.uint64(HASH_BITS - level), owner[some]
+    new = np.ones(len(some), bool)
+    new[1:] = (who[1:] != who[:-1]) | (frag[1:] != frag[:-1])
+    first = np.flatnonzero(new)
+    sums = np.add.reduceat(mix64(grams[some]), first) if len(first) else np.zeros(0, np.uint64)
+    who = who[first]
+    keys = mix64(sums + frag[first] * np.uint64(0x94D049BB133111EB) + np.uint64(level + 1))
+    return who, keys.view(np.int64), np.bincount(who, minlength=len(on))
+
+
+def lacking_levels(grams: np.ndarray, upto: np.ndarray, threshold: float) -> np.ndarray:
+    """Of each set that is not small: 0, or where it has too few fragments on its own level the first with enough."""
+    sizes = np.diff(upto).astype(np.int64)
+    num, den = ratio(threshold)
+    differ, high = sizes * (den - num) // num, level_of(sizes, num, den)
+    out = np.zeros(len(sizes), np.int64)
+    wait = (sizes >= SMALL) & (differ >= 1)
+    for level in range(int(high[wait].min()) if wait.any() else HASH_BITS + 1, HASH_BITS + 1):
+        on = wait & (level >= high)
+        if on.any():
+            held = keys_on(level, on, grams, upto)[2]
+            good = on & (held > differ)
+            out[good & (level > high)] = level
+            wait &= ~good
+        if not wait.any():
+            break
+    return out
+
+
 class Fresh:
     """Picks the sets of a slice that a task hasn't met yet, as far as it keeps track."""
 
@@ -168,7 +193,7 @@ def fresh_keys(fresh: np.ndarray, grams: np.ndarray, upto: np.ndarray, threshold
 
 
 def _sets(docs: DataFrame, key: str, text: str, n: int, threshold: float) -> DataFrame:
-    """doc_id, text_hash, n, k (the set's digest) and a sample of the set's fragments by their hash."""
+    """doc_id, text_hash, n, k (the set's digest), a sample of the set's fragments by their hash, and lacking_levels()."""
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("text_hash"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def sized(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,9 +206,9 @@ def _sets(docs: DataFrame, key: str, text: str, n: int, threshold: float) -> Dat
             some = np.flatnonzero(keys % SAMPLE == 0)
             some = some[np.argsort(who[some], kind="stable")]
             offs = np.searchsorted(fresh[who[some]], np.arange(batch.num_rows + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(upto).astype(np.int64)), pa.array(k), pa.ListArray.from_arrays(pa.array(offs), pa.array(keys[some]))], names=["doc_id", "text_hash", "n", "k", "sample"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.diff(upto).astype(np.int64)), pa.array(k), pa.ListArray.from_arrays(pa.array(offs), pa.array(keys[some])), pa.array(lacking_levels(grams, upto, threshold))], names=["doc_id", "text_hash", "n", "k", "sample", "lack"])
 
-    return rows.mapInArrow(sized, "doc_id long, text_hash long, n long, k long, sample array<bigint>")
+    return rows.mapInArrow(sized, "doc_id long, text_hash long, n long, k long, sample array<bigint>, lack long")
 
 
 def _fragments(docs: DataFrame, text: str, n: int, threshold: float) -> DataFrame:
@@ -199,6 +224,30 @@ def _fragments(docs: DataFrame, text: str, n: int, threshold: float) -> DataFram
     return docs.select(F.coalesce(F.col(text), F.lit("")).alias("text")).mapInArrow(keyed, "key long, k long, level int, spare int")
 
 
+def _lacking(docs: DataFrame, sets: DataFrame, text: str, n: int) -> DataFrame | None:
+    """key, k of the fragments that sets with too few of them on their own level share with any set on a higher one.
+
+    Such sets are rare accidents of the hash among the larger ones; None where there are none.
+    """
+    short = written(sets.where("lack > 0").select("k", "lack", "text_hash").dropDuplicates(["k"]))
+    levels = sorted(r["lack"] for r in short.select("lack").distinct().collect())  # at most one for each bit of a hash
+    if not levels:
+        return None
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_slices(batches, 0):
+            grams, upto = gram_sets(batch.column(0), n)
+            k = digests(grams, upto)
+            for level in levels:
+                who, keys, _ = keys_on(level, k != 0, grams, upto)
+                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(k[who]), pa.array(np.full(len(who), level))], names=["key", "k", "lack"])
+
+    texts = docs.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    own = texts.join(guarded(short), F.xxhash64("text") == F.col("text_hash"), "left_semi").mapInArrow(keyed, "key long, k long, lack long")
+    own = written(own.join(guarded(short.select("k", "lack")), ["k", "lack"]).select("key").distinct())
+    return texts.mapInArrow(keyed, "key long, k long, lack long").join(guarded(own), "key", "left_semi").select("key", "k").distinct()
+
+
 def _pieces(docs: DataFrame, wanted: DataFrame, text: str, n: int) -> DataFrame:
     """k, n, fragment and its grams, for the sets of the texts in `wanted` (text_hash)."""
 
@@ -353,7 +402,9 @@ def _linked_sets(docs: DataFrame, sets: DataFrame, text: str, n: int, threshold:
     live = keys.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("top"), F.count("*").alias("often")).where("low < top").select("key", "often")
     rows = written(keys.join(guarded(written(live)), "key").select("key", "k", "level", "spare", "often").distinct())
     rarest = F.row_number().over(Window.partitionBy("k", "level").orderBy(F.desc("often"), "key"))
-    rows = written(rows.withColumn("place", rarest).where("place > spare").select("key", "k"))
+    rows = rows.withColumn("place", rarest).where("place > spare").select("key", "k")
+    rare = _lacking(docs, sets, text, n)
+    rows = written(rows if rare is None else rows.unionByName(rare))
     compared(_pivot_pairs(_labelled(rows, labels)))
     family = written(_with_pivots(_labelled(rows, labels)).select("p", "k", "component"))
     names = family.select("k").union(family.select("p")).distinct()
