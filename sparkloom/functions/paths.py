@@ -25,20 +25,22 @@ def is_year_archive(path: Column) -> Column:
 
 
 def in_scope(path: Column, with_archives: bool = False) -> Column:
-    """Whether the incremental sync owns a path; year archives only where they are asked for."""
+    """Whether the incremental sync owns a path; conversation archives only where they are asked for."""
     p = slashed(path)
-    kept = p.rlike(EXTENSION) & ~p.contains("_meta.") & ~p.startswith(PRE_EXAMINED) & (p.startswith(EXAMINED) | p.startswith(UNFOLDING))
-    return kept & (F.lit(with_archives) & is_year_archive(p) | ~is_archive(p))
+    kept = p.rlike(EXTENSION) & ~p.contains("/_meta.") & ~p.endswith("_meta.ts") & ~p.startswith(PRE_EXAMINED.rstrip("/"))
+    return kept & (p.startswith(EXAMINED) | p.startswith(UNFOLDING)) & (F.lit(with_archives) | ~is_archive(p))
 
 
 def slug(path: Column) -> Column:
     """The path without its content folder, its extension and a closing index page, from the site's root."""
     bare = F.regexp_replace(F.regexp_replace(slashed(path), "^content/", ""), EXTENSION, "")
-    return F.concat(F.lit("/"), F.regexp_replace(bare, "/index$", ""))
+    whole = F.regexp_replace(F.concat(F.lit("/"), bare), "/index$", "")
+    return F.when(whole == "", "/").otherwise(whole)
 
 
 def is_index(path: Column, slug_: Column) -> Column:
-    return path.rlike(r"(?i)/index\.(mdx|md|txt)$") | slug_.endswith("/index")
+    """Whether a chunk is of a folder's page; null paths and slugs are of none."""
+    return F.coalesce(slashed(path), F.lit("")).rlike(r"(?i)/index\.(mdx|md|txt)$") | F.coalesce(slug_.endswith("/index"), F.lit(False))
 
 
 def vector_id(slug_: Column, index: Column) -> Column:
@@ -52,5 +54,17 @@ def id_range(slug_: Column, start: Column, stop: Column) -> Column:
 
 
 def disjoint_scopes(paths: DataFrame, path: str = "essay_path", with_archives: bool = False) -> DataFrame:
-    """Paths that both writers would own; raise if there are any before writing."""
+    """Paths that both writers would own."""
     return paths.where(in_scope(F.col(path), with_archives)).select(path).intersect(paths.where(is_year_archive(F.col(path))).select(path))
+
+
+def assert_disjoint(paths: DataFrame, path: str = "essay_path", with_archives: bool = False) -> None:
+    """Raise ValueError, before anything is written, if some path has two writers; names up to five of them."""
+    both = [r[path] for r in disjoint_scopes(paths, path, with_archives).orderBy(path).limit(5).collect()]
+    if both:
+        raise ValueError(f"owned by the sync and by the backfill: {', '.join(both)}")
+
+
+def allowed(rows: DataFrame, only: DataFrame | None, path: str = "essay_path") -> DataFrame:
+    """`rows` of the paths that a run is restricted to (a column `path` of `only`); all of them without a restriction."""
+    return rows if only is None else rows.join(only.select(path).distinct(), path, "left_semi")

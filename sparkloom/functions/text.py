@@ -59,14 +59,21 @@ def is_comment_heading(heading: Column) -> Column:
 
 def term_matches(term: Column, text: Column) -> Column:
     """Terms of up to four letters as whole words, longer ones anywhere; of those in -ism the stem will do."""
-    low = F.lower(text)
-    word = F.rlike(low, F.concat(F.lit("(^|[^a-z0-9_])"), term, F.lit("($|[^a-z0-9_])")))
+    return _matches(term, F.lower(text))
+
+
+def _matches(term: Column, low: Column) -> Column:
+    # the quotes take everything between them literally, but for a closing quote of the term's own
+    quoted = F.concat(F.lit(r"\Q"), F.replace(term, F.lit("\\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+    word = F.contains(low, term) & F.rlike(low, F.concat(F.lit("(^|[^a-z0-9_])"), quoted, F.lit("($|[^a-z0-9_])")))
     stem = F.substring(term, F.lit(1), F.length(term) - 3)
     return F.when(F.length(term) <= 4, word).otherwise(F.contains(low, term) | term.endswith("ism") & F.contains(low, stem))
 
 
 def matching_terms(terms: Column, text: Column) -> Column:
-    return F.size(F.filter(terms, lambda t: term_matches(t, text)))
+    """How many of the terms a text has; it is lower-cased once, however many there are."""
+    counts = F.transform(F.array(F.lower(text)), lambda low: F.size(F.filter(terms, lambda t: _matches(t, low))))
+    return F.element_at(counts, 1)
 
 
 def clean_generated(text: Column) -> Column:

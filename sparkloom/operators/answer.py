@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,9 +13,14 @@ from pyspark.sql import types as T
 
 from sparkloom.functions.sentences import passage, sentences
 
+from .terms import INDEX_PENALTY, OVERLAP
+
 # What is said where nothing was found.
 EMPTY = "I could not find relevant passages in the essay corpus to answer that question."
-WINDOW, PAD = 420, 100
+NOTHING = "No relevant passages matched your question in the indexed essay corpus."
+CANDIDATES = "ANN bi-encoder candidates (stage 1 \u2014 nearest neighbors from similarity search; not used as the final extractive answer):"
+INSTRUCTION = "You are a helpful assistant. Using only the context below, write a clear 2-4 sentence answer to the question. Use plain English. Do not copy section headings alone."
+WINDOW, PAD, EXCERPT = 420, 100, 280
 
 
 def hits_term(term: str, text: str) -> bool:
@@ -89,25 +95,76 @@ def acceptable(terms: list[str], answer: str) -> bool:
     return len(text) >= 40 and not echo and not re.match(r"F\s+[-/:]", text) and mentions(terms, text)
 
 
-def rag_prompt(question: str, texts: list[str], most: int = 1800) -> str:
-    context = "\n\n".join(passage(t) for t in texts[:3])
+def malformed(text: str) -> bool:
+    """Text that a generator should not have written; see functions.text.malformed for the rules as a Column."""
+    t = clean_generated(text)
+    if len(t) < 8 or re.match(r"\[\d+\]", text.strip()) or re.search(r"([\s\S]{12,}?)\1{2,}", t):
+        return True
+    low = t.lower()
+    grams = Counter(low[i : i + 18] for i in range(len(low) - 17))
+    words = t.lower().split()
+    return max(grams.values(), default=0) >= 3 or len(words) >= 10 and len(set(words)) / len(words) < 0.4
+
+
+def clean_generated(text: str) -> str:
+    return re.sub(r"^\[\d+\]\s*", "", text.strip())
+
+
+def relevance(terms: list[str], chunk: dict) -> float:
+    overlap = sum(hits_term(t, f"{chunk.get('heading') or ''} {chunk['text']}") for t in terms)
+    return overlap * OVERLAP + chunk.get("score", 0.0) - (INDEX_PENALTY if chunk.get("is_index") else 0)
+
+
+def rag_prompt(question: str, terms: list[str], chunks: list[dict], most: int = 1800) -> str:
+    """The prompt of a question: the three chunks that are most relevant to its terms, each under its heading."""
+    ranked = sorted(chunks, key=lambda c: -relevance(terms, c))[:3]
+    passages = [f"{c['heading']}: {passage(c['text'])}" if c.get("heading") else passage(c["text"]) for c in ranked]
+    context = "\n\n".join(passages)
     if len(context) > most:
-        context = context[: context.rfind(" ", 0, most + 1)] + "…"
-    return f"Context:\n{context}\n\nQuestion: {question}\nAnswer:"
+        context = re.sub(r"\s+\S*$", "", context[:most]) + "\u2026"
+    return f"{INSTRUCTION}\n\nContext:\n{context}\n\nQuestion: {question}\n\nAnswer:"
+
 
+def candidates_section(candidates: list[dict]) -> str:
+    """The nearest chunks, numbered, with their scores and beginnings; nothing where there are none."""
+    lines = []
+    for i, c in enumerate(candidates, 1):
+        slug, body = c.get("essay_slug") or "", passage(c["text"])
+        title = f"{slug} \u2014 {c['heading']}" if c.get("heading") else slug or c.get("essay_path") or "(unknown)"
+        lines.append(f"{i}. {title} (ANN score {c['score']:.3f})\n   {body[:EXCERPT]}{chr(0x2026) if len(body) > EXCERPT else ''}")
+    return "\n".join(["", "", CANDIDATES, "", *lines]) if lines else ""
 
-def answer(question: str, terms: list[str], ranked: list[tuple[str, str]], synthesize: bool = True, generate: Callable[[str], str] | None = None, confident: bool = True) -> dict:
-    """One question's answer and how it came about: citations only, empty, extractive, generated or fallback."""
+
+def citations_only(n: int) -> str:
+    return f"Found {n} relevant passage{'' if n == 1 else 's'} (synthesis unavailable \u2014 see citations below)." if n else NOTHING
+
+
+def assembled(text: str, candidates: list[dict]) -> str:
+    """An answer, with the candidates after it if it says nothing."""
+    return text + candidates_section(candidates) if text in (NOTHING, EMPTY) or not text.strip() else text
+
+
+def answer(question: str, terms: list[str], chunks: list[dict], candidates: list[dict] = (), synthesize: bool = True, generate: Callable[[str], str] | None = None, confident: bool = True) -> dict:
+    """One question's answer and how it came about: citations only, empty, extractive, generated or fallback.
+
+    chunks and candidates: results of a retrieval, best first (heading, text, score, essay_slug, essay_path, is_index).
+    A generated text stands if it is neither malformed nor beside the question.
+    """
+    said = lambda text, mode, fallback=False: {"answer": assembled(text, list(candidates)), "mode": mode, "fallback": fallback}
     if not synthesize:
-        return {"answer": "\n".join(f"{i}. {h or t[:80]}" for i, (h, t) in enumerate(ranked, 1)), "mode": "citations", "fallback": False}
-    if not ranked:
-        return {"answer": EMPTY, "mode": "empty", "fallback": False}
+        return said(citations_only(len(chunks)), "citations")
+    if not chunks:
+        return said(NOTHING, "empty")
+    ranked = sorted(chunks, key=lambda c: -relevance(terms, c))
+    proper = [c for c in ranked if not c.get("is_index")] or ranked
+    extracted = extract(terms, [(c.get("heading"), c["text"]) for c in proper])
     if generate is None or not confident:
-        return {"answer": extract(terms, ranked), "mode": "extractive", "fallback": False}
+        return said(extracted, "extractive")
     try:
-        text = re.sub(r"^\[\d+\]\s*", "", generate(rag_prompt(question, [t for _, t in ranked])).strip())
-        if acceptable(terms, text):
+        raw = generate(rag_prompt(question, terms, chunks))
+        text = clean_generated(raw)
+        if not malformed(raw) and acceptable(terms, text):
             return {"answer": text, "mode": "generative", "fallback": False}
     except Exception:  # noqa: BLE001  a generator that fails is a reason to fall back, whatever its error
         pass
-    return {"answer": extract(terms, ranked), "mode": "extractive", "fallback": True}
+    return said(extracted, "extractive", True)

@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions import paths
 from sparkloom.functions.prefix import with_running_total
 
 from . import chunking, manifest, sagas
@@ -102,6 +103,21 @@ def advanced(entries: DataFrame, live: DataFrame, plan: DataFrame, sizes: DataFr
     return old.where(~F.coalesce(gone, F.lit(False))).select("essay_path", F.when(reset, F.col("new_hash")).otherwise(F.col("content_hash")).alias("content_hash"), total.cast("long").alias("total_chunks"), next_.cast("long").alias("next_chunk_index"), F.least(next_, total).cast("long").alias("committed_chunks"))
 
 
+def tail_ids(plan: DataFrame, entries: DataFrame) -> DataFrame:
+    """id of the chunks that a planned batch deletes: the last ones of each file, as many as were granted."""
+    rows = plan.where("deletes_granted > 0").join(entries.select("essay_path", "total_chunks"), "essay_path")
+    ids = paths.id_range(paths.slug(F.col("essay_path")), F.col("total_chunks") - F.col("deletes_granted"), F.col("total_chunks"))
+    return rows.select(F.explode(ids).alias("id"))
+
+
+def pending_chunks(plan: DataFrame, entries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """The chunks that a planned batch writes: from each file's cursor on, as many as were granted."""
+    rows = plan.where("upserts_granted > 0").join(entries.select("essay_path", "next_chunk_index"), "essay_path", "left")
+    start = F.when(F.col("kind") == "embed_resume", F.col("next_chunk_index")).otherwise(0)
+    wanted = rows.select("essay_path", start.alias("__from"), (start + F.col("upserts_granted")).alias("__to"))
+    return chunks.join(wanted, "essay_path").where("chunk_index >= __from AND chunk_index < __to").drop("__from", "__to")
+
+
 def run_batch(essays: DataFrame, entries: DataFrame, budget: WriteBudget) -> tuple[DataFrame, DataFrame, str]:
     """One batch over essays (essay_path, body): its plan, the entries after it and the status that it ends in."""
     live = essays.select("essay_path", manifest_hash(F.col("body")).alias("content_hash"))

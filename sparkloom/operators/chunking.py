@@ -25,7 +25,11 @@ def sections(body: Column) -> Column:
     lines = F.filter(lines, lambda x: (x != "") & ~x.startswith("import ") & ~x.startswith("```"))
     head = lambda x: text.trimmed(F.regexp_extract(x, HEADING, 1))
     lines = F.transform(lines, lambda x: F.when(x.rlike(HEADING), F.concat(F.lit(MARK), head(x))).otherwise(text.plain_line(x)))
-    parts = F.split(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), MARK)
+    # a one-element array names the parts, which would otherwise be computed again wherever they occur
+    return F.element_at(F.transform(F.array(F.split(F.array_join(F.filter(lines, lambda x: x != ""), "\n"), MARK)), _of_parts), 1)
+
+
+def _of_parts(parts: Column) -> Column:
     first = F.struct(F.lit(None).cast("string").alias("heading"), F.element_at(parts, 1).alias("text"))
     rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), lambda p: F.struct(F.substring_index(p, "\n", 1).alias("heading"), F.when(F.contains(p, F.lit("\n")), F.substring(p, F.locate("\n", p) + 1, F.length(p))).otherwise("").alias("text")))
     flat = F.transform(F.concat(F.array(first), rest), lambda s: F.struct(s["heading"].alias("heading"), text.trimmed(F.regexp_replace(s["text"], r"\s+", " ")).alias("text")))
@@ -33,9 +37,13 @@ def sections(body: Column) -> Column:
 
 
 def windows(section: Column) -> Column:
-    words = F.split(section["text"], " ")
+    """A section's chunks: its words are split once and cut many times."""
+    return F.element_at(F.transform(F.array(F.split(section["text"], " ")), lambda words: _cut(section["heading"], words)), 1)
+
+
+def _cut(heading: Column, words: Column) -> Column:
     last = F.ceil(F.greatest(F.lit(0), F.size(words) - WORDS) / STRIDE).cast("int")
-    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(section["heading"].alias("heading"), F.array_join(F.slice(words, i * STRIDE + 1, WORDS), " ").alias("text")))
+    return F.transform(F.sequence(F.lit(0), last), lambda i: F.struct(heading.alias("heading"), F.array_join(F.slice(words, i * STRIDE + 1, WORDS), " ").alias("text")))
 
 
 def chunks(essays: DataFrame, path: str = "essay_path", body: str = "body") -> DataFrame:

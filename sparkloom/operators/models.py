@@ -40,6 +40,29 @@ def embedding(embedder: Embedder) -> Callable[[Column | str], Column]:
     return embed
 
 
+#: From a query and a passage, both columns, to their score as a pair.
+Scorer = Callable[[Column, Column], Column]
+
+
+def cross_encoder(score: Callable[[list[str], list[str]], np.ndarray], longest: int = 512) -> Scorer:
+    """A scorer that runs `score` on batches of queries and passages, each cut at `longest` words."""
+
+    @F.pandas_udf(T.DoubleType())
+    def scored(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        cut = lambda texts: [" ".join((t or "").split()[:longest]) for t in texts]
+        for queries, passages in batches:
+            yield pd.Series(np.asarray(score(cut(queries), cut(passages)), np.float64))
+
+    return lambda query, passage: scored(query, passage)
+
+
+def lexical_scorer(query: Column, passage: Column) -> Column:
+    """A scorer without a model: the terms that a passage meets less those that it misses."""
+    from sparkloom.operators.terms import literal_terms
+
+    return lexical_score(literal_terms(query), passage).cast("double")
+
+
 def lexical_score(terms: Column, body: Column) -> Column:
     """In a cross-encoder's place: terms met less terms missed, per term."""
     from sparkloom.functions.text import matching_terms

@@ -8,11 +8,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
+from sparkloom.functions import paths
+
+from . import terms
+from .models import Embedder, Scorer, embedding
 from .terms import overlap_boost
 
 #: Defaults of the retrieval: results, candidates at most, score floors.
 TOP_K, POOL, MIN_SCORE, MIN_RERANK = 5, 60, 0.5, 0.0
+# Ids of records that aren't chunks.
+CONTROL_IDS = ("__manifest__", "__backfill_manifest__")
 #: Queries that are scored together; each block of them reads the vectors once.
 QUERY_BLOCK = 8192
 
@@ -38,13 +45,15 @@ def similar(queries: DataFrame, vectors: DataFrame, k: int | None = None, floor:
     keeps its own k best for each query, so what is shuffled for the final ranking is small. Null vectors are left out.
     """
     found = None
-    ordered = queries.select(F.col(query_id).cast("long").alias("q"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    ordered = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).where("v IS NOT NULL")
+    schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, vec_id {vectors.schema[id_].dataType.simpleString()}, score double"
+    kind = to_arrow_type(queries.schema[query_id].dataType)
     blocks = max(1, -(-ordered.count() // QUERY_BLOCK))
     for i in range(blocks):
         block = ordered.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()
         if not block:
             continue
-        names = np.array([r["q"] for r in block])
+        names = np.array([r["q"] for r in block], object)
         matrix = np.array([r["v"] for r in block], np.float64)
 
         def scored(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
@@ -57,12 +66,12 @@ def similar(queries: DataFrame, vectors: DataFrame, k: int | None = None, floor:
                 if k is not None and scores.shape[1] > k:
                     keep &= np.round(scores, 6) >= np.round(np.partition(scores, -k, axis=1)[:, [-k]], 6)
                 q, v = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(names[q]), batch.column(0).take(pa.array(v)), pa.array(np.round(scores[q, v], 6) + 0.0)], names=["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), kind), batch.column(0).take(pa.array(v)), pa.array(np.round(scores[q, v], 6) + 0.0)], names=["query_id", "vec_id", "score"])
 
-        part = vectors.where(F.col(vector).isNotNull()).select(F.col(id_).cast("long"), vector).mapInArrow(scored, "query_id long, vec_id long, score double")
+        part = vectors.where(F.col(vector).isNotNull()).select(id_, vector).mapInArrow(scored, schema)
         found = part if found is None else found.unionByName(part)
     if found is None:
-        found = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score double")
+        found = vectors.sparkSession.createDataFrame([], schema)
     if k is None:
         return found
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -90,10 +99,54 @@ def retrieve(hits: DataFrame, top_k: int | None = None, min_score: float = MIN_S
     rows = hits.where(F.col("score") >= min_score)
     if rerank is not None:
         rows = rows.withColumn("score", coerced(F.col("score"), rerank)).where(F.col("score") >= min_rerank)
-    rows = rows.withColumn("score", F.round(F.col("score") + overlap_boost(F.col("terms"), F.col("body")), 6))
+    heading = F.col("heading") if "heading" in hits.columns else None
+    rows = rows.withColumn("score", F.round(F.col("score") + overlap_boost(F.col("terms"), F.col("body"), heading), 6))
     return best_per_essay(rows, k)
 
 
+def chunks_of_hits(hits: DataFrame) -> DataFrame:
+    """From hits (id, score, metadata and others) to chunks: metadata unpacked, what is missing filled in.
+
+    Control records and pre-examined essays are left out. A missing text, slug or path is empty, a missing index 0, a
+    missing score 0; a missing heading stays null. A hit without metadata is a chunk with all of that.
+    """
+    rows = hits.where(~F.col("id").isin(*CONTROL_IDS))
+    some = lambda name, usual: F.coalesce(F.col(f"metadata.{name}"), F.lit(usual)).alias(name)
+    rest = [c for c in hits.columns if c not in ("metadata", "score")]
+    rows = rows.select(*rest, some("essay_slug", ""), some("essay_path", ""), F.col("metadata.heading").alias("heading"), some("chunk_index", 0), F.coalesce("metadata.text", F.lit("")).alias("body"), F.coalesce("score", F.lit(0.0)).alias("score"))
+    return rows.where(~F.col("essay_path").startswith(paths.PRE_EXAMINED.rstrip("/")))
+
+
+def checked_request(query: object, top_k: object = None, min_score: object = None, rerank: object = None, candidate_pool: object = None) -> dict:
+    """A request's values: the query must have 1 to 2000 characters; others of a wrong type count as not given."""
+    if not isinstance(query, str) or not 1 <= len(query) <= 2000:
+        raise ValueError("query must be 1\u20132000 characters")
+    number = lambda x, usual: x if isinstance(x, int | float) and not isinstance(x, bool) else usual
+    return {"query": query, "top_k": clamp_top_k(number(top_k, TOP_K)), "min_score": number(min_score, MIN_SCORE), "rerank": rerank if isinstance(rerank, bool) else True, "candidate_pool": number(candidate_pool, None)}
+
+
+def search(queries: DataFrame, vectors: DataFrame, glossary: DataFrame, embedder: Embedder, top_k: int | None = None, min_score: float = MIN_SCORE, scorer: Scorer | None = None, min_rerank: float = MIN_RERANK, pool: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """The whole retrieval of queries (query_id, query) from vectors (id, vector, metadata): results, candidates.
+
+    Queries are expanded by the glossary and embedded, the pool's nearest chunks are the candidates; those above the
+    floor are scored by the cross-encoder if there is one, boosted by the query's own terms and cut to each essay's best.
+    """
+    k = clamp_top_k(top_k)
+    aliases = terms.short_aliases(glossary)
+    asked = terms.expand_queries(queries, glossary, aliases).withColumn("vector", embedding(embedder)("expanded"))
+    size = min(POOL, max(k, pool)) if pool is not None else min(POOL, max(6 * k, k + 5))
+    near = similar(asked.select("query_id", "vector"), vectors, size, id_="id").withColumnRenamed("vec_id", "id").drop("rank")
+    found = chunks_of_hits(near.join(vectors.select("id", "metadata"), "id")).withColumnRenamed("id", "vec_id")
+    candidates = best_per_essay(found, max(k, size))
+    hits = found.join(asked.select("query_id", "expanded"), "query_id").join(terms.query_terms(queries, glossary, aliases).select("query_id", "terms"), "query_id")
+    second = None
+    if scorer is not None:
+        hits = hits.where(F.col("score") >= min_score).withColumn("second", scorer(F.col("expanded"), F.col("body")))
+        second = F.col("second")
+    results = retrieve(hits, k, min_score, second, min_rerank)
+    return results.drop("second", "expanded", "terms"), candidates
+
+
 def confident(top: Column, reranked: bool, floor: float = MIN_RERANK) -> Column:
     return F.coalesce(top >= (floor if reranked else MIN_SCORE), F.lit(False))
 

@@ -118,9 +118,10 @@ def haystack(heading: Column, body: Column) -> Column:
     return F.concat(F.coalesce(heading, F.lit("")), F.lit(" "), body)
 
 
-def overlap_boost(terms: Column, body: Column) -> Column:
-    return text.matching_terms(terms, body) * F.lit(BOOST)
+def overlap_boost(terms: Column, body: Column, heading: Column | None = None) -> Column:
+    """A fixed boost for each term that a chunk's heading or text has."""
+    return text.matching_terms(terms, body if heading is None else haystack(heading, body)) * F.lit(BOOST)
 
 
-def relevance(terms: Column, body: Column, score: Column, is_index: Column) -> Column:
-    return text.matching_terms(terms, body) * OVERLAP + score - F.when(is_index, INDEX_PENALTY).otherwise(0)
+def relevance(terms: Column, body: Column, score: Column, is_index: Column, heading: Column | None = None) -> Column:
+    return text.matching_terms(terms, body if heading is None else haystack(heading, body)) * OVERLAP + score - F.when(is_index, INDEX_PENALTY).otherwise(0)

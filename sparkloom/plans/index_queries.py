@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.functions import paths
-from sparkloom.operators import backfill, chunking, manifest, retrieve
+from sparkloom.functions import paths, text
+from sparkloom.operators import backfill, chunking, conversations, manifest, retrieve, sync
+from sparkloom.operators.models import hashed_embedder
+from sparkloom.sources import scratch
+from sparkloom.sources.tables import VersionedTable
 
-from .views import CHUNKS_SQL, ENTRIES_SQL, ESSAYS_SQL, SECTIONS_SQL, counts, entries, essays, table
+from .views import ARCHIVE_SQL, CHUNKS_SQL, ENTRIES_SQL, ESSAYS_SQL, SECTIONS_SQL, SLUG_SQL, archives, chunks_sql, counts, entries, essays, sql_chain, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -82,7 +87,7 @@ TERMS = r"terms AS (SELECT item_id, list_filter(regexp_extract_all(replace(lower
 MATCH = "len(list_filter(list_distinct(terms), lambda t: CASE WHEN length(t) <= 4 THEN regexp_matches({0}, '(^|[^a-z0-9_])' || t || '($|[^a-z0-9_])') ELSE contains({0}, t) OR (ends_with(t, 'ism') AND contains({0}, substr(t, 1, length(t) - 3))) END))"
 
 
-@query(f"""WITH {POOL}, {TERMS}, h AS (SELECT p.query_id, p.vec_id, p.essay_slug, round(CASE WHEN p.score > 0.5 AND s < 0 THEN p.score ELSE s END + {MATCH.format("lower(d.text)")} * 0.2, 6) AS score
+@query(f"""WITH {POOL}, {TERMS}, h AS (SELECT p.query_id, p.vec_id, p.essay_slug, round(CASE WHEN p.score > 0.5 AND s < 0 THEN p.score ELSE s END + {MATCH.format("lower(coalesce(d.source, '') || ' ' || d.text)")} * 0.2, 6) AS score
   FROM (SELECT *, {STAND_IN}::DOUBLE AS s FROM pool) p JOIN documents d ON d.doc_id = p.vec_id JOIN terms t ON t.item_id = p.query_id // 20 WHERE p.score >= 0.0 AND CASE WHEN p.score > 0.5 AND s < 0 THEN p.score ELSE s END >= 0),
   {BEST.format("h")} SELECT query_id, vec_id, essay_slug, score, rank::INTEGER AS rank FROM best WHERE rank <= 5""")
 def retrieve_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,7 +95,7 @@ def retrieve_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     from sparkloom.operators.terms import literal_terms
 
     words = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 20).alias("query_id"), literal_terms(F.col("text")).alias("terms"))
-    bodies = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("body"))
+    bodies = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("body"), F.col("source").alias("heading"))
     near = pooled(spark, sf_dir).where("score >= 0.0").withColumn("stand_in", F.expr(STAND_IN).cast("double"))
     hits = near.join(bodies, "vec_id").join(words, "query_id")
     found = retrieve.retrieve(hits, 5, min_score=0.0, rerank=F.col("stand_in"))
@@ -122,10 +127,7 @@ def slugs_and_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("essay_path", "essay_slug", paths.vector_id(F.col("essay_slug"), F.col("chunk_index")).alias("id"))
 
 
-SLUG = r"'/' || regexp_replace(regexp_replace(regexp_replace(essay_path, '^content/', ''), '\.(mdx|md|txt)$', ''), '/index$', '')"
-
-
-@query(f"WITH {ENTRIES_SQL}, r AS (SELECT essay_path, {SLUG} AS essay_slug, unnest(range(next_chunk_index, total_chunks)) AS chunk_index FROM entries) SELECT essay_path, {VEC_ID} AS id FROM r")
+@query(f"WITH {ENTRIES_SQL}, r AS (SELECT essay_path, {SLUG_SQL} AS essay_slug, unnest(range(next_chunk_index, total_chunks)) AS chunk_index FROM entries) SELECT essay_path, {VEC_ID} AS id FROM r")
 def id_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = entries(spark, sf_dir)
     return rows.select("essay_path", F.explode(paths.id_range(paths.slug(F.col("essay_path")), F.col("next_chunk_index"), F.col("total_chunks"))).alias("id"))
@@ -175,19 +177,22 @@ def sync_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.sync_plan(entries(spark, sf_dir), essays(spark, sf_dir))
 
 
-SCOPE = r"""p AS (SELECT doc_id, essay_path FROM essays UNION ALL SELECT doc_id, 'content/posts/unfolding/chatgpt-20' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '.mdx' FROM documents UNION ALL SELECT doc_id, replace(essay_path, 'doc-', '_meta.doc-') FROM essays),
+SCOPE = r"""p AS (SELECT doc_id, essay_path FROM essays UNION ALL SELECT doc_id, 'content/posts/unfolding/chatgpt-20' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '.mdx' FROM documents UNION ALL SELECT doc_id, replace(essay_path, 'doc-', '_meta.doc-') FROM essays
+  UNION ALL SELECT doc_id, replace(essay_path, '.mdx', '_meta.mdx') FROM essays UNION ALL SELECT doc_id, 'content/posts/unfolding/chatgpt.mdx' FROM documents),
 f AS (SELECT *, regexp_matches(essay_path, '(?i)^content/posts/unfolding/(chatgpt|gemini)(-20\d{2})?(-p\d+)?\.mdx$') AS archive, regexp_matches(essay_path, '(?i)^content/posts/unfolding/(chatgpt|gemini)-20\d{2}\.mdx$') AS year_archive,
-  regexp_matches(essay_path, '\.(mdx|md|txt)$') AND NOT contains(essay_path, '_meta.') AND NOT starts_with(essay_path, 'content/posts/pre-examined/')
+  regexp_matches(essay_path, '\.(mdx|md|txt)$') AND NOT contains(essay_path, '/_meta.') AND NOT ends_with(essay_path, '_meta.ts') AND NOT starts_with(essay_path, 'content/posts/pre-examined')
   AND (starts_with(essay_path, 'content/posts/examined/') OR starts_with(essay_path, 'content/posts/unfolding/')) AS kept FROM p)"""
 
 
 def scoped_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = essays(spark, sf_dir).select("doc_id", "essay_path")
     years = found.select("doc_id", F.concat(F.lit("content/posts/unfolding/chatgpt-20"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(".mdx")).alias("essay_path"))
-    return found.unionByName(years).unionByName(found.select("doc_id", F.replace("essay_path", F.lit("doc-"), F.lit("_meta.doc-")).alias("essay_path")))
+    renamed = [found.select("doc_id", F.replace("essay_path", F.lit(a), F.lit(b)).alias("essay_path")) for a, b in (("doc-", "_meta.doc-"), (".mdx", "_meta.mdx"))]
+    plain = found.select("doc_id", F.lit("content/posts/unfolding/chatgpt.mdx").alias("essay_path"))
+    return found.unionByName(years).unionByName(renamed[0]).unionByName(renamed[1]).unionByName(plain)
 
 
-@query(f"WITH {ESSAYS_SQL}, {SCOPE} SELECT doc_id, essay_path, kept AND NOT archive AS deploy, kept AND (year_archive OR NOT archive) AS with_archives, archive, year_archive FROM f")
+@query(f"WITH {ESSAYS_SQL}, {SCOPE} SELECT doc_id, essay_path, kept AND NOT archive AS deploy, kept AS with_archives, archive, year_archive FROM f")
 def scope_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = F.col("essay_path")
     return scoped_paths(spark, sf_dir).select("doc_id", p, paths.in_scope(p).alias("deploy"), paths.in_scope(p, True).alias("with_archives"), paths.is_archive(p).alias("archive"), paths.is_year_archive(p).alias("year_archive"))
@@ -257,3 +262,107 @@ def index_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stale.select(meta.alias("m"), "files").select("m.index_status", "files", "m.model")
 
 
+@query("""SELECT id, doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE '/posts/' || source END AS essay_slug, essay_path, CASE WHEN doc_id % 3 > 0 THEN lang END AS heading, CASE WHEN doc_id % 4 = 1 THEN 0 ELSE doc_id END::INTEGER AS chunk_index,
+  CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS body, CASE WHEN doc_id % 6 = 0 THEN 0.0 ELSE n_chars / 4.0 END::DOUBLE AS score
+FROM (SELECT *, CASE WHEN doc_id % 50 = 7 THEN '__manifest__' WHEN doc_id % 50 = 8 THEN '__backfill_manifest__' ELSE 'doc#' || doc_id END AS id,
+  CASE WHEN doc_id % 7 = 0 THEN '' WHEN lang = 'fr' THEN 'content/posts/pre-examined/x.mdx' ELSE 'content/posts/examined/x.mdx' END AS essay_path FROM documents)
+WHERE id NOT IN ('__manifest__', '__backfill_manifest__') AND NOT starts_with(essay_path, 'content/posts/pre-examined')""")
+def hit_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as hits with gaps in their metadata, mapped to chunks."""
+    id_ = "CASE WHEN doc_id % 50 = 7 THEN '__manifest__' WHEN doc_id % 50 = 8 THEN '__backfill_manifest__' ELSE concat('doc#', doc_id) END AS id"
+    parts = ["IF(doc_id % 4 = 0, NULL, concat('/posts/', source)) AS essay_slug", "CASE WHEN doc_id % 7 = 0 THEN NULL WHEN lang = 'fr' THEN 'content/posts/pre-examined/x.mdx' ELSE 'content/posts/examined/x.mdx' END AS essay_path", "IF(doc_id % 3 > 0, lang, NULL) AS heading", "IF(doc_id % 4 = 1, NULL, int(doc_id)) AS chunk_index", "IF(doc_id % 5 = 0, NULL, text) AS text"]
+    hits = table(spark, sf_dir, "documents").select(F.expr(id_), "doc_id", F.struct(*[F.expr(p) for p in parts]).alias("metadata"), F.expr("IF(doc_id % 6 = 0, NULL, n_chars / 4.0D) AS score"))
+    return retrieve.chunks_of_hits(hits)
+
+
+BEST_DOCS = f"""WITH {POOL}, {BEST.format("pool")}, c AS (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank, '/' || essay_slug AS essay_slug, CASE WHEN vec_id % 3 > 0 THEN source END AS heading, {sql_chain("text", text.PASSAGE_RULES)} AS body FROM best JOIN documents ON doc_id = vec_id WHERE rank <= 3),
+ctx AS (SELECT query_id, string_agg('[' || rank || '] ' || essay_slug || coalesce(' \u2014 ' || heading, '') || chr(10) || substr(body, 1, 1200) || CASE WHEN length(body) > 1200 THEN '\u2026' ELSE '' END, chr(10) || chr(10) ORDER BY rank) AS context FROM c GROUP BY 1)"""
+
+
+def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best three documents of each search query, as passages."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("vec_id"), F.when(F.col("doc_id") % 3 > 0, F.col("source")).alias("heading"), "text", F.lit(None).cast("string").alias("essay_path"))
+    return retrieve.best_per_essay(pooled(spark, sf_dir), 3).withColumn("essay_slug", F.concat(F.lit("/"), "essay_slug")).join(docs, "vec_id")
+
+
+@query(f"{BEST_DOCS} SELECT * FROM ctx")
+def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.context_block(passages(spark, sf_dir))
+
+
+@query(f"""{BEST_DOCS} SELECT query_id, 'You answer questions using only the retrieved essay passages below. Cite passage numbers like [1] when you rely on a source. If the passages do not contain enough information, say so briefly.'
+  || chr(10) || chr(10) || 'Retrieved passages:' || chr(10) || coalesce(context, 'No relevant passages were retrieved from the indexed corpus.') AS system, regexp_replace(b.text, '^\\s+|\\s+$', '', 'g') AS user_turn
+  FROM benchmark b LEFT JOIN ctx ON ctx.query_id = b.item_id * 20 WHERE query_id IS NOT NULL""")
+def model_request(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a model is sent for each benchmark text whose search query found something."""
+    asked_ = table(spark, sf_dir, "benchmark").select((F.col("item_id") * 20).alias("query_id"), F.col("text").alias("query"))
+    return context_block(spark, sf_dir).join(asked_, "query_id").select("query_id", conversations.system_prompt(F.col("context")).alias("system"), conversations.user_turn(F.col("query")).alias("user_turn"))
+
+
+def run_tables(spark: SparkSession) -> list[VersionedTable]:
+    """A fresh table of vectors and one of manifest entries."""
+    base = f"{scratch.base_dir(spark)}/tables-{uuid.uuid4().hex}"
+    return [VersionedTable(spark, f"{base}/vectors", "id", 16), VersionedTable(spark, f"{base}/manifest", "essay_path", 16)]
+
+
+def earlier_vectors(ids: DataFrame) -> DataFrame:
+    """Vectors of an earlier run, of which nothing but the id is known."""
+    meta = "struct<essay_path: string, essay_slug: string, heading: string, chunk_index: int, content_hash: string, token_estimate: int, text: string>"
+    return ids.select("id", F.lit(None).cast("string").alias("data"), F.lit(None).cast(meta).alias("metadata"), F.lit(None).cast("array<float>").alias("vector"))
+
+
+def clock() -> str:
+    return "2026-01-02T03:04:05.000Z"
+
+
+@query(f"""WITH {ENTRIES_SQL}, owned AS (SELECT * FROM essays WHERE NOT starts_with(essay_path, 'content/posts/pre-examined') AND NOT regexp_matches(essay_path, '(?i)^content/posts/unfolding/(chatgpt|gemini)(-20\\d{{2}})?(-p\\d+)?\\.mdx$'))
+SELECT o.essay_path, o.content_hash, coalesce(n.chunk_count, 0)::BIGINT AS total_chunks, coalesce(n.chunk_count, 0)::BIGINT AS vectors, CASE WHEN m.content_hash = o.content_hash THEN 0 ELSE coalesce(n.chunk_count, 0) END::BIGINT AS written
+FROM owned o LEFT JOIN counts n USING (essay_path) LEFT JOIN entries m USING (essay_path)""")
+def sync_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest entries after a sync over an earlier manifest and its vectors, with what the table of vectors holds of each."""
+    vectors_, manifest_ = run_tables(spark)
+    before = scratch.stored(entries(spark, sf_dir).select("essay_path", "content_hash", "total_chunks"))
+    vectors_.upsert(earlier_vectors(sync.chunk_ids(before, F.lit(0).cast("long"), F.col("total_chunks"))))
+    manifest_.replace(before, {"status": "index_current", "manifest_digest": "sha256:earlier"})
+    sync.run_sync(essays(spark, sf_dir), vectors_, manifest_, hashed_embedder(8), clock=clock)
+    return held(manifest_.read(), vectors_.read())
+
+
+def held(entries_: DataFrame, vectors_: DataFrame) -> DataFrame:
+    safe = F.regexp_replace("id", "#\\d+$", "")
+    of = vectors_.groupBy(safe.alias("safe")).agg(F.count("*").alias("vectors"), F.count("vector").alias("written"))
+    mine = F.regexp_replace(paths.vector_id(paths.slug(F.col("essay_path")), F.lit(0)), "#0$", "")
+    rows = entries_.withColumn("safe", mine).join(of, "safe", "full_outer")
+    return rows.select(*entries_.columns, F.coalesce("vectors", F.lit(0)).alias("vectors"), F.coalesce("written", F.lit(0)).alias("written"))
+
+
+ARCHIVE_ENTRIES = """k AS (SELECT essay_path, substr(essay_path, length(essay_path) - 5, 2)::INTEGER AS yy, content_hash, chunk_count FROM essays JOIN counts USING (essay_path)),
+entries AS (SELECT essay_path, CASE WHEN yy % 5 = 1 THEN 'sha256:stale' ELSE content_hash END AS content_hash, CASE WHEN yy % 5 = 1 THEN chunk_count + 7 ELSE chunk_count END AS total_chunks, CASE WHEN yy % 5 = 2 THEN chunk_count // 2 ELSE CASE WHEN yy % 5 = 1 THEN chunk_count + 7 ELSE chunk_count END END AS next_chunk_index, next_chunk_index AS committed_chunks FROM k WHERE yy % 5 > 0
+  UNION ALL SELECT 'content/posts/unfolding/gemini-1999.mdx', 'sha256:gone', 9, 9, 9)"""
+
+
+@query(f"""WITH {chunks_sql(ARCHIVE_SQL)}, {ARCHIVE_ENTRIES}, {PLAN.replace(str(BUDGET - 5), "195")},
+p AS (SELECT d.essay_path, kind, deletes, sum(granted) FILTER (stage = 0)::BIGINT AS dg, sum(granted) FILTER (stage = 1)::BIGINT AS ug FROM d JOIN g USING (essay_path) GROUP BY ALL),
+a AS (SELECT essay_path, kind, dg, ug, dg = deletes AS whole, m.content_hash AS old_hash, e.content_hash AS new_hash, m.total_chunks AS old_total, coalesce(c.chunk_count, 0) AS new_total, m.next_chunk_index AS old_next
+  FROM (SELECT essay_path FROM entries UNION SELECT essay_path FROM p) LEFT JOIN p USING (essay_path) LEFT JOIN entries m USING (essay_path) LEFT JOIN essays e USING (essay_path) LEFT JOIN counts c USING (essay_path)),
+r AS (SELECT *, kind IN ('embed_new', 'reembed_changed') AND whole AS fresh FROM a WHERE NOT coalesce(kind = 'delete_removed' AND whole, false)),
+z AS (SELECT essay_path, CASE WHEN fresh THEN new_hash ELSE old_hash END AS content_hash, CASE WHEN fresh THEN new_total WHEN kind = 'delete_removed' THEN old_total - dg ELSE old_total END AS total_chunks,
+  CASE WHEN fresh THEN ug WHEN kind = 'embed_resume' THEN old_next + ug ELSE old_next END AS next_chunk_index, coalesce(ug, 0) AS written, kind, old_total, dg FROM r)
+SELECT essay_path, content_hash, total_chunks::BIGINT AS total_chunks, next_chunk_index::BIGINT AS next_chunk_index, least(next_chunk_index, total_chunks)::BIGINT AS committed_chunks,
+  CASE WHEN kind = 'embed_new' THEN written WHEN kind = 'embed_resume' THEN next_chunk_index WHEN kind IS NULL THEN total_chunks ELSE greatest(old_total - dg, written) END::BIGINT AS vectors, written::BIGINT AS written FROM z""")
+def backfill_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Manifest entries after a day's backfill of 195 chunk writes, with what the table of vectors holds of each."""
+    vectors_, manifest_ = run_tables(spark)
+    found = scratch.stored(archives(spark, sf_dir))
+    sizes = chunking.chunk_counts(chunking.chunks(found))
+    live = found.select("essay_path", text.content_hash(F.col("body")).alias("content_hash")).join(sizes, "essay_path").withColumn("m", F.expr("int(substr(essay_path, length(essay_path) - 5, 2)) % 5"))
+    stale, half = F.col("m") == 1, F.col("m") == 2
+    total = F.when(stale, F.col("chunk_count") + 7).otherwise(F.col("chunk_count")).cast("long")
+    done = F.when(half, F.floor(F.col("chunk_count") / 2)).otherwise(total).cast("long")
+    known = live.where("m > 0").select("essay_path", F.when(stale, "sha256:stale").otherwise(F.col("content_hash")).alias("content_hash"), total.alias("total_chunks"), done.alias("next_chunk_index"), done.alias("committed_chunks"))
+    gone = spark.createDataFrame([("content/posts/unfolding/gemini-1999.mdx", "sha256:gone", 9, 9, 9)], sync.BACKFILL_ENTRY)
+    before = scratch.stored(known.unionByName(gone))
+    vectors_.upsert(earlier_vectors(sync.chunk_ids(before, F.lit(0).cast("long"), F.col("next_chunk_index"))))
+    manifest_.replace(before, {"status": "batch_running"})
+    sync.run_backfill(found, vectors_, manifest_, hashed_embedder(8), backfill.WriteBudget(write_budget=200), clock=clock)
+    return held(manifest_.read(), vectors_.read())

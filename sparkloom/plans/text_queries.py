@@ -58,9 +58,20 @@ def history_last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.history(messages(spark, sf_dir), 4)
 
 
-@query(f"WITH {HISTORY}, n AS (SELECT *, row_number() OVER (PARTITION BY conversation_id ORDER BY ord) AS i FROM h) SELECT conversation_id, string_agg('[' || i || '] ' || substr(content, 1, 1200), chr(10) || chr(10) ORDER BY ord) AS context FROM n GROUP BY 1")
-def context_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return conversations.context_block(conversations.history(messages(spark, sf_dir), 4))
+TURN = "b AS (SELECT item_id, text FROM benchmark), t AS (SELECT conversation_id, text AS query, 'Answer ' || item_id AS answer FROM (SELECT DISTINCT conversation_id FROM messages) JOIN b ON item_id = conversation_id % (SELECT count(*) FROM benchmark)), x AS (SELECT conversation_id, max(ord) + 1 AS next FROM messages GROUP BY 1)"
+
+
+@query(f"""WITH {MESSAGES_SQL}, {TURN}, m AS (SELECT conversation_id, ord, role, content, NULL AS llm_meta FROM messages UNION ALL SELECT conversation_id, next, 'user', query, NULL FROM t JOIN x USING (conversation_id) UNION ALL SELECT conversation_id, next + 1, 'assistant', answer, 'none' FROM t JOIN x USING (conversation_id)),
+r AS (SELECT *, {RANKED.format("ord DESC")} AS rank FROM m) SELECT conversation_id, ord, role, content, llm_meta FROM r WHERE rank <= 3""")
+def conversation_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last three messages of each conversation after one more turn: a benchmark text and its answer."""
+    rows = messages(spark, sf_dir)
+    n = table(spark, sf_dir, "benchmark").count()
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("query"), F.concat(F.lit("Answer "), F.col("item_id").cast("string")).alias("answer"))
+    turns = rows.select("conversation_id").distinct().withColumn("item_id", F.col("conversation_id") % n).join(items, "item_id").withColumn("llm_meta", F.lit("none"))
+    new = conversations.with_turns(rows, turns)
+    both = rows.withColumn("llm_meta", F.lit(None).cast("string")).unionByName(new.select("conversation_id", "ord", "role", "content", "llm_meta"))
+    return both.withColumn("rank", F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.desc("ord")))).where("rank <= 3").drop("rank")
 
 
 @query(f"WITH {MESSAGES_SQL} SELECT conversation_id, count(*) AS messages, max(ord) AS last_turn FROM messages GROUP BY 1")
@@ -138,12 +149,13 @@ def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the words of one benchmark text, dealt out in turn."""
+    n = table(spark, sf_dir, "benchmark").count()
     words = table(spark, sf_dir, "benchmark").select("item_id", terms.literal_terms(F.col("text")).alias("terms"))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", (F.col("doc_id") % 40).alias("item_id"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source", (F.col("doc_id") % n).alias("item_id"))
     return docs.join(words, "item_id")
 
 
-ASKED = f"{TERMS}, a AS (SELECT doc_id, text, source, item_id, len(list_distinct(terms)) AS n_terms, {MATCH.format('lower(text)')} AS hits FROM documents d JOIN terms t ON t.item_id = d.doc_id % 40)"
+ASKED = f"{TERMS}, a AS (SELECT doc_id, text, source, item_id, len(list_distinct(terms)) AS n_terms, {MATCH.format('lower(text)')} AS hits FROM documents d JOIN terms t ON t.item_id = d.doc_id % (SELECT count(*) FROM benchmark))"
 
 
 @query(f"WITH {ASKED} SELECT doc_id, item_id, n_terms::INTEGER AS n_terms, hits::INTEGER AS hits FROM a")
@@ -183,23 +195,44 @@ def repetition_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.repeated_gram(t).alias("repeated_gram"), few.alias("few_words"))
 
 
-STATES = ("CASE doc_id % 5 WHEN 0 THEN 'no_index' WHEN 1 THEN 'index_current' WHEN 2 THEN 'index_stale' WHEN 3 THEN 'sync_failed' ELSE 'sync_running' END", "CASE doc_id % 6 WHEN 0 THEN 'sync_start' WHEN 1 THEN 'corpus_changed' WHEN 2 THEN 'sync_scheduled' WHEN 3 THEN 'sync_retry' WHEN 4 THEN 'corpus_unchanged' ELSE 'sync_complete' END")
-_EDGES = ", ".join(str(e) for e in sagas.EDGES)
-
-
-@query(f"""WITH e(machine, edge, state, event, next_state) AS (VALUES {_EDGES}), r AS (SELECT doc_id, 'embed' AS machine, {STATES[0]} AS state, {STATES[1]} AS event FROM documents)
-SELECT r.doc_id, r.machine, r.state, r.event, e.edge, e.next_state FROM r LEFT JOIN e USING (machine, state, event)""")
+MACHINES = {
+    "embed": ("no_index index_current stale sync_failed sync_running sync_pending", "deploy_build_ok posts_digest_changed schedule_sync sync_retry posts_digest_unchanged sync_complete sync_start sync_error"),
+    "backfill": ("backlog_pending batch_running batch_committed backlog_complete batch_failed", "daily_schedule batch_upsert_ok backlog_remaining backlog_drained batch_error batch_retry archive_content_changed"),
+    "retrieve": ("anonymous session_active", "retrieval_request index_stale"),
+}
+_MET = "VALUES " + ", ".join(f"('{m}', '{s}', '{e}')" for m, (states, events) in MACHINES.items() for s in states.split() for e in events.split())
+
+
+@query(f"""WITH e(edge, machine, state, event, next_state) AS (VALUES
+ ('EM01', 'embed', 'no_index', 'deploy_build_ok', 'sync_running'), ('EM02', 'embed', 'index_current', 'posts_digest_changed', 'stale'), ('EM03', 'embed', 'stale', 'sync_start', 'sync_running'),
+ ('EM04', 'embed', 'stale', 'schedule_sync', 'sync_pending'), ('EM05', 'embed', 'sync_pending', 'sync_start', 'sync_running'), ('EM06', 'embed', 'sync_running', 'sync_complete', 'index_current'),
+ ('EM07', 'embed', 'sync_running', 'sync_error', 'sync_failed'), ('EM08', 'embed', 'sync_failed', 'sync_retry', 'sync_running'), ('EM09', 'embed', 'index_current', 'posts_digest_unchanged', 'index_current'),
+ ('BF01', 'backfill', 'backlog_pending', 'daily_schedule', 'batch_running'), ('BF02', 'backfill', 'batch_running', 'batch_upsert_ok', 'batch_committed'), ('BF03', 'backfill', 'batch_committed', 'backlog_remaining', 'backlog_pending'),
+ ('BF04', 'backfill', 'batch_committed', 'backlog_drained', 'backlog_complete'), ('BF05', 'backfill', 'batch_running', 'batch_error', 'batch_failed'), ('BF06', 'backfill', 'batch_failed', 'batch_retry', 'batch_running'),
+ ('BF07', 'backfill', 'backlog_pending', 'archive_content_changed', 'backlog_pending'), ('BF08', 'backfill', 'backlog_complete', 'archive_content_changed', 'backlog_pending'),
+ ('VR01', 'retrieve', 'anonymous', 'retrieval_request', 'anonymous'), ('VR02', 'retrieve', 'session_active', 'retrieval_request', 'session_active'), ('VR03', 'retrieve', 'session_active', 'index_stale', 'session_active')),
+met(machine, state, event) AS ({_MET}), n AS (SELECT *, row_number() OVER (PARTITION BY machine ORDER BY state, event) - 1 AS i, count(*) OVER (PARTITION BY machine) AS of FROM met)
+SELECT d.doc_id, n.machine, n.state, n.event, e.edge, e.next_state FROM documents d JOIN n ON n.i = d.doc_id % n.of LEFT JOIN e USING (machine, state, event)""")
 def saga_transitions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.lit("embed").alias("machine"), F.expr(STATES[0]).alias("state"), F.expr(STATES[1]).alias("event"))
+    """Each document meets one state and event of every machine, by turns all that there are."""
+    rows = None
+    for machine, (states, events) in MACHINES.items():
+        pairs = sorted((s, e) for s in states.split() for e in events.split())
+        pick = F.element_at(F.array(*[F.struct(F.lit(s).alias("state"), F.lit(e).alias("event")) for s, e in pairs]), (F.col("doc_id") % len(pairs) + 1).cast("int"))
+        part = table(spark, sf_dir, "documents").select("doc_id", F.lit(machine).alias("machine"), pick.alias("p")).select("doc_id", "machine", "p.*")
+        rows = part if rows is None else rows.unionByName(part)
     return sagas.step(rows)
 
 
-@query(f"""SELECT doc_id, status, CASE WHEN n_chars % 7 = 0 THEN 'sync_failed' WHEN n_chars % 7 = 1 THEN 'sync_complete' WHEN status = 'index_current' AND same THEN 'corpus_unchanged'
- WHEN status = 'index_current' THEN 'corpus_changed' WHEN status = 'no_index' THEN 'sync_start' WHEN status IN ('index_stale', 'sync_pending') THEN 'sync_start' WHEN status = 'sync_failed' THEN 'sync_retry' ELSE 'sync_start' END AS event
- FROM (SELECT doc_id, n_chars, n_chars % 2 = 0 AS same, {STATES[0]} AS status FROM documents)""")
+STATUS = "CASE doc_id % 6 WHEN 0 THEN 'no_index' WHEN 1 THEN 'index_current' WHEN 2 THEN 'stale' WHEN 3 THEN 'sync_failed' WHEN 4 THEN 'sync_pending' ELSE 'sync_running' END"
+
+
+@query(f"""SELECT doc_id, status, CASE WHEN n_chars % 7 = 0 THEN 'sync_error' WHEN n_chars % 7 = 1 THEN 'sync_complete' WHEN status = 'index_current' AND n_chars % 3 = 0 THEN 'posts_digest_unchanged'
+ WHEN status = 'index_current' AND n_chars % 3 = 1 THEN 'posts_digest_changed' WHEN status = 'no_index' THEN 'deploy_build_ok' WHEN status IN ('stale', 'sync_pending') THEN 'sync_start' WHEN status = 'sync_failed' THEN 'sync_retry' ELSE 'sync_start' END AS event
+ FROM (SELECT doc_id, n_chars, {STATUS} AS status FROM documents)""")
 def resolve_sync_event(spark: SparkSession, sf_dir: str) -> DataFrame:
-    n, status = F.col("n_chars"), F.expr(STATES[0])
-    return table(spark, sf_dir, "documents").select("doc_id", status.alias("status"), sagas.sync_event(n % 7 == 0, n % 7 == 1, status, n % 2 == 0).alias("event"))
+    n, status = F.col("n_chars"), F.expr(STATUS)
+    return table(spark, sf_dir, "documents").select("doc_id", status.alias("status"), sagas.sync_event(n % 7 == 0, n % 7 == 1, status, n % 3 == 1, n % 3 == 0).alias("event"))
 
 
 BACKFILL = "CASE doc_id % 5 WHEN 0 THEN 'backlog_pending' WHEN 1 THEN 'batch_running' WHEN 2 THEN 'batch_committed' WHEN 3 THEN 'batch_failed' ELSE 'backlog_complete' END"

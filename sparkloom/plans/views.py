@@ -29,7 +29,8 @@ def counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An earlier manifest: labelled essays, stale where the quality is 0 and half done where they are toxic, and the
     benchmark's items, which the corpus doesn't have any more."""
-    known = essays(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id").join(counts(spark, sf_dir), "essay_path")
+    labelled = essays(spark, sf_dir).join(table(spark, sf_dir, "labels"), "doc_id")
+    known = labelled.join(chunking.chunk_counts(chunking.chunks(labelled)), "essay_path")
     hash_ = F.when(F.col("quality") == 1, F.col("content_hash")).otherwise("sha256:stale")
     done = F.when(F.col("toxic") == 1, F.floor(F.col("chunk_count") / 2)).otherwise(F.col("chunk_count")).cast("long")
     rows = known.select("essay_path", hash_.alias("content_hash"), F.col("chunk_count").alias("total_chunks"), done.alias("next_chunk_index"), done.alias("committed_chunks"))
@@ -64,16 +65,35 @@ s3 AS (SELECT essay_path, unnest(parts) AS part, generate_subscripts(parts, 1) A
 s4 AS (SELECT essay_path, n, CASE WHEN n > 1 THEN string_split(part, chr(10))[1] END AS heading,
   {_TRIM.format("regexp_replace(CASE WHEN n = 1 THEN part WHEN strpos(part, chr(10)) > 0 THEN substr(part, strpos(part, chr(10)) + 1) ELSE '' END, '" + chr(92) + "s+', ' ', 'g')")} AS text FROM s3),
 sections AS (SELECT * FROM s4 WHERE text <> '' AND NOT coalesce(regexp_matches(heading, '(?i)(^|[^a-z0-9_])comment($|[^a-z0-9_])|^\\d+\\.\\s+\\d{{4}}-\\d{{2}}-\\d{{2}}'), false))"""
-CHUNKS_SQL = f"""{ESSAYS_SQL}, {SECTIONS_SQL},
+SLUG_SQL = r"coalesce(nullif(regexp_replace('/' || regexp_replace(regexp_replace(essay_path, '^content/', ''), '\.(mdx|md|txt)$', ''), '/index$', ''), ''), '/')"
+_CHUNKS = f"""{SECTIONS_SQL},
 c0 AS (SELECT essay_path, n, heading, string_split(text, ' ') AS words FROM sections),
 c1 AS (SELECT essay_path, n, heading, words, unnest(range(0, 1 + ceil(greatest(0, len(words) - 500) / 420)::BIGINT)) AS w FROM c0),
 c2 AS (SELECT essay_path, heading, (row_number() OVER (PARTITION BY essay_path ORDER BY n, w) - 1)::INTEGER AS chunk_index, array_to_string(words[w * 420 + 1 : w * 420 + 500], ' ') AS text FROM c1),
-chunks AS (SELECT essay_path, '/' || regexp_replace(regexp_replace(regexp_replace(essay_path, '^content/', ''), '\\.(mdx|md|txt)$', ''), '/index$', '') AS essay_slug, heading, chunk_index, text,
+chunks AS (SELECT essay_path, {SLUG_SQL} AS essay_slug, heading, chunk_index, text,
   'sha256:' || sha256(text) AS content_hash, greatest(1, ceil(length(text) / 4))::INTEGER AS token_estimate FROM c2),
 counts AS (SELECT essay_path, count(*) AS chunk_count FROM chunks GROUP BY essay_path)"""
+
+
+def chunks_sql(essays_sql: str) -> str:
+    """sections, chunks and counts of the essays that a common table expression defines."""
+    return f"{essays_sql}, {_CHUNKS}"
+
+
+CHUNKS_SQL = chunks_sql(ESSAYS_SQL)
 ENTRIES_SQL = f"""{CHUNKS_SQL},
 k AS (SELECT e.essay_path, CASE WHEN quality = 1 THEN content_hash ELSE 'sha256:stale' END AS content_hash, chunk_count AS total_chunks,
   CASE WHEN toxic = 1 THEN chunk_count // 2 ELSE chunk_count END AS next_chunk_index FROM essays e JOIN labels USING (doc_id) JOIN counts USING (essay_path)),
 entries AS (SELECT *, next_chunk_index AS committed_chunks FROM k UNION ALL
   SELECT 'content/posts/examined/item-' || item_id || '.mdx', 'sha256:' || sha256(text), 3, 3, 3 FROM benchmark)"""
 MESSAGES_SQL = "messages AS (SELECT conv_id AS conversation_id, turn AS ord, role, text AS content FROM conversations)"
+ARCHIVE_SQL = """essays AS (SELECT essay_path, body, 'sha256:' || sha256(body) AS content_hash FROM (
+  SELECT 'content/posts/unfolding/' || CASE WHEN lang IN ('en', 'de') THEN 'chatgpt' ELSE 'gemini' END || '-20' || lpad((doc_id % 100)::VARCHAR, 2, '0') || '.mdx' AS essay_path, string_agg(text, chr(10) ORDER BY doc_id) AS body FROM documents GROUP BY 1))"""
+
+
+def archives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """essay_path, body: the documents as two hundred year archives at most, joined in order."""
+    family = F.when(F.col("lang").isin("en", "de"), "chatgpt").otherwise("gemini")
+    path = F.concat(F.lit("content/posts/unfolding/"), family, F.lit("-20"), F.lpad((F.col("doc_id") % 100).cast("string"), 2, "0"), F.lit(".mdx"))
+    rows = table(spark, sf_dir, "documents").select(path.alias("essay_path"), "doc_id", "text")
+    return rows.groupBy("essay_path").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "text"))), lambda x: x["text"]), "\n").alias("body"))

@@ -2,18 +2,27 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame) -> DataFrame:
-    """`df` written as Parquet below spark.checkpoint.dir (set only where it is unset) and read back."""
-    spark = df.sparkSession
+def base_dir(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Only a local master may leave it unset: executors elsewhere don't see
+    a folder of this machine."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = "/tmp/sparkloom-checkpoints"
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", base)
-    path = f"{base}/sparkloom-{uuid.uuid4().hex}"
+    return base
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """`df` written as Parquet below spark.checkpoint.dir and read back."""
+    spark = df.sparkSession
+    path = f"{base_dir(spark)}/sparkloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

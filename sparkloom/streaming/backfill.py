@@ -3,23 +3,48 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sparkloom.operators import chunking
-from sparkloom.operators.models import Embedder, embedding
+from sparkloom.operators import chunking, sync
+from sparkloom.operators.backfill import WriteBudget
+from sparkloom.operators.models import Embedder
+from sparkloom.sources.scratch import stored
 from sparkloom.sources.tables import VersionedTable
 
 
 def payloads(essays: DataFrame, embedder: Embedder) -> DataFrame:
-    rows = chunking.vector_payloads(chunking.chunks(essays))
-    return rows.withColumn("vector", embedding(embedder)("metadata.text"))
+    return sync.payloads(chunking.chunks(essays), embedder)
 
 
 def start(spark: SparkSession, source: str, table: VersionedTable, checkpoint: str, embedder: Embedder, files_per_batch: int = 100) -> StreamingQuery:
-    """Process all Parquet files of essays below `source` that haven't been, then stop. The checkpoint is the cursor."""
+    """Process all Parquet files of essays below `source` that haven't been, then stop. The checkpoint is the cursor.
+
+    Of an essay that comes again, the chunks beyond its new end go.
+    """
     stream = spark.readStream.schema("essay_path string, body string").option("maxFilesPerTrigger", files_per_batch).parquet(source)
 
     def upsert(batch: DataFrame, _: int) -> None:
-        table.upsert(payloads(batch.dropDuplicates(["essay_path"]), embedder))
+        essays = stored(batch.groupBy("essay_path").agg(F.max("body").alias("body")))
+        rows = stored(payloads(essays, embedder))
+        old = table.read()
+        if old is not None:
+            mine = old.join(essays.select("essay_path"), F.col("metadata.essay_path") == F.col("essay_path"), "left_semi")
+            table.delete(mine.select("id").join(rows.select("id"), "id", "left_anti"))
+        table.upsert(rows)
 
     return stream.writeStream.foreachBatch(upsert).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def start_daily(spark: SparkSession, source: str, vectors: VersionedTable, manifest: VersionedTable, corpus: VersionedTable, checkpoint: str, embedder: Embedder, budget: WriteBudget, files_per_batch: int = 100) -> StreamingQuery:
+    """The same under a budget: each batch is merged into `corpus` (key essay_path), then one day's backfill runs.
+
+    What the budget doesn't reach stays pending in the manifest, which is the cursor between days.
+    """
+    stream = spark.readStream.schema("essay_path string, body string").option("maxFilesPerTrigger", files_per_batch).parquet(source)
+
+    def day(batch: DataFrame, _: int) -> None:
+        corpus.upsert(batch)
+        sync.run_backfill(corpus.read(), vectors, manifest, embedder, budget)
+
+    return stream.writeStream.foreachBatch(day).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

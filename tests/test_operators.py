@@ -92,6 +92,10 @@ def test_sagas(spark):
     assert sorted(r["edge"] for r in got if r["edge"]) == sorted(e[1] for e in sagas.EDGES) and sum(r["edge"] is None for r in got) == 1
     cases = [("backlog_pending", False, "daily_schedule"), ("batch_failed", False, "batch_retry"), ("batch_running", False, "batch_retry"), ("batch_committed", True, "batch_retry"), ("backlog_pending", True, "archive_content_changed"), ("backlog_complete", True, "archive_content_changed")]
     df = spark.createDataFrame(cases, "s string, c boolean, w string")
+    assert sagas.next_state("embed", "stale", "sync_start") == "sync_running"
+    with pytest.raises(ValueError):
+        sagas.next_state("retrieve", "active", "retrieval_request")
+    assert [r[0] for r in spark.createDataFrame([(True,), (False,)], "h boolean").select(sagas.session_state(F.col("h"))).collect()] == ["session_active", "anonymous"]
     assert all(r[0] == r[1] for r in df.select(sagas.backfill_event(F.col("s"), F.col("c")), "w").collect())
 
 
@@ -99,14 +103,15 @@ def test_terms(spark):
     words = terms.glossary(spark)
     aliases = terms.short_aliases(words)
     some = lambda names: {r["alias"] for r in terms.short_aliases(spark.createDataFrame([(n,) for n in names], "term string")).collect()}
-    assert {"ana", "cata", "hylo", "coa"} <= some(["catamorphism", "anamorphism", "hylomorphism", "coalgebra"])
-    assert "ana" not in some(["analysis", "anamorphism"])
-    asked = spark.createDataFrame([(0, "what's catamorphism"), (1, "what's catmorphism"), (2, "privacy policy"), (3, "what's ana?"), (4, "concres and νF or muf")], "query_id int, query string")
+    assert {"top", "topo", "she"} <= some(["topos", "sheaf"]) and "con" not in some(["concrescence", "conjunction"])
+    asked = spark.createDataFrame([(0, "define a coalgebra please"), (1, "define a coalgebre please"), (2, "cookie settings"), (3, "is sem near?"), (4, "prehen next to μf or nuf")], "query_id int, query string")
     expanded = {r["query_id"]: r["expanded"] for r in terms.expand_queries(asked, words, aliases).collect()}
-    assert "catamorphism fold F-algebra" in expanded[0] and "catamorphism fold F-algebra" in expanded[1]
-    assert expanded[2] == "privacy policy" and "anamorphism unfold" in expanded[3] and terms.INITIAL in expanded[4] and terms.FINAL in expanded[4]
+    assert terms.EXPANSIONS["coalgebra"] in expanded[0] and terms.EXPANSIONS["coalgebra"] in expanded[1]
+    assert expanded[2] == "cookie settings" and terms.EXPANSIONS["semiosis"] in expanded[3] and terms.INITIAL in expanded[4] and terms.FINAL in expanded[4]
     found = {r["query_id"]: r for r in terms.query_terms(asked, words, aliases).collect()}
-    assert found[1]["fuzzy"] == ["catamorphism"] and {"concres", "concrescence"} <= set(found[4]["terms"])
+    assert found[1]["fuzzy"] == ["coalgebra"] and {"prehen", "prehension"} <= set(found[4]["terms"])
+    row = spark.createDataFrame([(["moon", "tide"], "on tides", "Moon")], "t array<string>, b string, h string")
+    assert tuple(row.select(terms.overlap_boost(F.col("t"), F.col("b")), terms.overlap_boost(F.col("t"), F.col("b"), F.col("h"))).first()) == pytest.approx((0.0, 0.2))
 
 
 def test_conversations(spark):
@@ -120,7 +125,12 @@ def test_conversations(spark):
     for n in (0, 201):
         with pytest.raises(ValueError):
             conversations.page_limit(n)
-    assert conversations.context_block(got and conversations.history(rows, 2)).first()["context"] == "[1] m18\n\n[2] m19"
+    found = spark.createDataFrame([(7, 1, "/s", None, "H", "**b** " + "x" * 1300), (7, 2, "", "p.mdx", None, "t"), (7, 3, None, None, None, "u"), (8, 1, None, None, None, None)], "query_id int, rank int, essay_slug string, essay_path string, heading string, text string")
+    block = {r["query_id"]: r["context"] for r in conversations.context_block(found).collect()}
+    assert block[7] == "[1] /s \u2014 H\nb " + "x" * 1198 + "\u2026\n\n[2] p.mdx\nt\n\n[3] passage-3\nu" and block[8] == conversations.NO_PASSAGES
+    as_dicts = [r.asDict() for r in found.where("query_id = 7").orderBy("rank").collect()]
+    prompt = spark.range(1).select(conversations.system_prompt(F.lit(block[7])), conversations.user_turn(F.lit(" q \n"))).first()
+    assert conversations.prompt_of(as_dicts) == prompt[0] and prompt[1] == "q" and conversations.prompt_of([]).endswith(conversations.NO_PASSAGES)
 
 
 def test_search_and_embedder(spark):
@@ -163,3 +173,143 @@ def test_corpus_tables_and_stream(spark, tmp_path):
     for _ in range(2):
         stream.start(spark, source, vectors, str(tmp_path / "cp"), models.hashed_embedder(8)).awaitTermination()
     assert [r["id"] for r in vectors.read().collect()] == ["posts--examined--a#0"] and vectors.version() == 1
+
+
+def repo_of(spark, folder):
+    names, stamps = iter(range(99)), iter(range(99))
+    pair = [tables.VersionedTable(spark, f"{folder}/{n}", buckets=4) for n in ("conversations", "messages")]
+    return conversations.ConversationRepo(*pair, clock=lambda: f"t{next(stamps):02d}", new_id=lambda: f"id{next(names)}")
+
+
+def test_persisted_conversation(spark, tmp_path):
+    repo, asked = repo_of(spark, tmp_path), []
+    respond = lambda q, synthesize: {"answer": f"about {q}", "chunks": [{"essay_slug": "/a", "heading": None, "text": "body"}], "meta": {"index_status": "index_current"}}
+    alone = conversations.conversational_answer("q", respond)
+    assert alone["conversation_id"] is None and alone["answer"] == "about q"
+    with pytest.raises(RuntimeError):
+        conversations.conversational_answer("q", respond, title="t")
+    with pytest.raises(ValueError):
+        conversations.conversational_answer("q", respond, repo, conversation_id="nope")
+    first = conversations.conversational_answer("one", respond, repo, title=" T ")
+
+    def client(messages, system):
+        asked.append((messages, system))
+        return {"text": "from the model", "model": "m"}
+
+    complete = conversations.completion({"OPENAI_API_KEY": "k"}, {"openai": client})
+    second = conversations.conversational_answer(" two ", respond, repo, first["conversation_id"], complete=complete)
+    assert second["llm_meta"] == {"llm_provider": "openai", "llm_model": "m", "llm_fallback": False} and second["meta"]["answer_mode"] == "generative"
+    assert [m["content"] for m in asked[0][0]] == ["one", "about one", "two"] and "[1] /a\nbody" in asked[0][1]
+    missing = conversations.completion({"LLM_PROVIDER": "Anthropic"}, {})
+    third = conversations.conversational_answer("three", respond, repo, first["conversation_id"], complete=missing)
+    assert third["llm_meta"]["llm_fallback"] and third["llm_meta"]["llm_provider"] == "anthropic" and conversations.completion({}, {}) is None
+    kept = repo.list(first["conversation_id"])
+    assert [(m["role"], m["content"]) for m in kept] == [("user", "one"), ("assistant", "about one"), ("user", " two "), ("assistant", "from the model"), ("user", "three"), ("assistant", "about three")]
+    assert [m["ord"] for m in repo.list(first["conversation_id"], 2, before=kept[4]["id"])] == [0, 1]
+    assert repo.get(first["conversation_id"])["updated_at"] > kept[-1]["created_at"] and repo.get("nope") is None
+    for status in ("no_index", "sync_failed"):
+        off = lambda q, synthesize, s=status: {"answer": "x", "chunks": [], "meta": {"index_status": s}}
+        assert conversations.conversational_answer("q", off, repo, first["conversation_id"], complete=complete)["message_id"] is None
+    rows = spark.createDataFrame([("a", "user", "hi", "t", "{}")], "id string, role string, content string, created_at string, llm_meta string")
+    assert conversations.listed(rows).columns == ["id", "role", "content", "created_at"]
+
+
+def vector_ids(table):
+    return sorted(r["id"] for r in table.read().select("id").collect())
+
+
+def test_sync_writes(spark, tmp_path):
+    from sparkloom.operators import sync
+
+    vectors, manifest_ = (tables.VersionedTable(spark, str(tmp_path / n), k, 4) for n, k in (("v", "id"), ("m", "essay_path")))
+    essays = lambda *x: spark.createDataFrame([(f"content/posts/examined/{n}.mdx", " ".join(["w"] * size)) for n, size in x], "essay_path string, body string")
+    embed = models.hashed_embedder(4)
+    first = sync.run_sync(essays(("a", 600), ("b", 10)), vectors, manifest_, embed)
+    assert (first["status"], first["vector_count"], first["last_job"]["chunks_written"], first["last_job"]["files_scanned"]) == ("index_current", 3, 3, 2)
+    version = manifest_.version()
+    assert sync.run_sync(essays(("a", 600), ("b", 10)), vectors, manifest_, embed)["last_sync_at"] == first["last_sync_at"] and manifest_.version() == version
+    second = sync.run_sync(essays(("a", 20), ("c", 10)), vectors, manifest_, embed)
+    assert (second["last_job"]["chunks_written"], second["last_job"]["chunks_deleted"]) == (2, 2)
+    assert vector_ids(vectors) == ["posts--examined--a#0", "posts--examined--c#0"] and second["manifest_digest"] != first["manifest_digest"]
+
+    def broken(texts):
+        raise RuntimeError("no model")
+
+    with pytest.raises(Exception, match="no model"):
+        sync.run_sync(essays(("d", 5)), vectors, manifest_, broken)
+    header, entries_ = sync.read(manifest_, sync.SYNC_DEFAULTS, sync.SYNC_ENTRY)
+    assert header["status"] == "sync_failed" and "no model" in header["last_error"] and header["last_job"]["error_stage"] == "embed" and entries_.count() == 2
+    assert sync.run_sync(essays(("d", 5)), vectors, manifest_, embed)["status"] == "index_current" and vector_ids(vectors) == ["posts--examined--d#0"]
+    with pytest.raises(ValueError):
+        sync.run_sync(essays(("d", 5)), vectors, manifest_, embed, trigger="cron")
+
+
+def test_backfill_writes_until_drained(spark, tmp_path):
+    from sparkloom.operators import sync
+
+    vectors, manifest_ = (tables.VersionedTable(spark, str(tmp_path / n), k, 4) for n, k in (("v", "id"), ("m", "essay_path")))
+    essays = lambda *x: spark.createDataFrame([(f"content/posts/unfolding/gemini-20{y}.mdx", " ".join(["w"] * size)) for y, size in x] + [("content/posts/examined/a.mdx", "not an archive")], "essay_path string, body string")
+    budget, embed = backfill.WriteBudget(write_budget=8), models.hashed_embedder(4)
+    seen = []
+    for _ in range(4):
+        header = sync.run_backfill(essays((30, 1300), (31, 900)), vectors, manifest_, embed, budget)
+        seen.append((header["status"], header["last_run"]["chunks_upserted"], header["committed_archive_vectors"]))
+    assert seen == [("backlog_pending", 3, 3), ("backlog_complete", 2, 5), ("backlog_complete", 2, 5), ("backlog_complete", 2, 5)]
+    header = sync.run_backfill(essays((31, 400),), vectors, manifest_, embed, budget)
+    assert (header["status"], header["last_run"]["chunks_deleted"], header["last_run"]["chunks_upserted"]) == ("backlog_pending", 3, 0)
+    header = sync.run_backfill(essays((31, 400),), vectors, manifest_, embed, budget)
+    assert header["status"] == "backlog_complete" and vector_ids(vectors) == ["posts--unfolding--gemini-2031#0"]
+    only = spark.createDataFrame([("content/posts/unfolding/gemini-2032.mdx",)], "essay_path string")
+    header = sync.run_backfill(essays((31, 900), (32, 10)), vectors, manifest_, embed, budget, only=only)
+    assert header["last_run"]["chunks_upserted"] == 1 and {r["essay_path"][-8:-4]: r["total_chunks"] for r in manifest_.read().collect()} == {"2031": 1, "2032": 1}
+
+
+def test_tables_in_buckets(spark, tmp_path):
+    table = tables.VersionedTable(spark, str(tmp_path / "t"), buckets=8)
+    rows = lambda *x: spark.createDataFrame(list(x), "id string, v int")
+    table.upsert(rows(*[(f"k{i}", i) for i in range(40)]), meta={"n": 1})
+    table.upsert(rows(("k1", 100), ("k1", 300), ("k1", 200)), order=F.col("v"))
+    assert {r["id"]: r["v"] for r in table.read().collect()}["k1"] == 300 and table.read().count() == 40 and table.meta() == {"n": 1}
+    moved = set(table.pointer(2)["buckets"].items()) - set(table.pointer(1)["buckets"].items())
+    assert len(moved) == 1  # one bucket was written anew
+    table.delete(table.read().select("id"))
+    assert table.read().count() == 0 and table.read(2).count() == 40
+    assert table.vacuum(1) > 0 and table.versions() == [3]
+    calls = []
+
+    def flaky():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError("again")
+        return "done"
+
+    waits = []
+    assert tables.retried(flaky, sleep=waits.append) == "done" and waits == [0.5, 1.0]
+    applied = tables.VersionedTable(spark, str(tmp_path / "applied"), "name", 2)
+    steps = {"002": ["CREATE OR REPLACE TEMP VIEW two AS SELECT * FROM one"], "001": ["CREATE OR REPLACE TEMP VIEW one AS SELECT 1 AS x"]}
+    assert tables.migrated(spark, steps, applied, "t") == ["001", "002"] and tables.migrated(spark, steps, applied, "t") == []
+
+
+def test_whole_search(spark):
+    embed = models.hashed_embedder(32)
+    meta = "struct<essay_slug: string, essay_path: string, heading: string, chunk_index: int, text: string>"
+    texts = [("a#0", "/a", "content/posts/examined/a.mdx", "the coalgebra unfolds a stream"), ("a#1", "/a", "content/posts/examined/a.mdx", "a coalgebra again"), ("b#0", "/b", "content/posts/examined/b.mdx", "cooking rice for two"), ("p#0", "/p", "content/posts/pre-examined/p.mdx", "coalgebra draft")]
+    rows = [(i, embed([t])[0].tolist(), (s, p, None, 0, t)) for i, s, p, t in texts] + [("__manifest__", embed(["coalgebra"])[0].tolist(), None)]
+    vectors = spark.createDataFrame(rows, f"id string, vector array<float>, metadata {meta}")
+    asked = spark.createDataFrame([(1, "what is a coalgebra")], "query_id int, query string")
+    results, candidates = retrieve.search(asked, vectors, terms.glossary(spark), embed, 3, 0.0, models.lexical_scorer, -1.0)
+    assert {r["essay_slug"] for r in candidates.collect()} <= {"/a", "/b"} and results.orderBy("rank").first()["essay_slug"] == "/a"
+    score = models.cross_encoder(lambda q, p: [float(len(x.split())) for x in p], 4)
+    results, _ = retrieve.search(asked, vectors, terms.glossary(spark), embed, 3, 0.0, score)
+    assert results.where("essay_slug = '/b'").first()["score"] == 4.0
+
+
+def test_deleted_training_text_operators(tmp_path):
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "__pycache__", ".pytest_cache"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert q and set(e.oracle_sql()) <= set(q) and not any(n.startswith('op1_') or n == 'pipeline' for n in q)"
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, env={**os.environ, "PYTHONPATH": str(tmp_path / "repo")})
