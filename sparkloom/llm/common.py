@@ -11,6 +11,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sparkloom.sources.scratch import base_dir
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: What is marked for broadcast at most.
@@ -30,15 +32,11 @@ def text_or_empty(column: str = "text") -> Column:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """A new folder below the shared checkpoint folder that the session names (one is set only where it names none)."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "/tmp/sparkloom-checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base}/sparkloom-{uuid.uuid4().hex}"
+    """A new folder below the shared checkpoint folder that the session names."""
+    return f"{base_dir(spark)}/sparkloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
+def written(df: DataFrame, spark: SparkSession | None = None, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write a Parquet table in the shared folder and read it back (survives lost executors).
 
     What has been shuffled for it is needed no more. Spark deletes shuffle files when the driver's garbage collector
@@ -46,7 +44,7 @@ def written(df: DataFrame, spark: SparkSession | None = None) -> DataFrame:
     """
     spark = spark or df.sparkSession
     path = scratch_dir(spark)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path

@@ -19,6 +19,8 @@ from pyspark.sql import functions as F
 from .common import documents, mix64, slices, string_buffers, word_bounds, word_hashes, written
 
 BITS = 128
+#: Bits in which fingerprints may differ and still be near.
+RADIUS = 3
 EMPTY = "0" * (BITS // 4)
 #: Bit k of a byte, as a vote of -1 or 1.
 VOTES = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).astype(np.float64) * 2) - 1
@@ -157,4 +159,9 @@ def edit_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 
 
 def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edit_likeness(documents(spark, sf_dir, "doc_id", "text"))
+    """The contract's columns, and near_found: for ids divisible by 20 the number of other fingerprints of the whole table
+    within RADIUS bits, by the block tables; null for others. Nulls, ties and empty tables as edit_likeness() says."""
+    rows = edit_likeness(documents(spark, sf_dir, "doc_id", "text"))
+    asked = F.coalesce(F.col("doc_id") % 20 == 0, F.lit(False))
+    near = near_fingerprints(rows.where(asked), rows, RADIUS).groupBy(F.col("query").alias("fingerprint")).agg(F.count("*").alias("near_found"))
+    return rows.join(near, "fingerprint", "left").withColumn("near_found", F.when(asked, F.coalesce("near_found", F.lit(0))))

@@ -469,6 +469,7 @@ def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every document; nulls, ties and empty tables as jaccard_components() says."""
     found = jaccard_components(documents(spark, sf_dir, "doc_id", "text"), n=4, threshold=0.85)
     return found.select("doc_id", "n_shingles", "component_id")
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, slices, string_buffers
+from .common import documents, slices, string_buffers, written
 
 # Fixed values of the format: the zigzag order of a block's frequencies.
 ZIGZAG = np.array(sorted(range(64), key=lambda i: (i // 8 + i % 8, i // 8 if (i // 8 + i % 8) % 2 else i % 8)))
@@ -487,7 +487,8 @@ def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> Dat
 
 def decoded_media(docs: DataFrame, media: str = "media", tensors: bool = True) -> DataFrame:
     """`docs` with payload, and of the image's full-resolution RGB tensor: height, width, feature (means and deviations
-    of its channels), and rgb, its bytes row by row, if asked for. A null image gives nulls."""
+    of its channels), and rgb, its bytes row by row, if asked for. A null image gives nulls; columns of `docs` with these
+    names are replaced."""
     extra = {"payload": "binary", "height": "int", "width": "int", "feature": "string"} | ({"rgb": "binary"} if tensors else {})
     out = docs.drop(*extra)
     kept = out.columns
@@ -518,11 +519,17 @@ def decoded_media(docs: DataFrame, media: str = "media", tensors: bool = True) -
 
 
 def op5_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns, and height, width, rgb_bytes and rgb_sha256 of each image's full-resolution RGB tensor.
+
+    The images are written as a table and read back before they are decoded. Null texts count as empty, an empty one is
+    one block of zeros; equal rows are independent; an empty table gives an empty one.
+    """
     docs = documents(spark, sf_dir, "doc_id", "text").withColumn("n_bytes", F.octet_length(F.coalesce("text", F.lit(""))).cast("long"))
-    stored = with_media(docs).drop("text")
-    back = decoded_media(stored, tensors=False)
+    stored = written(with_media(docs).drop("text"), spark, "zstd")
+    back = decoded_media(stored)
     return back.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(F.expr("substring(payload, -64, 64)")).cast("long").alias("tail_crc32"),
         F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+        "height", "width", F.octet_length("rgb").cast("long").alias("rgb_bytes"), F.sha2("rgb", 256).alias("rgb_sha256"),
     )
 

@@ -57,7 +57,8 @@ def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     """`docs` with __size, __source_size, __target and __copies, the number of times the mix emits the row.
 
     Null texts have size 0; null sources are one source; empty texts, and rows of sources without words, are never
-    emitted (they add no words). Equal rows share one coin. Ties and repeated rows need no order. Any other columns pass
+    emitted (they add no words). Equal rows share one coin; rows without a key take theirs from the text as well.
+    Columns of `docs` with the names of the new ones are replaced. Ties and repeated rows need no order. Any other columns pass
     through. The one join is with a written table of one row a source: its file size is known when the join is planned, so Spark
     broadcasts it only below its size threshold; beyond that adaptive execution splits a hot source.
     """
@@ -65,7 +66,9 @@ def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source
     targets = written(source_targets(sized(docs.select(source, text), text), source))
     joined = rows.alias("d").join(targets.withColumnRenamed(source, "__source"), F.col(f"d.{source}").eqNullSafe(F.col("__source")), "left").drop("__source")
     rate = F.col("__rate")
-    copies = F.floor(rate) + (coin(F.lit(seed), F.col(f"d.{key}")) < rate - F.floor(rate)).cast("long")
+    name = F.col(f"d.{key}")
+    toss = F.when(name.isNull(), coin(F.lit(seed), name, F.col(f"d.{text}"))).otherwise(coin(F.lit(seed), name))
+    copies = F.floor(rate) + (toss < rate - F.floor(rate)).cast("long")
     return joined.withColumn("__copies", F.when(F.col("__size") > 0, F.coalesce(copies, F.lit(0))).otherwise(0).cast("long"))
 
 
@@ -76,6 +79,7 @@ def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every document; nulls, ties and empty tables as with_copies() says."""
     rows = with_copies(documents(spark, sf_dir, "doc_id", "text", "source"))
     return rows.select("doc_id", F.col("__size").alias("size"), F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("__size") * F.col("__copies")).alias("taken"))
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, ragged_take, slices, string_buffers
-from .tokens import MEMO, distinct_chunks
+from .tokens import ENTRY_BYTES, MEMO_BYTES, distinct_chunks
 
 MARK = "▁"
 END_ID = 2
@@ -48,6 +48,7 @@ class PieceCodec:
             raise ValueError("pieces of this model cross white-space markers")
         self.mark = self.model.piece_to_id(MARK)
         self.memo: dict[str, bytes] = {}
+        self.held = 0
 
     def _inner(self, chunks: list[str]) -> list[list[int]]:
         """Ids of chunks inside a text: the model's own leading marker stands for the chunk's first space."""
@@ -64,11 +65,13 @@ class PieceCodec:
         texts = distinct.to_pylist()
         inner = np.zeros(len(texts), bool)
         inner[which[~first]] = True
-        if len(self.memo) > MEMO:
+        if self.held > MEMO_BYTES:
             self.memo.clear()
+            self.held = 0
         missing = [x for x, k in zip(texts, inner.tolist(), strict=True) if k and x not in self.memo]
         for x, ids in zip(missing, self._inner(missing), strict=True):
             self.memo[x] = np.array(ids, np.int32).tobytes()
+            self.held += ENTRY_BYTES + 4 * len(x) + 4 * len(ids)
         heads = np.unique(which[first])
         head_ids = dict(zip(heads.tolist(), self.model.encode([texts[i] for i in heads], num_threads=1), strict=True))
         parts = [self.memo[x] if k else b"" for x, k in zip(texts, inner.tolist(), strict=True)]

@@ -25,15 +25,16 @@ from pyspark.sql import functions as F
 
 from .common import dropped, mix64, slices, written
 
-#: Rows that are broadcast at most; beyond that Spark joins by shuffling.
-BROADCAST_ROWS = 2_000_000
+#: Bytes that are broadcast at most; beyond that Spark joins by shuffling.
+BROADCAST_BYTES = 256 << 20
 #: Windows of a block, on the second level.
 BLOCK = 8
 BASE = np.uint64(0x9E6C63D0876A9A4F | 1)
+PRIME, SMALL_BASE = np.uint64((1 << 31) - 1), 0x2F3A9C51
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 NULL_DOC = (1 << 63) - 1
 #: A span's place: first window, number of windows and offset of the sample, packed so that places sort by the first.
-SPANS = "key long, id long, doc long, tag int, place long"
+SPANS = "key long, id long, doc long, tag long, place long"
 #: How much wider the first level's windows and samples are.
 WIDER = 4
 #: Of a slice: 64-bit values of the units, and where each text's units begin (one more at the end).
@@ -41,7 +42,10 @@ Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
 
 
 class Ranges:
-    """Hashes of any range of a slice's units, from one running sum."""
+    """Hashes of any range of a slice's units, from running sums: a polynomial modulo 2 ** 64 and another modulo a prime.
+
+    Modulo a power of two alone, some regular words of two letters have the same sum whatever the base.
+    """
 
     def __init__(self, values: np.ndarray):
         n = len(values)
@@ -53,9 +57,25 @@ class Ranges:
         np.multiply.accumulate(self.inverse, out=self.inverse)
         self.sums = np.zeros(n + 1, np.uint64)
         np.cumsum(values * powers[:n], out=self.sums[1:])
+        self.back = _powers(pow(SMALL_BASE, -1, int(PRIME)), n + 1)
+        self.small = np.zeros(n + 1, np.uint64)  # up to 2 ** 31 terms below the prime stay below 2 ** 62
+        np.cumsum(mix64(values) % PRIME * _powers(SMALL_BASE, n) % PRIME, out=self.small[1:])
 
     def __call__(self, starts: np.ndarray, lengths: np.ndarray | int) -> np.ndarray:
-        return mix64((self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts])
+        wide = (self.sums[starts + lengths] - self.sums[starts]) * self.inverse[starts]
+        small = (self.small[starts + lengths] - self.small[starts]) % PRIME * self.back[starts] % PRIME
+        return mix64(wide ^ mix64(small))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    """base ** 0 .. base ** (n - 1) modulo PRIME."""
+    out = np.ones(max(n, 1), np.uint64)
+    done = 1
+    while done < n:
+        more = min(done, n - done)
+        out[done : done + more] = out[:more] * np.uint64(pow(base, done, int(PRIME))) % PRIME
+        done += more
+    return out[:n]
 
 
 def sampled_spans(values: np.ndarray, upto: np.ndarray, window: int, gram: int, left_out: np.ndarray | None = None) -> tuple[np.ndarray, ...]:
@@ -94,7 +114,7 @@ def _rows(batch: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, ids: np.ndarr
     docs, tags = (batch.column(i).to_numpy(zero_copy_only=False)[doc] for i in (0, 1))
     place = lo.astype(np.int64) << 24 | n.astype(np.int64) << 12 | at.astype(np.int64)
     columns = [key.view(np.int64), ids.view(np.int64), docs, tags, place]
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
+    kinds = [pa.int64()] * 5
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "id", "doc", "tag", "place"])
 
 
@@ -106,15 +126,17 @@ def _windows() -> Column:
     return F.shiftright("place", 12).bitwiseAND(F.lit(4095)).cast("int")
 
 
-def guarded(df: DataFrame) -> DataFrame:
-    """Marked for broadcast where its counted rows are few; else left to Spark's own choice."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+def guarded(df: DataFrame, lists: str | None = None) -> DataFrame:
+    """Marked for broadcast where its bytes, by its counted rows and list elements, are few; else left to Spark."""
+    elements = F.coalesce(F.sum(F.size(lists).cast("long")), F.lit(0)) if lists else F.lit(0)
+    size = df.agg((F.count("*") * 40 + elements * 16).alias("bytes")).first()["bytes"]
+    return F.broadcast(df) if size <= BROADCAST_BYTES else df
 
 
 def tagged(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc, tag and text: a null key comes last, the tag tells rows with equal keys and different texts apart."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)).alias("doc"), F.hash(body).alias("tag"), body.alias("text"))
+    return docs.select(F.coalesce(F.col(key).cast("long"), F.lit(NULL_DOC)).alias("doc"), F.xxhash64(body).alias("tag"), body.alias("text"))
 
 
 def _sampled(docs: DataFrame, units: Units, window: int, gram: int, most: int, keys_only: bool = False) -> DataFrame:
@@ -136,7 +158,7 @@ def _sampled(docs: DataFrame, units: Units, window: int, gram: int, most: int, k
 def _next_level(docs: DataFrame, open_spans: DataFrame, units: Units, window: int, block: int, most: int) -> DataFrame:
     """The open spans cut into blocks of `block` windows by their offset from the sample (1: windows)."""
     asked = written(open_spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "key")).alias("asked")))
-    wanted = docs.join(guarded(asked), ["doc", "tag"]).select("doc", "tag", "text", "asked")
+    wanted = docs.join(guarded(asked, "asked"), ["doc", "tag"]).select("doc", "tag", "text", "asked")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 2, most)):
@@ -191,14 +213,17 @@ def _covered(again: DataFrame, window: int) -> DataFrame:
 def repeated_ranges(docs: DataFrame, units: Units, window: int, gram: int, within: bool, most: int = 2 << 20) -> DataFrame:
     """doc, tag, ranges: the units that windows cover which occur earlier, as (start, end) in no particular order.
 
-    docs has doc, tag and text, see tagged().
+    docs has doc, tag and text, see tagged(). Windows may have up to 1023 units more than grams, so that counts and
+    offsets of the wide ones fit into a packed place.
     """
+    if not 0 < gram <= window or WIDER * (window - gram) >= 4095:
+        raise ValueError("a window must have at least as many units as a gram, and at most 1022 more")
     wide = written(_sampled(docs, units, WIDER * window, WIDER * gram, most))
     again, _, firsts = _decide(wide, _live(wide), within)
     dropped(firsts)
     covered = _covered(again, WIDER * window)
     known = written(covered.groupBy("doc", "tag").agg(F.collect_list("range").alias("ranges")))
-    rest = docs.join(guarded(known), ["doc", "tag"], "left").select("doc", "tag", "text", "ranges")
+    rest = docs.join(guarded(known, "ranges"), ["doc", "tag"], "left").select("doc", "tag", "text", "ranges")
     live = _live(_sampled(rest, units, window, gram, most, keys_only=True))
     rows = _sampled(rest, units, window, gram, most)
     for block in (BLOCK, 1, 0):

@@ -82,11 +82,13 @@ def secret_spans(docs: DataFrame, keep: list[str], text: str = "text", reach: in
     """The columns `keep` of `docs`, with base_spans and secret_spans (base ones and linked weak ones, in order).
 
     Null texts count as empty and empty texts have no spans; rows are independent, so ties, repeated rows and null keys
-    need nothing. Weak parts are linked once for each distinct text, by its digest, so a group of copies costs one.
+    need nothing. Kept columns may have any names but base_spans and secret_spans, which are replaced. Weak parts are linked once for each distinct text, by its digest, so a group of copies costs one.
     """
     body = text_or_empty(text)
     base = F.array_sort(F.concat(*[spans(k, body) for k in KINDS[:3]]))
-    found = docs.select(*[F.col(c) for c in keep], base.alias("base_spans"), body.alias("__text"))
+    keep = [c for c in keep if c not in ("base_spans", "secret_spans")]
+    own = F.struct(F.lit(0).alias("__row"), *[F.col(c) for c in keep]).alias("__kept")  # away from the names used below
+    found = docs.select(own, base.alias("base_spans"), body.alias("__text"))
     sure = F.size(F.filter("base_spans", lambda s: s["kind"] < KINDS.index("hex"))) > 0
     weak = F.when(sure, F.concat(*[spans(k, F.col("__text")) for k in KINDS[3:]])).otherwise(F.array().cast(SPAN))
     found = found.withColumn("__weak", weak).withColumn("__key", F.when(F.size("__weak") > 0, F.sha2("__text", 256))).drop("__text")
@@ -96,7 +98,8 @@ def secret_spans(docs: DataFrame, keep: list[str], text: str = "text", reach: in
     some = some.join(linked(parts, reach).withColumnRenamed("key", "__key"), "__key", "left")
     some = some.withColumn("secret_spans", F.array_sort(F.concat("base_spans", F.coalesce("links", F.array().cast(SPAN)))))
     none = found.where("__key is null").withColumn("secret_spans", F.col("base_spans"))
-    return some.select(*keep, "base_spans", "secret_spans").unionByName(none.select(*keep, "base_spans", "secret_spans"))
+    out = some.select("__kept", "base_spans", "secret_spans").unionByName(none.select("__kept", "base_spans", "secret_spans"))
+    return out.select(*[F.col("__kept")[c].alias(c) for c in keep], "base_spans", "secret_spans")
 
 
 def listed(column: str) -> Column:
@@ -118,6 +121,7 @@ def redact(text: Column, found: Column) -> Column:
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every document; nulls, ties and empty tables as secret_spans() says."""
     found = secret_spans(documents(spark, sf_dir, "doc_id", "text"), ["doc_id"])
     count = lambda k: F.size(F.filter("base_spans", lambda s: s["kind"] == KINDS.index(k))).cast("long").alias(f"n_{k}")
     return found.select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed("base_spans"), 256).alias("base_sha256"), listed("secret_spans").alias("spans"))

@@ -59,6 +59,7 @@ def without_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every document; nulls, ties and empty tables as without_repeated_words() says."""
     return without_repeated_words(documents(spark, sf_dir, "doc_id", "text")).drop("kept")
 
 

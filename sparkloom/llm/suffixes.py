@@ -56,4 +56,5 @@ def without_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "te
 
 
 def op3_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every document; nulls, ties and empty tables as without_repeated_bytes() says."""
     return without_repeated_bytes(documents(spark, sf_dir, "doc_id", "text")).drop("kept")

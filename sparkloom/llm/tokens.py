@@ -7,6 +7,7 @@ for each 512 bits. Token i is read by following ranks from level to level, witho
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,12 +23,14 @@ from .common import documents, ragged_take, scratch_dir, slices, string_buffers,
 RANK_EVERY = 512
 #: A segment takes whole documents until it has so many tokens.
 SEGMENT_TOKENS = 1 << 18
-#: Distinct chunks that a worker keeps, the first that it meets, so mostly frequent ones; others are encoded once a batch.
-MEMO = 400_000
+#: Bytes of distinct chunks and their ids that a worker keeps, of those that it meets first, so mostly frequent ones;
+#: others are encoded once a batch.
+MEMO_BYTES, ENTRY_BYTES = 96 << 20, 200
 _MEMOS: dict[str, dict[str, bytes]] = {}
+_HELD: dict[str, list[int]] = {}
 LEVEL = pa.struct([("codes", pa.binary()), ("more", pa.binary()), ("ranks", pa.binary())])
-SEGMENT = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("levels", pa.list_(LEVEL))])
-SEGMENT_DDL = "part int, segment int, n_tokens long, doc_ids array<bigint>, ends array<bigint>, levels array<struct<codes:binary,more:binary,ranks:binary>>"
+SEGMENT = pa.schema([("part", pa.int32()), ("segment", pa.int32()), ("n_tokens", pa.int64()), ("first_id", pa.int64()), ("last_id", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("ends", pa.list_(pa.int64())), ("levels", pa.list_(LEVEL))])
+SEGMENT_DDL = "part int, segment int, n_tokens long, first_id long, last_id long, doc_ids array<bigint>, ends array<bigint>, levels array<struct<codes:binary,more:binary,ranks:binary>>"
 
 
 class Codes:
@@ -117,8 +120,10 @@ class ByteEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.memo = _MEMOS.setdefault(path, {})
+        # special tokens in a text are found as the library finds them; chunks are cut at white space, so none is cut
+        if any(re.search(r"\s", t.content) for t in self.tokenizer.get_added_tokens_decoder().values()):
+            raise ValueError("an added token has white space, at which texts are cut into chunks")
+        self.memo, self.held = _MEMOS.setdefault(path, {}), _HELD.setdefault(path, [0])
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the batch, and the number of ids of each text."""
@@ -130,9 +135,12 @@ class ByteEncoder:
         missing = [i for i, x in enumerate(parts) if x is None]
         for i, e in zip(missing, self.tokenizer.encode_batch_fast([texts[i] for i in missing], add_special_tokens=False), strict=True):
             parts[i] = array("I", e.ids).tobytes()
-        room = MEMO - len(self.memo)
-        if room > 0:
-            self.memo.update((texts[i], parts[i]) for i in missing[:room])
+        for i in missing:
+            size = ENTRY_BYTES + 4 * len(texts[i]) + len(parts[i])
+            if self.held[0] + size > MEMO_BYTES:
+                break
+            self.memo[texts[i]] = parts[i]
+            self.held[0] += size
         flat = np.frombuffer(b"".join(parts), np.uint32)
         lengths = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
         begins = np.cumsum(lengths) - lengths
@@ -168,8 +176,8 @@ def encode_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int = 2, k
 
         def segment() -> pa.RecordBatch:
             nonlocal number, held
-            tokens = np.concatenate(ids)
-            row = {"part": part, "segment": number, "n_tokens": len(tokens), "doc_ids": list(keys), "ends": np.cumsum(np.concatenate(counts)), "levels": Codes.encode(tokens).stored()}
+            tokens, known = np.concatenate(ids), [k for k in keys if k is not None]
+            row = {"part": part, "segment": number, "n_tokens": len(tokens), "first_id": min(known, default=None), "last_id": max(known, default=None), "doc_ids": list(keys), "ends": np.cumsum(np.concatenate(counts)), "levels": Codes.encode(tokens).stored()}
             number, held = number + 1, 0
             keys.clear(), counts.clear(), ids.clear()
             return pa.RecordBatch.from_pylist([row], SEGMENT)
@@ -222,8 +230,10 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
 
 
 def token_at(spark: SparkSession, path: str, doc_id: int, position: int) -> int | None:
-    """One token of one document by random access; None outside of it."""
-    found = spark.read.schema(SEGMENT_DDL).parquet(path).where(F.array_contains("doc_ids", F.lit(doc_id))).select("doc_ids", "ends", "levels").first()
+    """One token of one document by random access; None outside of it. Segments that can't hold the document are passed
+    over by the statistics of their first and last key."""
+    held = (F.col("first_id") <= doc_id) & (F.col("last_id") >= doc_id) & F.array_contains("doc_ids", F.lit(doc_id))
+    found = spark.read.schema(SEGMENT_DDL).parquet(path).where(held).select("doc_ids", "ends", "levels").first()
     if found is None:
         return None
     k = found["doc_ids"].index(doc_id)
@@ -232,6 +242,7 @@ def token_at(spark: SparkSession, path: str, doc_id: int, position: int) -> int
 
 
 def op1_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns from the written codes of `documents`; nulls, ties and empty tables as encode_tokens() says."""
     import public_tokenizers
 
     path = scratch_dir(spark)

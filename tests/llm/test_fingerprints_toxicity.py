@@ -3,6 +3,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sparkloom.llm import fingerprints as fp
 from sparkloom.llm import toxicity
@@ -10,6 +11,14 @@ from sparkloom.llm import toxicity
 from .helpers import documents_dir, rows, table
 
 
+def like(a, b):
+    if a == b:
+        return 1.0
+    if 0 in (int(a, 16), int(b, 16)):
+        return 0.0
+    return max(0.0, float(np.cos(np.pi * bin(int(a, 16) ^ int(b, 16)).count("1") / fp.BITS)))
+
+
 def test_op8_against_brute_force(spark, tmp_path):
     data = [r for r in rows() if r[0] is not None][:-1]
     folder = documents_dir(table(spark, data), tmp_path)
@@ -25,6 +34,12 @@ def test_op8_against_brute_force(spark, tmp_path):
         assert (x["n_chars"], x["edited_sha256"]) == (len(text), hashlib.sha256(edited.encode()).hexdigest())
         assert (x["fingerprint"], x["edited_fingerprint"]) == (one(text), one(edited))
         assert 0 <= x["near_edited"] <= 1 and (x["near_next"] == 1) == (one(text) == one(nxt))
+    values = {x["fingerprint"] for x in got.values()}
+    far = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    for key, x in got.items():
+        near = sum(0 < far(x["fingerprint"], v) <= fp.RADIUS for v in values)
+        assert x["near_found"] == (near if key % 20 == 0 else None)
+        assert x["near_edited"] == pytest.approx(like(x["fingerprint"], x["edited_fingerprint"]))
     assert fp.edit_likeness(table(spark, [])).count() == 0
     assert fp.edit_likeness(table(spark)).count() == len(rows())
     assert fp.edit_likeness(table(spark, rows()[:1])).first()["near_next"] == 1.0

@@ -124,6 +124,62 @@ def test_bounds_in_whole_percents(percent):
             assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.3, 0.4, 0.855])
+def test_low_and_uneven_thresholds_share_a_fragment(threshold):
+    rng = np.random.default_rng(7)
+    num, den = jaccard.ratio(threshold)
+    for size in range(3, 90, 4):
+        for _ in range(6):
+            a = [f"x{i}" for i in range(size)]
+            b = [x if rng.random() < 0.5 + threshold / 2 else f"y{i}" for i, x in enumerate(a)] + [f"z{i}" for i in range(int(rng.integers(0, 1 + size // 2)))]
+            grams, upto = jaccard.gram_sets(pa.array([" ".join(a), " ".join(b)]), 1)
+            x, y = set(grams[: upto[1]].tolist()), set(grams[upto[1] :].tolist())
+            if x != y and den * len(x & y) >= num * len(x | y):
+                who, keys, _, _ = jaccard.fragment_keys(grams, upto, threshold)
+                assert set(keys[who == 0].tolist()) & set(keys[who == 1].tolist())
+
+
+def test_thresholds_are_checked():
+    for bad in (0, -0.1, 1.01):
+        with pytest.raises(ValueError):
+            jaccard.ratio(bad)
+    assert jaccard.ratio(0.85) == (17, 20) and jaccard.ratio(0.855) == (171, 200) and jaccard.ratio(1.0) == (1, 1)
+
+
+def test_large_sets_without_enough_fragments(spark, monkeypatch):
+    grams, upto = jaccard.gram_sets(pa.array([" ".join(f"v{i}" for i in range(400))]), 4)
+    assert jaccard.lacking_levels(grams, upto, 0.85).tolist() == [0]
+    crowded = np.arange(200, dtype=np.uint64)  # all in one fragment of any low level
+    assert jaccard.lacking_levels(crowded, np.array([0, 200]), 0.85)[0] > 40
+
+    def all_lack(grams, upto, threshold):
+        sizes = np.diff(upto).astype(np.int64)
+        return np.where(sizes > 0, jaccard.level_of(sizes, *jaccard.ratio(threshold)) + 1, 0)
+
+    words = [f"w{i}" for i in range(60)]
+    data = [(i, " ".join(words[: 55 + i]), "en", "s", 1, 1, "") for i in range(4)]
+    sets = jaccard._sets(table(spark, data), "doc_id", "text", 4, 0.85)
+    assert jaccard._lacking(table(spark, data), sets, "text", 4) is None
+    monkeypatch.setattr(jaccard, "lacking_levels", all_lack)
+    short = jaccard._sets(table(spark, data), "doc_id", "text", 4, 0.85)
+    shared = jaccard._lacking(table(spark, data), short, "text", 4)
+    assert shared.groupBy("key").count().where("count > 1").count() > 0
+
+
+def test_a_large_group_just_below_the_threshold(spark):
+    rng = np.random.default_rng(11)
+    base = [f"b{i}" for i in range(120)]
+    data = []
+    for i in range(300):
+        text = list(base)
+        for _ in range(int(rng.integers(2, 5))):
+            at = int(rng.integers(0, len(text)))
+            text[at : at + 1] = [] if rng.random() < 0.4 else [f"n{int(rng.integers(0, 40))}"]
+        data.append((i, " ".join(text), "en", "s", 1, 1, ""))
+    got = sorted(map(tuple, jaccard.jaccard_components(table(spark, data), n=4, threshold=0.85).select("doc_id", "n_shingles", "component_id").collect()), key=str)
+    assert got == brute(data)
+
+
 def test_pairs_are_compared_without_new_pivot_pairs(spark, monkeypatch):
     pivot_pairs = jaccard._pivot_pairs
     monkeypatch.setattr(jaccard, "_pivot_pairs", lambda rows: pivot_pairs(rows).limit(0))

@@ -57,6 +57,8 @@ def test_op5_round_trip(spark, tmp_path):
     for r in got:
         by_text.setdefault(r["payload_sha256"], set()).add((r["media_bytes"], r["media_sha256"], r["feature"]))
     assert all(len(v) == 1 for v in by_text.values())
+    again = {hashlib.sha256(r["rgb"]).hexdigest(): (r["height"], r["width"]) for r in media.decoded_media(media.with_media(table(spark, data))).select("height", "width", "rgb").collect()}
+    assert all(again[r["rgb_sha256"]] == (r["height"], r["width"]) and r["rgb_bytes"] == r["height"] * r["width"] * 3 for r in got)
     full = media.decoded_media(media.with_media(table(spark, data))).select("height", "width", "rgb").first()
     assert len(full["rgb"]) == full["height"] * full["width"] * 3
     assert media.decoded_media(media.with_media(table(spark, []))).count() == 0

@@ -92,3 +92,15 @@ def test_nulls_repeated_keys_and_empty_tables(spark):
     assert substrings.without_repeated_words(table(spark, data)).count() == len(data)
     assert suffixes.without_repeated_bytes(table(spark, [])).count() == 0
     assert substrings.without_repeated_words(table(spark, [])).count() == 0
+
+
+def test_regular_words_have_different_hashes():
+    word = [0]
+    for _ in range(10):
+        word += [1 - x for x in word]  # a word and its complement collide modulo any power of two
+    values = np.array([np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)])
+    both = np.concatenate([values[word], values[[1 - x for x in word]]])
+    a, b = repeats.Ranges(both)(np.array([0, len(word)]), len(word))
+    assert a != b
+    with pytest.raises(ValueError):
+        repeats.repeated_ranges(None, None, 2000, 10, True)

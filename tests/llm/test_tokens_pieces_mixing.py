@@ -28,7 +28,6 @@ def test_op1_matches_the_library(spark, tmp_path):
     data = rows()[:-2]
     folder = documents_dir(table(spark, data), tmp_path)
     tok = Tokenizer.from_file(BPE)
-    tok.encode_special_tokens = True
     start, want = 0, {}
     for key, text, *_ in sorted(data, key=lambda r: r[0]):
         ids = [*tok.encode(text or "", add_special_tokens=False).ids, 2]
@@ -121,3 +120,19 @@ def test_op9_targets_and_copies(spark, tmp_path, case):
     mixed = mixing.mix_sources(table(spark, data))
     assert mixed.columns == table(spark, data).columns
     assert mixed.count() == sum(r["taken"] // r["size"] for r in got if r["size"])
+
+
+def test_rows_without_keys_toss_their_own_coins(spark):
+    data = [(None, f"w{i} x", "en", "a", 1, 1, "") for i in range(400)] + [(i, "y " * 20, "en", "b", 1, 1, "") for i in range(40)]
+    rows_ = mixing.with_copies(table(spark, data)).where("doc_id IS NULL").collect()
+    rate = rows_[0]["__target"] / rows_[0]["__source_size"]
+    assert 0.05 < rate % 1 < 0.95 and abs(sum(r["__copies"] for r in rows_) / 400 - rate) < 0.12
+
+
+def test_special_tokens_in_texts(spark, tmp_path):
+    texts = ["a  <|endoftext|>b c", "x <|endoftext|> y<|endoftext|>", " <|endoftext|>", "w " * 50 + "<|endoftext|>  \n z"]
+    tok = Tokenizer.from_file(BPE)
+    path = str(tmp_path / "codes")
+    tokens.encode_tokens(table(spark, [(i, t, "", "", 1, 1, "") for i, t in enumerate(texts)]), path, BPE)
+    back = {r["doc_id"]: r["ids"] for r in tokens.read_tokens(spark, path).collect()}
+    assert all(back[i] == [*tok.encode(t, add_special_tokens=False).ids, 2] for i, t in enumerate(texts))
