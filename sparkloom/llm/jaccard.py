@@ -34,7 +34,7 @@ SMALL = 160
 #: One fragment in so many is looked at first.
 SAMPLE = 16
 #: Set digests that a task keeps so as not to send the fragments of copies again.
-SEEN = 500_000
+SEEN = 250_000
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
@@ -76,7 +76,7 @@ def gram_sets(column: pa.Array, n: int) -> tuple[np.ndarray, np.ndarray]:
 
 def small_slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
     most = 1 << (64 - HASH_BITS)
-    for batch in (x for b in batches for x in slices(b, column)):
+    for batch in (x for b in batches for x in slices(b, column, 2 << 20)):
         for begin in range(0, batch.num_rows, most):
             yield batch.slice(begin, most)
 
