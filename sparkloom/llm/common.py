@@ -36,15 +36,16 @@ def scratch_dir(spark: SparkSession) -> str:
     return f"{base_dir(spark)}/sparkloom-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, spark: SparkSession | None = None, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, spark: SparkSession | None = None, **options: str) -> DataFrame:
     """Cut the lineage: write a Parquet table in the shared folder and read it back (survives lost executors).
 
     What has been shuffled for it is needed no more. Spark deletes shuffle files when the driver's garbage collector
     finds them unused, which it otherwise looks for every half hour; asking for it here keeps disks from filling up.
+    Options go to the writer.
     """
     spark = spark or df.sparkSession
     path = scratch_dir(spark)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(**options).parquet(path)
     spark._jvm.System.gc()
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
