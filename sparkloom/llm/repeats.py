@@ -35,6 +35,7 @@ INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 NULL_DOC = (1 << 63) - 1
 #: A span's place: first window, number of windows and offset of the sample, packed so that places sort by the first.
 SPANS = "key long, id long, doc long, tag long, place long"
+NODE_SPANS = f"{SPANS}, left long, right long"
 #: How much wider the first level's windows and samples are.
 WIDER = 4
 #: Of a slice: 64-bit values of the units, and where each text's units begin (one more at the end).
@@ -110,19 +111,19 @@ def sampled_spans(values: np.ndarray, upto: np.ndarray, window: int, gram: int,
     return doc, lo, count, sample[lo] - lo, hashes[sample[lo]], ranges(lo, count + window - 1)
 
 
-def _rows(batch: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, ids: np.ndarray, lo: np.ndarray, n: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
+def span_rows(batch: pa.RecordBatch, doc: np.ndarray, key: np.ndarray, ids: np.ndarray, lo: np.ndarray, n: np.ndarray, at: np.ndarray, **more: np.ndarray) -> pa.RecordBatch:
+    """Spans as rows of SPANS, and further columns of 64 bits."""
     docs, tags = (batch.column(i).to_numpy(zero_copy_only=False)[doc] for i in (0, 1))
     place = lo.astype(np.int64) << 24 | n.astype(np.int64) << 12 | at.astype(np.int64)
-    columns = [key.view(np.int64), ids.view(np.int64), docs, tags, place]
-    kinds = [pa.int64()] * 5
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["key", "id", "doc", "tag", "place"])
+    columns = {"key": key, "id": ids, "doc": docs, "tag": tags, "place": place} | more
+    return pa.RecordBatch.from_arrays([pa.array(c.view(np.int64), pa.int64()) for c in columns.values()], names=list(columns))
 
 
-def _first_window() -> Column:
+def first_window() -> Column:
     return F.shiftright("place", 24).cast("int")
 
 
-def _windows() -> Column:
+def window_count() -> Column:
     return F.shiftright("place", 12).bitwiseAND(F.lit(4095)).cast("int")
 
 
@@ -150,13 +151,16 @@ def _sampled(docs: DataFrame, units: Units, window: int, gram: int, most: int, k
             if keys_only:
                 yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64))], names=["key"])
             else:
-                yield _rows(batch, doc, key, ids, lo - upto[doc], n, at)
+                yield span_rows(batch, doc, key, ids, lo - upto[doc], n, at)
 
     return docs.mapInArrow(rows, "key long" if keys_only else SPANS)
 
 
-def _next_level(docs: DataFrame, open_spans: DataFrame, units: Units, window: int, block: int, most: int) -> DataFrame:
-    """The open spans cut into blocks of `block` windows by their offset from the sample (1: windows)."""
+def next_level(docs: DataFrame, open_spans: DataFrame, units: Units, window: int, block: int, most: int, nodes: bool = False) -> DataFrame:
+    """The open spans cut into blocks of `block` windows by their offset from the sample (1: windows).
+
+    nodes: with `left` and `right`, the hashes of the first and the last window - 1 units.
+    """
     asked = written(open_spans.groupBy("doc", "tag").agg(F.collect_list(F.struct("place", "key")).alias("asked")))
     wanted = docs.join(guarded(asked, "asked"), ["doc", "tag"]).select("doc", "tag", "text", "asked")
 
@@ -176,11 +180,13 @@ def _next_level(docs: DataFrame, open_spans: DataFrame, units: Units, window: in
             place = (lo + at)[which]
             begin = np.maximum(place - block * j - block + 1, lo[which]).astype(np.int64)
             end = np.minimum(place - block * j, (lo + n - 1)[which]).astype(np.int64)
-            ids = ranges(begin + upto[doc[which]], end - begin + window)
+            base = begin + upto[doc[which]]
+            ids = ranges(base, end - begin + window)
+            ends = {"left": ranges(base, window - 1), "right": ranges(base + end - begin + 1, window - 1)} if nodes else {}
             keys = ids if block == 1 else mix64(key[which].view(np.uint64) + j.astype(np.uint64) * np.uint64(0xBF58476D1CE4E5B9))
-            yield _rows(batch, doc[which], keys, ids, begin, end - begin + 1, place - begin)
+            yield span_rows(batch, doc[which], keys, ids, begin, end - begin + 1, place - begin, **ends)
 
-    found = written(wanted.mapInArrow(rows, SPANS))
+    found = written(wanted.mapInArrow(rows, NODE_SPANS if nodes else SPANS))
     dropped(asked)
     return found
 
@@ -207,7 +213,12 @@ def _decide(rows: DataFrame, live: DataFrame, within: bool) -> tuple[DataFrame,
 
 
 def _covered(again: DataFrame, window: int) -> DataFrame:
-    return again.select("doc", "tag", F.struct(_first_window().alias("start"), (_first_window() + _windows() + F.lit(window - 1)).alias("end")).alias("range"))
+    return again.select("doc", "tag", F.struct(first_window().alias("start"), (first_window() + window_count() + F.lit(window - 1)).alias("end")).alias("range"))
+
+
+def checked(window: int, gram: int) -> None:
+    if not 0 < gram <= window or WIDER * (window - gram) >= 4095:
+        raise ValueError("a window must have at least as many units as a gram, and at most 1022 more")
 
 
 def repeated_ranges(docs: DataFrame, units: Units, window: int, gram: int, within: bool, most: int = 2 << 20) -> DataFrame:
@@ -216,8 +227,7 @@ def repeated_ranges(docs: DataFrame, units: Units, window: int, gram: int, withi
     docs has doc, tag and text, see tagged(). Windows may have up to 1023 units more than grams, so that counts and
     offsets of the wide ones fit into a packed place.
     """
-    if not 0 < gram <= window or WIDER * (window - gram) >= 4095:
-        raise ValueError("a window must have at least as many units as a gram, and at most 1022 more")
+    checked(window, gram)
     wide = written(_sampled(docs, units, WIDER * window, WIDER * gram, most))
     again, _, firsts = _decide(wide, _live(wide), within)
     dropped(firsts)
@@ -230,7 +240,7 @@ def repeated_ranges(docs: DataFrame, units: Units, window: int, gram: int, withi
         again, still, firsts = _decide(rows, live, within)
         covered = covered.unionByName(_covered(again, window))
         if block:
-            rows = _next_level(docs, still, units, window, block, most)
+            rows = next_level(docs, still, units, window, block, most)
             live = _live(rows)
         dropped(firsts)
     return covered.groupBy("doc", "tag").agg(F.collect_list("range").alias("ranges"))

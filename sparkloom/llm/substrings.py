@@ -1,8 +1,7 @@
-"""Removing word passages that an earlier document has, by minimiser spans that are grouped by hash.
+"""Removing word passages that an earlier document has, by compaction of a de Bruijn graph of word k-mers.
 
-Runs of windows of 50 words that share a smallest word gram are spans; spans that are equal throughout are one with the
-places of its sources, and only where spans of one gram differ are they taken apart. The first source of a window keeps
-its words. No k-mer edges are joined into paths; see repeats.py.
+Windows of 50 words are the edges; repeated paths without branches are compacted by joins, and the words at the
+coordinates of each source verify them; see debruijn.py. The first source of a passage keeps its words.
 """
 
 from __future__ import annotations
@@ -15,7 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, ragged_take, slices, string_buffers, word_bounds, word_hashes
-from .repeats import cover, doc_id, repeated_ranges, tagged, with_ranges
+from .debruijn import repeated_passages
+from .repeats import cover, doc_id, tagged, with_ranges
 
 WINDOW, GRAM = 50, 16
 
@@ -26,6 +26,17 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return word_hashes(data, starts, ends), upto
 
 
+def spaced_words(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The words of all texts with one space after each, where each word begins and the first word of each text."""
+    data, offs = string_buffers(column)
+    starts, ends, upto = word_bounds(data, offs)
+    lengths = ends - starts + 1  # each word and the byte after it, which becomes a space
+    raw = np.array(ragged_take(np.append(data, np.uint8(32)), starts, lengths))
+    begins = np.concatenate([[0], np.cumsum(lengths)])
+    raw[begins[1:] - 1] = 32
+    return raw, begins, upto
+
+
 def without_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int = WINDOW, gram: int = GRAM) -> DataFrame:
     """doc_id, n_words, n_removed, kept (the remaining words joined by one space) and kept_sha256 of each row.
 
@@ -34,7 +45,7 @@ def without_repeated_words(docs: DataFrame, key: str = "doc_id", text: str = "te
     other, and repeats inside one document stay. Other columns are ignored.
     """
     rows = tagged(docs, key, text)
-    ranges = repeated_ranges(rows, words_of, window, gram, within=False)
+    ranges = repeated_passages(rows, words_of, spaced_words, window, gram)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 2)):
@@ -63,7 +74,6 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeated_words(documents(spark, sf_dir, "doc_id", "text")).drop("kept")
 
 
-
 OP2_SQL = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents),
 k AS (SELECT doc_id, i, md5(array_to_string(words[i:i + 49], ' ')) AS h FROM (SELECT doc_id, words, unnest(range(1, len(words) - 48)) AS i FROM d)),
