@@ -11,7 +11,8 @@ that occur once leave the graph at once, with all their edges.
 2. Runs are joined with the nodes that they leave from; in each document, those from one junction to the next are a path.
    As ends of documents are junctions, every source of a path holds the whole of it, and its first run names it.
 3. Each source's coordinates fetch its words, whose BLAKE2b digest (128 bits) has to agree: sources of one path with one
-   digest are the same passage, and all but those in the smallest document are repeats.
+   digest are the same passage, and all but those in the smallest document are repeats. Two k-mers with one hash of 64
+   bits can so leave a repeat in place, but never remove what doesn't repeat.
 4. What is no repeat and has a sample with several kinds of runs is cut into shorter runs, at last into single edges, and
    goes through the same steps again.
 

@@ -2,9 +2,10 @@ import hashlib
 import re
 
 import numpy as np
+import pyarrow.compute as pc
 import pytest
 
-from sparkloom.llm import repeats, substrings, suffixes
+from sparkloom.llm import debruijn, repeats, substrings, suffixes
 
 from .helpers import documents_dir, rows, table
 
@@ -74,6 +75,29 @@ def test_op2_and_op3_against_brute_force(spark, tmp_path, seed):
     assert got == brute_bytes(data)
 
 
+def test_paths_between_junctions_and_coordinates_that_disagree(spark):
+    passage = [f"w{i}" for i in range(200)]
+    shared = " ".join(passage)
+    one = " ".join([*passage[:60], "left", *passage[60:]])
+    data = [(1, "a b c " + one), (2, one.replace("left", "right")), (3, one), (4, "x " + shared), (5, shared + " y z")]
+    docs = repeats.tagged(spark.createDataFrame(data, "doc_id long, text string"))
+
+    def collide(column):  # two words with one hash: their runs are one path, their words are not
+        return substrings.words_of(pc.replace_substring(column, "right", "left"))
+
+    args = docs, collide, 50, 16, 1 << 20
+    samples = debruijn._samples(debruijn._runs(*args, names_only=True))
+    again, _, _ = debruijn.compacted(docs, debruijn._runs(*args, names_only=False), samples, substrings.spaced_words, 50, 1 << 20)
+    spans = [(r["doc"], r["start"] >> 24, r["stop"]) for r in again.orderBy("doc", "start").collect()]
+    assert {d for d, _, _ in spans} == {2, 3, 4, 5}
+    assert max(spans.count(s) for s in spans) == 1 and len(spans) <= 24  # a few paths, not 500 edges
+    ranges = debruijn.repeated_passages(docs, collide, substrings.spaced_words, 50, 16)
+    got = {r["doc"]: {i for a in r["ranges"] for i in range(a["start"], a["end"])} for r in ranges.collect()}
+    assert got[3] == set(range(201))
+    assert got[4] == set(range(1, 201)) and got[5] == set(range(200))
+    assert 60 not in got[2]
+
+
 def test_every_window_is_in_one_span_and_equal_windows_share_samples():
     rng = np.random.default_rng(0)
     a = rng.integers(0, 4, 500).astype(np.uint64)
