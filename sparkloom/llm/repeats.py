@@ -6,8 +6,9 @@ a span. Equal windows have equal samples at equal offsets, so everything else is
 
 1. spans that are equal throughout are equal window by window: all but the first are repeats,
 2. a sample with a single kind of span needs nothing more,
-3. the first span of each kind of any other sample is cut into blocks of windows by their offset from the sample, and
-   these, where they still differ, into windows; the same two steps decide among them.
+3. the first span of each kind of any other sample goes to a function of the caller's that sorts whole samples (see
+   induction.py). Samples of more kinds than a task should hold are cut into blocks of windows by their offset from the
+   sample, and these, where they still differ, into windows; the same two steps decide among them.
 
 Long repeats are found first, with windows four times as wide and so a quarter of the spans: what they cover can't hold a
 first occurrence, so its windows are left out afterwards. Every level is a few joins and sums by key over rows that are
@@ -29,6 +30,8 @@ from .common import dropped, mix64, slices, written
 BROADCAST_BYTES = 256 << 20
 #: Windows of a block, on the second level.
 BLOCK = 8
+#: Kinds of spans of one sample that a task sorts; samples with more are split by content.
+KINDS = 1 << 16
 BASE = np.uint64(0x9E6C63D0876A9A4F | 1)
 PRIME, SMALL_BASE = np.uint64((1 << 31) - 1), 0x2F3A9C51
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
@@ -40,6 +43,8 @@ NODE_SPANS = f"{SPANS}, left long, right long"
 WIDER = 4
 #: Of a slice: 64-bit values of the units, and where each text's units begin (one more at the end).
 Units = Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]
+#: Of documents, spans of whole samples, window, within and most: doc, tag and range of what repeats.
+Sorted = Callable[[DataFrame, DataFrame, int, bool, int], DataFrame]
 
 
 class Ranges:
@@ -196,8 +201,8 @@ def _live(keys: DataFrame) -> DataFrame:
 
 
 def _decide(rows: DataFrame, live: DataFrame, within: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The rows that repeat an earlier one of their kind, and those that are the first of one of several kinds, which
-    need the third table until they have been read.
+    """The rows that repeat an earlier one of their kind, and those that are the first of one of several kinds (with
+    their number, kinds), which need the third table until they have been read.
 
     within: an earlier place in the same document counts; else only a smaller document does.
     """
@@ -206,10 +211,10 @@ def _decide(rows: DataFrame, live: DataFrame, within: bool) -> tuple[DataFrame,
     rows = alive
     place = F.struct("doc", "place") if within else F.col("doc")
     firsts = written(rows.groupBy("key", "id").agg(F.min(place).alias("first")))
-    several = firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1").select("key", F.lit(True).alias("several"))
+    several = firsts.groupBy("key").agg(F.count("*").alias("kinds")).where("kinds > 1")
     known = written(rows.join(firsts, ["key", "id"]).select("key", "doc", "tag", "place", (place > F.col("first")).alias("again")))
     dropped(rows)
-    return known.where("again"), known.where("NOT again").join(several, "key", "left_semi"), firsts
+    return known.where("again"), known.where("NOT again").join(several, "key"), firsts
 
 
 def _covered(again: DataFrame, window: int) -> DataFrame:
@@ -221,11 +226,11 @@ def checked(window: int, gram: int) -> None:
         raise ValueError("a window must have at least as many units as a gram, and at most 1022 more")
 
 
-def repeated_ranges(docs: DataFrame, units: Units, window: int, gram: int, within: bool, most: int = 2 << 20) -> DataFrame:
+def repeated_ranges(docs: DataFrame, units: Units, window: int, gram: int, within: bool, most: int = 2 << 20, by_sorting: Sorted | None = None, kinds: int = KINDS) -> DataFrame:
     """doc, tag, ranges: the units that windows cover which occur earlier, as (start, end) in no particular order.
 
     docs has doc, tag and text, see tagged(). Windows may have up to 1023 units more than grams, so that counts and
-    offsets of the wide ones fit into a packed place.
+    offsets of the wide ones fit into a packed place. by_sorting decides samples of up to `kinds` kinds of spans.
     """
     checked(window, gram)
     wide = written(_sampled(docs, units, WIDER * window, WIDER * gram, most))
@@ -235,13 +240,19 @@ def repeated_ranges(docs: DataFrame, units: Units, window: int, gram: int, withi
     known = written(covered.groupBy("doc", "tag").agg(F.collect_list("range").alias("ranges")))
     rest = docs.join(guarded(known, "ranges"), ["doc", "tag"], "left").select("doc", "tag", "text", "ranges")
     live = _live(_sampled(rest, units, window, gram, most, keys_only=True))
-    rows = _sampled(rest, units, window, gram, most)
-    for block in (BLOCK, 1, 0):
-        again, still, firsts = _decide(rows, live, within)
+    again, still, firsts = _decide(_sampled(rest, units, window, gram, most), live, within)
+    covered = covered.unionByName(_covered(again, window))
+    still = written(still)
+    dropped(firsts)
+    if by_sorting:
+        covered = covered.unionByName(by_sorting(docs, still.where(F.col("kinds") <= kinds), window, within, most))
+    split = still.where(F.col("kinds") > kinds) if by_sorting else still
+    for block in (BLOCK, 1) if not split.isEmpty() else ():
+        rows = next_level(docs, split, units, window, block, most)
+        again, split, firsts = _decide(rows, _live(rows), within)
         covered = covered.unionByName(_covered(again, window))
-        if block:
-            rows = next_level(docs, still, units, window, block, most)
-            live = _live(rows)
+        if block > 1:
+            split = written(split)
         dropped(firsts)
     return covered.groupBy("doc", "tag").agg(F.collect_list("range").alias("ranges"))
 

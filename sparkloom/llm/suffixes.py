@@ -1,7 +1,9 @@
-"""Removing byte strings that occur earlier, by minimiser spans that are grouped by hash.
+"""Removing byte strings that occur earlier, by induced sorting of sampled suffixes.
 
-Runs of windows of 100 bytes that share a sample (the smallest gram of a window in a fixed random order) are grouped by
-hash, wide ones first, and only where they differ are they taken apart. No suffixes are sorted; see repeats.py.
+Sampled suffixes begin at the smallest gram of a window in a fixed random order, so that equal windows hold equal samples
+at equal offsets. Those whose sample occurs once are left out, equal spans of windows are grouped by hash, wide ones
+first (repeats.py); the suffixes of all others are sorted with their common-prefix values, and the ones between the
+samples are induced from them, byte by byte (induction.py).
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import documents, mix64, slices, string_buffers
+from .induction import induced_ranges
 from .repeats import cover, doc_id, repeated_ranges, tagged, with_ranges
 
 WINDOW, GRAM = 100, 32
@@ -33,7 +36,7 @@ def without_repeated_bytes(docs: DataFrame, key: str = "doc_id", text: str = "te
     equal keys count as one place, so equal starts in them are not earlier. Other columns are ignored.
     """
     rows = tagged(docs, key, text)
-    ranges = repeated_ranges(rows, bytes_of, window, gram, within=True)
+    ranges = repeated_ranges(rows, bytes_of, window, gram, within=True, by_sorting=induced_ranges)
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (x for b in batches for x in slices(b, 2)):
