@@ -29,14 +29,14 @@ def test_common_prefixes():
 @pytest.mark.parametrize("seed", range(6))
 def test_induced_windows_against_brute_force(seed):
     rng = np.random.default_rng(seed)
-    window, kinds = 12, []
-    for place in range(80):
+    window, kinds = 10, []
+    for place in range(160):
         before = rng.integers(0, 2, int(rng.integers(0, 8))).astype(np.uint8).tobytes()
         nearest = int(rng.integers(0, len(before) + 1))
         key = int(rng.integers(0, 4))
         ahead = bytes([9, key, 9]) + rng.integers(0, 2, window - nearest - 3).astype(np.uint8).tobytes()
         kinds.append((key, ahead, before, nearest, place // 2))  # two rows of each place
-    kinds = [kinds[i] for i in rng.permutation(80)]
+    kinds = [kinds[i] for i in rng.permutation(160)]
     kinds.sort(key=lambda k: k[:2])
     common = induction.common_prefixes(np.array([k[0] for k in kinds]), *flat([k[1] for k in kinds]))
     first = np.array([k[4] for k in kinds])
