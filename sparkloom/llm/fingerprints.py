@@ -87,20 +87,22 @@ def near_fingerprints(queries: DataFrame, corpus: DataFrame, radius: int = 3, co
     query, found, distance.
 
     Both sides are reduced to distinct fingerprints first, so copies cost nothing; documents are joined back by
-    fingerprint where they are wanted. Each of the tables permutes two of radius + 2 blocks to the front as its key.
+    fingerprint where they are wanted. Each of the tables permutes two of radius + 2 blocks to the front as its key, of
+    which 64 bits of hash are shuffled: what meets by accident is dropped by its distance.
     """
     edges = np.linspace(0, BITS, radius + 3).astype(int)
     blocks = [(int(a), int(b - a)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-    bits = "".join(f"lpad(bin(cast(conv(substr(f, {i}, 8), 16, 10) as bigint)), 32, '0') || " for i in range(1, BITS // 4, 8))[:-4]
+    bits = "".join(f"lpad(bin(cast(conv(substr(hex(f), {i}, 8), 16, 10) as bigint)), 32, '0') || " for i in range(1, BITS // 4, 8))[:-4]
 
     def tables(df: DataFrame, name: str) -> DataFrame:
-        rows = df.select(F.col(column).alias("f")).where("f is not null").distinct().withColumn("b", F.expr(bits))
-        keys = [F.concat(F.lit(f"{i}:"), *[F.substring("b", a + 1, n) for a, n in pair]) for i, pair in enumerate(combinations(blocks, 2))]
+        rows = df.select(F.unhex(column).alias("f")).where("f is not null").distinct().withColumn("b", F.expr(bits))
+        keys = [F.xxhash64(F.lit(i), *[F.substring("b", a + 1, n) for a, n in pair]) for i, pair in enumerate(combinations(blocks, 2))]
         return rows.select(F.col("f").alias(name), F.explode(F.array(*keys)).alias("key"))
 
-    halves = [f"bit_count(cast(conv(substr(query, {i}, 8), 16, 10) as bigint) ^ cast(conv(substr(found, {i}, 8), 16, 10) as bigint))" for i in range(1, BITS // 4, 8)]
+    halves = [f"bit_count(cast(conv(substr(hex(query), {i}, 8), 16, 10) as bigint) ^ cast(conv(substr(hex(found), {i}, 8), 16, 10) as bigint))" for i in range(1, BITS // 4, 8)]
     pairs = tables(queries, "query").join(tables(corpus, "found"), "key").where("query <> found").withColumn("distance", F.expr(" + ".join(halves)).cast("int"))
-    return pairs.where(F.col("distance") <= radius).select("query", "found", "distance").distinct()
+    found = pairs.where(F.col("distance") <= radius).select("query", "found", "distance").distinct()
+    return found.select(F.lower(F.hex("query")).alias("query"), F.lower(F.hex("found")).alias("found"), "distance")
 
 
 OUT = pa.schema([("kind", pa.string()), ("part", pa.int32()), ("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("text", pa.string())])
