@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, media, mixing, pieces, secrets, substrings, suffixes, tokens, toxicity, trie
+from . import fingerprints, jaccard, media, mixing, pieces, repair, secrets, substrings, suffixes, tokens, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -22,8 +22,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_mixing": mixing.op9_mixing,
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_trie": trie.op11_trie,
+        "op12_repair": repair.op12_repair,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substrings": substrings.OP2_SQL, "op6_jaccard": jaccard.OP6_SQL, "op7_secrets": secrets.OP7_SQL, "op9_mixing": mixing.OP9_SQL, "op11_trie": trie.OP11_SQL}
+    return {"op2_substrings": substrings.OP2_SQL, "op6_jaccard": jaccard.OP6_SQL, "op7_secrets": secrets.OP7_SQL, "op9_mixing": mixing.OP9_SQL, "op11_trie": trie.OP11_SQL, "op12_repair": repair.OP12_SQL}
