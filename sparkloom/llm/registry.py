@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import fingerprints, jaccard, media, mixing, pieces, repair, secrets, substrings, suffixes, tokens, toxicity, trie
+from . import fingerprints, jaccard, media, mixing, neighbours, pieces, repair, secrets, substrings, suffixes, tokens, toxicity, trie
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": toxicity.op10_toxicity,
         "op11_trie": trie.op11_trie,
         "op12_repair": repair.op12_repair,
+        "op13_neighbours": neighbours.op13_neighbours,
     }
 
 
