@@ -7,6 +7,8 @@ same text, which is found by an interval join over bins of `reach` code points.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,18 +29,45 @@ REACH = 240
 SPAN = "array<struct<start:int,kind:int,end:int>>"
 
 
+#: Runs of so many code points, cut by a regular expression in one pass, stand for a text where places in it are looked up.
+RUN = 256
+#: Arrays are summed in blocks of so many elements.
+SUMMED = 1024
+
+
+def named(value: Column, use: Callable[[Column], Column]) -> Column:
+    """`use` of a value that is computed once, however often it occurs."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def running(values: Column, join: Callable[[Column, Column], Column]) -> Column:
+    """Each element of an array of int joined with all before it.
+
+    Appending to an array copies it, so elements are joined in blocks, then the blocks' last ones, and both are put
+    together: for n elements some 500 n copies of a pointer and (n / 1024) ** 2 more.
+    """
+    grown = lambda xs: F.aggregate(xs, F.array().cast("array<int>"), lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) > 0, join(x, F.element_at(acc, -1))).otherwise(x))))
+    last = lambda blocks: grown(F.transform(blocks, lambda b: F.element_at(b, -1)))
+
+    def shifted(x: Column) -> Column:
+        return F.flatten(F.transform(x["blocks"], lambda b, i: F.when(i == 0, b).otherwise(F.transform(b, lambda y: join(y, F.get(x["lasts"], i - 1))))))
+
+    def summed(a: Column) -> Column:
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(a) - 1) / SUMMED).cast("int")), lambda b: grown(F.slice(a, b * SUMMED + 1, SUMMED)))
+        return named(named(blocks, lambda b: F.struct(b.alias("blocks"), last(b).alias("lasts"))), shifted)
+
+    return named(values, lambda a: F.when(F.size(a) > 1, summed(a)).otherwise(a))
+
+
 def matches(text: Column, pattern: str) -> Column:
-    """All leftmost non-overlapping matches with their places, from the pieces between them and their lengths."""
-    start = F.struct(F.lit(0).alias("at"), F.lit(None).cast("array<struct<start:int,end:int,hit:string>>").alias("out"))
+    """All leftmost non-overlapping matches with their places, from the lengths of matches and of the pieces between them."""
+    found = F.struct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"), F.split(text, pattern, -1).alias("pieces"))
 
-    def step(acc: Column, x: Column) -> Column:
-        begin = acc["at"] + F.length(x["piece"])
-        end = begin + F.coalesce(F.length(x["hit"]), F.lit(0))
-        found = F.array(F.struct(begin.alias("start"), end.alias("end"), x["hit"].alias("hit")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["out"]).otherwise(F.concat(F.coalesce(acc["out"], F.array().cast("array<struct<start:int,end:int,hit:string>>")), found)).alias("out"))
+    def placed(x: Column) -> Column:
+        ends = running(F.transform(x["hits"], lambda h, i: F.length(F.get(x["pieces"], i)) + F.length(h)), lambda y, z: y + z)
+        return named(ends, lambda e: F.transform(x["hits"], lambda h, i: F.struct((F.get(e, i) - F.length(h)).alias("start"), F.get(e, i).alias("end"), h.alias("hit"))))
 
-    both = F.arrays_zip(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hit"), F.split(text, pattern, -1).alias("piece"))
-    return F.coalesce(F.aggregate(both, start, step, lambda acc: acc["out"]), F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    return named(found, placed)
 
 
 def spans(kind: str, text: Column) -> Column:
@@ -111,13 +140,20 @@ def redact(text: Column, found: Column) -> Column:
     """`text` with each stretch that spans cover replaced by the name of its first kind."""
     names = F.array(*[F.lit(f"<{k}>") for k in KINDS])
 
-    def step(acc: Column, s: Column) -> Column:
-        more = F.concat(acc["out"], F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), names[s["kind"]])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), F.when(s["start"] >= acc["at"], more).otherwise(acc["out"]).alias("out"))
+    def between(runs: Column, start: Column, stop: Column) -> Column:
+        first = F.floor(start / RUN).cast("int")
+        near = F.array_join(F.slice(runs, first + 1, F.floor(stop / RUN).cast("int") - first + 1), "")
+        return F.substring(near, start - first * RUN + 1, stop - start)
+
+    def joined(x: Column) -> Column:
+        before = lambda i: F.when(i > 0, F.get(x["ends"], i - 1)).otherwise(F.lit(0))
+        kept = F.transform(found, lambda s, i: F.when(s["start"] >= before(i), F.concat(between(x["runs"], before(i), s["start"]), F.get(names, s["kind"]))).otherwise(""))
+        last = F.element_at(x["ends"], -1)
+        return F.concat(F.array_join(kept, ""), between(x["runs"], last, F.greatest(last, x["size"])))
 
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    rest = lambda acc: F.concat(acc["out"], F.substring(text, acc["at"] + 1, F.length(text)))
-    return F.when(F.size(found) > 0, F.aggregate(found, start, step, rest)).otherwise(text)
+    runs = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{RUN}}}"), F.lit(0))
+    parts = F.struct(runs.alias("runs"), running(F.transform(found, lambda s: s["end"]), F.greatest).alias("ends"), F.length(text).alias("size"))
+    return F.when(F.size(found) > 0, named(parts, joined)).otherwise(text)
 
 
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
