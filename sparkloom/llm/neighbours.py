@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import dropped, written
+from .common import dropped, guarded, written
 
 #: Vectors that codebooks are fitted on, and those that the slack is measured on.
 FIT, HELD = 16_384, 2_048
@@ -199,7 +199,7 @@ class MultiIndex:
     def _blocked(self, rows: DataFrame, key: str) -> DataFrame:
         """Rows of a cell in blocks of some BLOCK, dealt by hashes of `key`."""
         sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
-        dealt = rows.join(sizes, "cell").withColumn("block", F.pmod(F.xxhash64(key), "n_blocks"))
+        dealt = rows.join(guarded(sizes, 24), "cell")  # a row for each cell.withColumn("block", F.pmod(F.xxhash64(key), "n_blocks"))
         others = [c for c in rows.columns if c != "cell"]
         return dealt.groupBy("cell", "block").agg(*[F.collect_list(F.struct(*others)).alias("rows")])
 
