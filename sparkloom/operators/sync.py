@@ -10,11 +10,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions import paths
-from sparkloom.sources.scratch import stored
+from sparkloom.sources.scratch import discarded, stored
 from sparkloom.sources.tables import VersionedTable, retried
 
 from . import backfill, chunking, manifest, sagas
-from .models import Embedder, embedding
+from .embeddings import payloads
+from .models import Embedder
 
 Clock = Callable[[], str]
 TRIGGERS = ("deploy_postbuild", "manual", "ci")
@@ -45,11 +46,6 @@ def chunk_ids(rows: DataFrame, start: Column, stop: Column) -> DataFrame:
     return rows.select(F.explode(paths.id_range(paths.slug(F.col("essay_path")), start, stop)).alias("id"))
 
 
-def payloads(chunks: DataFrame, embedder: Embedder) -> DataFrame:
-    """id, data, metadata and vector of chunks."""
-    return chunking.vector_payloads(chunks).withColumn("vector", embedding(embedder)("metadata.text"))
-
-
 def plan_sync(header: dict, entries: DataFrame, live: DataFrame) -> dict:
     """digest, event, files, skip, and the paths to process and those removed as tables (empty where it is skipped)."""
     digest = manifest.corpus_digest(live).first()["digest"]
@@ -63,20 +59,23 @@ def plan_sync(header: dict, entries: DataFrame, live: DataFrame) -> dict:
     return {"digest": digest, "event": event, "files": live.count(), "skip": skip, "to_process": todo.limit(0) if skip else todo, "removed": gone.limit(0) if skip else gone}
 
 
-def run_sync(essays: DataFrame, vectors: VersionedTable, table: VersionedTable, embedder: Embedder, trigger: str = "manual", clock: Clock = utc_now, with_archives: bool = False, required: bool = True) -> dict:
+def run_sync(essays: DataFrame, vectors: VersionedTable, table: VersionedTable, embedder: Embedder, trigger: str = "manual", clock: Clock = utc_now, with_archives: bool = False, required: bool = True, kept: VersionedTable | None = None, model: str = "default") -> dict:
     """Bring vectors and manifest up to the essays (essay_path, body); the manifest's header afterwards.
 
     Files out of scope don't count. What is removed loses its chunks, what shrank its tail; the rest of a changed file is
     written over. The manifest says sync_running before the first write, and sync_failed with the error where one fails
-    three times; that error is raised if the sync is required. A sync that is run again writes nothing.
+    three times; that error is raised if the sync is required. A sync that is run again writes nothing. Bodies are read
+    once for their hashes and those of new or changed files once more for their chunks. kept: vectors by content, so that
+    texts which any run has embedded don't reach the model again.
     """
     if trigger not in TRIGGERS:
         raise ValueError(f"trigger must be one of {', '.join(TRIGGERS)}")
     header, entries = read(table, SYNC_DEFAULTS, SYNC_ENTRY)
     owned = essays.where(paths.in_scope(F.col("essay_path"), with_archives))
-    live = owned.select("essay_path", backfill.manifest_hash(F.col("body")).alias("content_hash"))
+    live = stored(owned.select("essay_path", backfill.manifest_hash(F.col("body")).alias("content_hash")))
     plan = plan_sync(header, entries, live)
     if plan["skip"]:
+        discarded(live)
         return header
     now = clock()
     job = {"job_id": run_id(now), "trigger": trigger, "started_at": now, "finished_at": None, "state": "sync_running", "files_scanned": plan["files"], "chunks_written": 0, "chunks_deleted": 0, "error_stage": None}
@@ -95,16 +94,17 @@ def run_sync(essays: DataFrame, vectors: VersionedTable, table: VersionedTable,
         stage = "upsert"
         retried(lambda: vectors.delete(dead))
         stage = "embed"
-        rows = stored(payloads(chunks, embedder))
+        rows = stored(payloads(chunks, embedder, kept, model))
         stage = "upsert"
         retried(lambda: vectors.upsert(rows))
-        kept = entries.join(gone.select("essay_path"), "essay_path", "left_anti").join(after.select("essay_path"), "essay_path", "left_anti")
-        entries_now = stored(kept.select(*after.columns).unionByName(after))
-        total = entries_now.agg(F.coalesce(F.sum("total_chunks"), F.lit(0))).first()[0]
+        others = entries.join(gone.select("essay_path"), "essay_path", "left_anti").join(after.select("essay_path"), "essay_path", "left_anti")
+        entries_now = stored(others.select(*after.columns).unionByName(after))
+        total, written = (t.agg(F.coalesce(F.sum("total_chunks"), F.lit(0))).first()[0] for t in (entries_now, after))
         done = clock()
-        job |= {"state": "index_current", "finished_at": done, "chunks_written": rows.count(), "chunks_deleted": dead.count()}
+        job |= {"state": "index_current", "finished_at": done, "chunks_written": int(written), "chunks_deleted": dead.count()}
         header |= {"status": sagas.next_state("embed", "sync_running", "sync_complete"), "manifest_digest": plan["digest"], "vector_count": int(total), "last_sync_at": done, "last_job": job}
         retried(lambda: table.replace(entries_now, header))
+        discarded(live, todo, gone, chunks, after, dead, rows, entries_now)
     except Exception as error:
         job |= {"state": "sync_failed", "finished_at": clock(), "error_stage": stage}
         header |= {"status": sagas.next_state("embed", "sync_running", "sync_error"), "last_error": str(error)[:2000], "last_job": job}
@@ -122,18 +122,28 @@ def _noted(table: VersionedTable, header: dict) -> None:
         pass
 
 
-def run_backfill(essays: DataFrame, vectors: VersionedTable, table: VersionedTable, embedder: Embedder, budget: backfill.WriteBudget, clock: Clock = utc_now, only: DataFrame | None = None, trigger: str = "schedule") -> dict:
+def merged(header: dict, entries: DataFrame, local_header: dict, local_entries: DataFrame) -> tuple[dict, DataFrame]:
+    """A remote manifest with a local one's cursors, and its status where that says that the last batch failed."""
+    status = entries.sparkSession.range(1).select(manifest.merged_status(F.lit(header["status"]), F.lit(local_header.get("status"))).alias("s")).first()["s"]
+    return {**header, "status": status}, stored(manifest.merge_cursors(entries, local_entries))
+
+
+def run_backfill(essays: DataFrame, vectors: VersionedTable, table: VersionedTable, embedder: Embedder, budget: backfill.WriteBudget, clock: Clock = utc_now, only: DataFrame | None = None, trigger: str = "schedule", local: tuple[dict, DataFrame] | None = None, kept: VersionedTable | None = None, model: str = "default") -> dict:
     """One day's batch over the archives among essays (essay_path, body); the manifest's header afterwards.
 
     Deletions come first, from the end of removed and changed files, then the pending chunks in path order, as far as
     the budget reaches; the manifest's entries say how far each file has come, so that the next run goes on from there.
-    A run that died or failed is taken up again. only: a table of the paths that the run is restricted to.
+    A run that died or failed is taken up again. only: a table of the paths that the run is restricted to. local: header
+    and entries of a manifest beside this machine, whose cursors count where they are of the same content and further on.
+    kept: vectors by content, as for a sync.
     """
     header, entries = read(table, BACKFILL_DEFAULTS, BACKFILL_ENTRY)
+    if local is not None:
+        header, entries = merged(header, entries, *local)
     archives = essays.where(paths.is_year_archive(F.col("essay_path")))
     paths.assert_disjoint(archives)
     archives, mine = paths.allowed(archives, only), paths.allowed(entries, only)
-    live = archives.select("essay_path", backfill.manifest_hash(F.col("body")).alias("content_hash"))
+    live = stored(archives.select("essay_path", backfill.manifest_hash(F.col("body")).alias("content_hash")))
     actions = stored(manifest.backlog(mine, live))
     flags = manifest.backlog_flags(actions).first()
     header |= {"provider_daily_cap": budget.provider_daily_cap, "write_budget": budget.write_budget}
@@ -169,7 +179,7 @@ def run_backfill(essays: DataFrame, vectors: VersionedTable, table: VersionedTab
         dead = stored(backfill.tail_ids(plan, mine))
         retried(lambda: vectors.delete(dead))
         stage = "embed"
-        rows = stored(payloads(backfill.pending_chunks(plan, mine, chunks), embedder))
+        rows = stored(payloads(backfill.pending_chunks(plan, mine, chunks), embedder, kept, model))
         stage = "upsert"
         retried(lambda: vectors.upsert(rows))
         stage = "commit"
@@ -183,6 +193,7 @@ def run_backfill(essays: DataFrame, vectors: VersionedTable, table: VersionedTab
         run |= {"state": status, "finished_at": clock(), "chunks_upserted": spent["upserts_granted"], "chunks_deleted": spent["deletes_granted"], "budget_spent": meter.spent, "cursor_after": int(committed)}
         header |= {"status": status, "committed_archive_vectors": int(committed), "last_run": run, "updated_at": run["finished_at"]}
         retried(lambda: table.replace(entries_now, header))
+        discarded(live, actions, chunks, plan, dead, rows, now_mine, *([] if only is None else [entries_now]))
     except Exception as error:
         run |= {"state": "batch_failed", "finished_at": clock(), "budget_spent": meter.spent, "error_stage": stage, "error_message": str(error)[:2000]}
         header |= {"status": sagas.next_state("backfill", "batch_running", "batch_error"), "last_run": run}

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions import paths, text
 from sparkloom.operators import backfill, chunking, conversations, manifest, retrieve, sync
-from sparkloom.operators.models import hashed_embedder
+from sparkloom.operators.models import hashed_embedder, tracing_embedder
 from sparkloom.sources import scratch
 from sparkloom.sources.tables import VersionedTable
 
@@ -311,29 +311,35 @@ def earlier_vectors(ids: DataFrame) -> DataFrame:
     return ids.select("id", F.lit(None).cast("string").alias("data"), F.lit(None).cast(meta).alias("metadata"), F.lit(None).cast("array<float>").alias("vector"))
 
 
+#: What tracing_embedder() makes of a chunk's whole text, as one number.
+TRACE = "31 * length(text) + 7 * length(string_split(text, ' ')[-1]) + unicode(text[-1:])"
+
+
 def clock() -> str:
     return "2026-01-02T03:04:05.000Z"
 
 
 @query(f"""WITH {ENTRIES_SQL}, owned AS (SELECT * FROM essays WHERE NOT starts_with(essay_path, 'content/posts/pre-examined') AND NOT regexp_matches(essay_path, '(?i)^content/posts/unfolding/(chatgpt|gemini)(-20\\d{{2}})?(-p\\d+)?\\.mdx$'))
-SELECT o.essay_path, o.content_hash, coalesce(n.chunk_count, 0)::BIGINT AS total_chunks, coalesce(n.chunk_count, 0)::BIGINT AS vectors, CASE WHEN m.content_hash = o.content_hash THEN 0 ELSE coalesce(n.chunk_count, 0) END::BIGINT AS written
-FROM owned o LEFT JOIN counts n USING (essay_path) LEFT JOIN entries m USING (essay_path)""")
+SELECT o.essay_path, o.content_hash, coalesce(n.chunk_count, 0)::BIGINT AS total_chunks, coalesce(n.chunk_count, 0)::BIGINT AS vectors, CASE WHEN m.content_hash = o.content_hash THEN 0 ELSE coalesce(n.chunk_count, 0) END::BIGINT AS written,
+  CASE WHEN m.content_hash = o.content_hash THEN 0 ELSE coalesce(t.trace, 0) END::BIGINT AS trace
+FROM owned o LEFT JOIN counts n USING (essay_path) LEFT JOIN entries m USING (essay_path) LEFT JOIN (SELECT essay_path, sum({TRACE}) AS trace FROM chunks GROUP BY 1) t USING (essay_path)""")
 def sync_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest entries after a sync over an earlier manifest and its vectors, with what the table of vectors holds of each."""
     vectors_, manifest_ = run_tables(spark)
     before = scratch.stored(entries(spark, sf_dir).select("essay_path", "content_hash", "total_chunks"))
     vectors_.upsert(earlier_vectors(sync.chunk_ids(before, F.lit(0).cast("long"), F.col("total_chunks"))))
     manifest_.replace(before, {"status": "index_current", "manifest_digest": "sha256:earlier"})
-    sync.run_sync(essays(spark, sf_dir), vectors_, manifest_, hashed_embedder(8), clock=clock)
+    sync.run_sync(essays(spark, sf_dir), vectors_, manifest_, tracing_embedder, clock=clock)
     return held(manifest_.read(), vectors_.read())
 
 
 def held(entries_: DataFrame, vectors_: DataFrame) -> DataFrame:
     safe = F.regexp_replace("id", "#\\d+$", "")
-    of = vectors_.groupBy(safe.alias("safe")).agg(F.count("*").alias("vectors"), F.count("vector").alias("written"))
+    trace = F.sum(31 * F.col("vector")[0].cast("long") + 7 * F.col("vector")[1].cast("long") + F.col("vector")[2].cast("long"))
+    of = vectors_.groupBy(safe.alias("safe")).agg(F.count("*").alias("vectors"), F.count("vector").alias("written"), trace.alias("trace"))
     mine = F.regexp_replace(paths.vector_id(paths.slug(F.col("essay_path")), F.lit(0)), "#0$", "")
     rows = entries_.withColumn("safe", mine).join(of, "safe", "full_outer")
-    return rows.select(*entries_.columns, F.coalesce("vectors", F.lit(0)).alias("vectors"), F.coalesce("written", F.lit(0)).alias("written"))
+    return rows.select(*entries_.columns, F.coalesce("vectors", F.lit(0)).alias("vectors"), F.coalesce("written", F.lit(0)).alias("written"), F.coalesce("trace", F.lit(0)).alias("trace"))
 
 
 ARCHIVE_ENTRIES = """k AS (SELECT essay_path, substr(essay_path, length(essay_path) - 5, 2)::INTEGER AS yy, content_hash, chunk_count FROM essays JOIN counts USING (essay_path)),
@@ -347,9 +353,10 @@ a AS (SELECT essay_path, kind, dg, ug, dg = deletes AS whole, m.content_hash AS
   FROM (SELECT essay_path FROM entries UNION SELECT essay_path FROM p) LEFT JOIN p USING (essay_path) LEFT JOIN entries m USING (essay_path) LEFT JOIN essays e USING (essay_path) LEFT JOIN counts c USING (essay_path)),
 r AS (SELECT *, kind IN ('embed_new', 'reembed_changed') AND whole AS fresh FROM a WHERE NOT coalesce(kind = 'delete_removed' AND whole, false)),
 z AS (SELECT essay_path, CASE WHEN fresh THEN new_hash ELSE old_hash END AS content_hash, CASE WHEN fresh THEN new_total WHEN kind = 'delete_removed' THEN old_total - dg ELSE old_total END AS total_chunks,
-  CASE WHEN fresh THEN ug WHEN kind = 'embed_resume' THEN old_next + ug ELSE old_next END AS next_chunk_index, coalesce(ug, 0) AS written, kind, old_total, dg FROM r)
+  CASE WHEN fresh THEN ug WHEN kind = 'embed_resume' THEN old_next + ug ELSE old_next END AS next_chunk_index, coalesce(ug, 0) AS written, kind, old_total, dg, CASE WHEN kind = 'embed_resume' THEN old_next ELSE 0 END AS began FROM r),
+tr AS (SELECT z.essay_path, sum({TRACE}) AS trace FROM z JOIN chunks c ON c.essay_path = z.essay_path AND c.chunk_index >= began AND c.chunk_index < began + written GROUP BY 1)
 SELECT essay_path, content_hash, total_chunks::BIGINT AS total_chunks, next_chunk_index::BIGINT AS next_chunk_index, least(next_chunk_index, total_chunks)::BIGINT AS committed_chunks,
-  CASE WHEN kind = 'embed_new' THEN written WHEN kind = 'embed_resume' THEN next_chunk_index WHEN kind IS NULL THEN total_chunks ELSE greatest(old_total - dg, written) END::BIGINT AS vectors, written::BIGINT AS written FROM z""")
+  CASE WHEN kind = 'embed_new' THEN written WHEN kind = 'embed_resume' THEN next_chunk_index WHEN kind IS NULL THEN total_chunks ELSE greatest(old_total - dg, written) END::BIGINT AS vectors, written::BIGINT AS written, coalesce(trace, 0)::BIGINT AS trace FROM z LEFT JOIN tr USING (essay_path)""")
 def backfill_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Manifest entries after a day's backfill of 195 chunk writes, with what the table of vectors holds of each."""
     vectors_, manifest_ = run_tables(spark)
@@ -364,5 +371,5 @@ def backfill_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     before = scratch.stored(known.unionByName(gone))
     vectors_.upsert(earlier_vectors(sync.chunk_ids(before, F.lit(0).cast("long"), F.col("next_chunk_index"))))
     manifest_.replace(before, {"status": "batch_running"})
-    sync.run_backfill(found, vectors_, manifest_, hashed_embedder(8), backfill.WriteBudget(write_budget=200), clock=clock)
+    sync.run_backfill(found, vectors_, manifest_, tracing_embedder, backfill.WriteBudget(write_budget=200), clock=clock)
     return held(manifest_.read(), vectors_.read())

@@ -25,4 +25,15 @@ def stored(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{base_dir(spark)}/sparkloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def discarded(*frames: DataFrame) -> None:
+    """Delete tables of stored() that nothing reads any more."""
+    for frame in frames:
+        path = getattr(frame, "_scratch_path", None)
+        if path:
+            where = frame.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(frame.sparkSession._jsc.hadoopConfiguration()).delete(where, True)
