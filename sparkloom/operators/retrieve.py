@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -12,16 +13,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.functions import paths
 
-from . import terms
+from . import blocks, terms
 from .models import Embedder, Scorer, embedding
 from .terms import overlap_boost
+from .vector_index import VectorIndex
 
 #: Defaults of the retrieval: results, candidates at most, score floors.
 TOP_K, POOL, MIN_SCORE, MIN_RERANK = 5, 60, 0.5, 0.0
 # Ids of records that aren't chunks.
 CONTROL_IDS = ("__manifest__", "__backfill_manifest__")
-#: Queries that are scored together; each block of them reads the vectors once.
-QUERY_BLOCK = 8192
+#: Scores of a pair of blocks that a task holds at a time.
+SCORES = 4 << 20
 
 
 def clamp_top_k(k: int | None) -> int:
@@ -41,37 +43,37 @@ def dot(a: Column, b: Column) -> Column:
 def similar(queries: DataFrame, vectors: DataFrame, k: int | None = None, floor: float | None = None, query_id: str = "query_id", id_: str = "vec_id", vector: str = "vector") -> DataFrame:
     """query_id, vec_id, score of each query's k best vectors, or of all that reach `floor`.
 
-    Queries go out in blocks of bounded size; a batch of vectors is scored against a block in one matrix product and
-    keeps its own k best for each query, so what is shuffled for the final ranking is small. Null vectors are left out.
+    Both sides are packed into blocks and joined by key: the vectors are dealt over the shuffle's partitions, the queries
+    are copied to each. A pair of blocks is one matrix product; a task keeps its own k best for each query, so what is
+    shuffled for the final ranking is small. Nothing is collected. Null vectors are left out; vectors of another length
+    than a query's don't meet it.
     """
-    found = None
-    ordered = queries.select(F.col(query_id).alias("q"), F.col(vector).alias("v")).where("v IS NOT NULL")
-    schema = f"query_id {queries.schema[query_id].dataType.simpleString()}, vec_id {vectors.schema[id_].dataType.simpleString()}, score double"
-    kind = to_arrow_type(queries.schema[query_id].dataType)
-    blocks = max(1, -(-ordered.count() // QUERY_BLOCK))
-    for i in range(blocks):
-        block = ordered.where(F.pmod(F.xxhash64("q"), F.lit(blocks)) == i).collect()
-        if not block:
-            continue
-        names = np.array([r["q"] for r in block], object)
-        matrix = np.array([r["v"] for r in block], np.float64)
-
-        def scored(batches: Iterator[pa.RecordBatch], names: np.ndarray = names, matrix: np.ndarray = matrix) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                flat = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                scores = matrix @ flat.reshape(batch.num_rows, -1).T
-                keep = np.ones(scores.shape, bool) if floor is None else np.round(scores, 6) >= floor
-                if k is not None and scores.shape[1] > k:
-                    keep &= np.round(scores, 6) >= np.round(np.partition(scores, -k, axis=1)[:, [-k]], 6)
-                q, v = np.nonzero(keep)
-                yield pa.RecordBatch.from_arrays([pa.array(names[q].tolist(), kind), batch.column(0).take(pa.array(v)), pa.array(np.round(scores[q, v], 6) + 0.0)], names=["query_id", "vec_id", "score"])
-
-        part = vectors.where(F.col(vector).isNotNull()).select(id_, vector).mapInArrow(scored, schema)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = vectors.sparkSession.createDataFrame([], schema)
+    spark = vectors.sparkSession
+    q_type, v_type = queries.schema[query_id].dataType, vectors.schema[id_].dataType
+    schema = f"query_id {q_type.simpleString()}, vec_id {v_type.simpleString()}, score double"
+    kinds = (to_arrow_type(q_type), to_arrow_type(v_type))
+    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    pairs = blocks.met(blocks.packed(queries, query_id, vector, ("asking", "sought")), blocks.packed(vectors, id_, vector), parts)
+
+    def out(q: pa.Array, v: pa.Array, score: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([q.cast(kinds[0]), v.cast(kinds[1]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                dim = batch.column("dim")[row].as_py()
+                q, v = (blocks.matrix(batch.column(c)[row].as_buffer(), dim) for c in ("sought", "flat"))
+                names, ids = (batch.column(c)[row].values for c in ("asking", "ids"))
+                step = max(1, SCORES // max(1, len(v)))
+                for at in range(0, len(q), step):
+                    scores = np.round(q[at : at + step] @ v.T, 6) + 0.0
+                    keep = np.ones(scores.shape, bool) if floor is None else scores >= floor
+                    if k is not None and scores.shape[1] > k:
+                        keep &= scores >= np.partition(scores, -k, axis=1)[:, [-k]]
+                    i, j = np.nonzero(keep)
+                    yield out(names.take(pa.array(i + at)), ids.take(pa.array(j)), scores[i, j])
+
+    found = pairs.select("dim", "asking", "sought", "ids", "flat").mapInArrow(scored, schema)
     if k is None:
         return found
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
@@ -125,17 +127,20 @@ def checked_request(query: object, top_k: object = None, min_score: object = Non
     return {"query": query, "top_k": clamp_top_k(number(top_k, TOP_K)), "min_score": number(min_score, MIN_SCORE), "rerank": rerank if isinstance(rerank, bool) else True, "candidate_pool": number(candidate_pool, None)}
 
 
-def search(queries: DataFrame, vectors: DataFrame, glossary: DataFrame, embedder: Embedder, top_k: int | None = None, min_score: float = MIN_SCORE, scorer: Scorer | None = None, min_rerank: float = MIN_RERANK, pool: int | None = None) -> tuple[DataFrame, DataFrame]:
+def search(queries: DataFrame, vectors: DataFrame, glossary: DataFrame, embedder: Embedder, top_k: int | None = None, min_score: float = MIN_SCORE, scorer: Scorer | None = None, min_rerank: float = MIN_RERANK, pool: int | None = None, index: VectorIndex | None = None) -> tuple[DataFrame, DataFrame]:
     """The whole retrieval of queries (query_id, query) from vectors (id, vector, metadata): results, candidates.
 
     Queries are expanded by the glossary and embedded, the pool's nearest chunks are the candidates; those above the
     floor are scored by the cross-encoder if there is one, boosted by the query's own terms and cut to each essay's best.
+    With an index the candidates are those that it finds, else all vectors are compared.
     """
     k = clamp_top_k(top_k)
     aliases = terms.short_aliases(glossary)
     asked = terms.expand_queries(queries, glossary, aliases).withColumn("vector", embedding(embedder)("expanded"))
     size = min(POOL, max(k, pool)) if pool is not None else min(POOL, max(6 * k, k + 5))
-    near = similar(asked.select("query_id", "vector"), vectors, size, id_="id").withColumnRenamed("vec_id", "id").drop("rank")
+    sought = asked.select("query_id", "vector")
+    near = similar(sought, vectors, size, id_="id").withColumnRenamed("vec_id", "id") if index is None else index.search(sought, vectors, size)
+    near = near.drop("rank")
     found = chunks_of_hits(near.join(vectors.select("id", "metadata"), "id")).withColumnRenamed("id", "vec_id")
     candidates = best_per_essay(found, max(k, size))
     hits = found.join(asked.select("query_id", "expanded"), "query_id").join(terms.query_terms(queries, glossary, aliases).select("query_id", "terms"), "query_id")
@@ -147,6 +152,31 @@ def search(queries: DataFrame, vectors: DataFrame, glossary: DataFrame, embedder
     return results.drop("second", "expanded", "terms"), candidates
 
 
+class Retrieval(NamedTuple):
+    """The chunks that answer, the nearest ones before any second score, and what is said about them."""
+
+    chunks: DataFrame
+    ann_chunks: DataFrame
+    meta: dict
+
+
+#: Statuses of a manifest without an index to search.
+WITHOUT_INDEX = ("no_index", "sync_failed")
+
+
+def retrieval(header: dict, stale: bool, queries: DataFrame, vectors: DataFrame, glossary: DataFrame, embedder: Embedder, bi_encoder: str, rerank_model: str | None = None, scorer: Scorer | None = None, **options: object) -> Retrieval:
+    """A search as the manifest's header allows it, with its metadata.
+
+    Without an index, or after a failed sync, there are no chunks, and no query is embedded. An index that the corpus has
+    left behind is searched all the same and called stale. The model named is the one that scored last.
+    """
+    rerank = scorer is not None
+    meta = {"index_status": "stale" if stale and header["status"] not in WITHOUT_INDEX else header["status"], "manifest_digest": header.get("manifest_digest"), "stale": stale, "bi_encoder_model": bi_encoder, "rerank_model": rerank_model if rerank else None, "rerank": rerank, "model": rerank_model if rerank and rerank_model else bi_encoder}
+    if header["status"] in WITHOUT_INDEX:
+        queries, vectors = queries.limit(0), vectors.limit(0)
+    return Retrieval(*search(queries, vectors, glossary, embedder, scorer=scorer, **options), meta)
+
+
 def confident(top: Column, reranked: bool, floor: float = MIN_RERANK) -> Column:
     return F.coalesce(top >= (floor if reranked else MIN_SCORE), F.lit(False))
 

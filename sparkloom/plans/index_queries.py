@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import paths, text
 from sparkloom.operators import backfill, chunking, conversations, manifest, retrieve, sync
 from sparkloom.operators.models import hashed_embedder, tracing_embedder
+from sparkloom.operators.vector_index import VectorIndex
 from sparkloom.sources import scratch
 from sparkloom.sources.tables import VersionedTable
 
@@ -52,6 +53,17 @@ def pairwise_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.similar(asked(spark, sf_dir), vectors(spark, sf_dir), floor=0.3)
 
 
+@query("WITH q AS (SELECT count(*) AS queries FROM embeddings WHERE vec_id % 20 = 0) SELECT queries, queries * least(10, (SELECT count(*) FROM embeddings)) AS nearest, true AS reached FROM q")
+def index_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the inverted-file index finds nine of ten of the ten nearest vectors of each search query, or more."""
+    rows, sought = vectors(spark, sf_dir), asked(spark, sf_dir)
+    index = VectorIndex.built(rows, f"{scratch.base_dir(spark)}/index-{uuid.uuid4().hex}", 10)
+    exact = retrieve.similar(sought, rows, 10).select("query_id", "vec_id")
+    found = index.search(sought, rows, 10).select("query_id", "vec_id", F.lit(1).alias("hit"))
+    both = exact.join(found, ["query_id", "vec_id"], "left")
+    return both.agg(F.count_distinct("query_id").alias("queries"), F.count("*").alias("nearest"), (F.count("hit") >= 0.9 * F.count("*")).alias("reached"))
+
+
 def pooled(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieve.similar(asked(spark, sf_dir), vectors(spark, sf_dir), 60).drop("rank").join(vectors(spark, sf_dir).select("vec_id", F.col("label").cast("string").alias("essay_slug")), "vec_id")
 

@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import sentences, text
-from sparkloom.operators import answer, conversations, retrieve, sagas, terms
+from sparkloom.operators import answer, chunking, conversations, embeddings, models, retrieve, sagas, terms
+from sparkloom.sources.scratch import stored
 
-from .index_queries import MATCH, TERMS
-from .views import MESSAGES_SQL, messages, queries, sql_chain, table
+from .index_queries import BEST, MATCH, TERMS, VEC_ID
+from .views import CHUNKS_SQL, MESSAGES_SQL, essays, messages, queries, sql_chain, table
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -139,14 +140,43 @@ def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return terms.query_terms(queries(spark, sf_dir), known, terms.short_aliases(known)).select("query_id", F.array_join("terms", " ").alias("terms"))
 
 
-@query(f"""WITH {ALL_TERMS}, w AS (SELECT item_id, term, min((CASE part WHEN 2 THEN -1 ELSE part END, p, tie)) AS place FROM pieces WHERE part <> 2 OR term IN (SELECT term FROM vocabulary) GROUP BY 1, 2),
-x AS (SELECT item_id, string_agg(term || ' ' || reverse(term), ' ' ORDER BY place) AS more FROM w WHERE term IN (SELECT term FROM vocabulary) GROUP BY 1)
-SELECT b.item_id AS query_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') || coalesce(' ' || more, '') AS expanded FROM benchmark b LEFT JOIN x USING (item_id)""")
+EXPANDED = """w AS (SELECT item_id, term, min((CASE part WHEN 2 THEN -1 ELSE part END, p, tie)) AS place FROM pieces WHERE part <> 2 OR term IN (SELECT term FROM vocabulary) GROUP BY 1, 2),
+x AS (SELECT item_id, string_agg(term || ' ' || reverse(term), ' ' ORDER BY place) AS more FROM w WHERE term IN (SELECT term FROM vocabulary) GROUP BY 1),
+expanded AS (SELECT b.item_id AS query_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') || coalesce(' ' || more, '') AS expanded FROM benchmark b LEFT JOIN x USING (item_id))"""
+
+
+@query(f"WITH {ALL_TERMS}, {EXPANDED} SELECT * FROM expanded")
 def expand_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = vocabulary(spark, sf_dir)
     return terms.expand_queries(queries(spark, sf_dir), known, terms.short_aliases(known))
 
 
+LETTERS = "list_transform(range(97, 123), lambda c: (length({0}) - length(replace({0}, chr(c::INTEGER), '')))::DOUBLE)"
+UNIT = "CASE WHEN list_sum(list_transform(n, lambda x: x * x)) = 0 THEN n ELSE list_transform(n, lambda x: (x / sqrt(list_sum(list_transform(n, lambda y: y * y))))::FLOAT::DOUBLE) END"
+
+
+@query(f"""WITH {ALL_TERMS}, {EXPANDED}, {CHUNKS_SQL},
+qv AS (SELECT query_id, expanded, {UNIT} AS v FROM (SELECT *, {LETTERS.format("expanded")} AS n FROM expanded)),
+cv AS (SELECT {VEC_ID} AS vec_id, essay_path, essay_slug, heading, chunk_index, substr(text, 1, 2000) AS body, {UNIT} AS v FROM (SELECT *, {LETTERS.format("text")} AS n FROM chunks)),
+pr AS (SELECT query_id, vec_id, round(list_dot_product(q.v, c.v), 6) + 0.0 AS ann FROM qv q, cv c),
+near AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY ann DESC, vec_id) AS n FROM pr) WHERE n <= 30),
+hit AS (SELECT near.query_id, vec_id, essay_slug, heading, chunk_index, body, ann, expanded FROM near JOIN cv USING (vec_id) JOIN qv ON qv.query_id = near.query_id WHERE NOT starts_with(essay_path, 'content/posts/pre-examined') AND ann >= 0.5),
+lt AS (SELECT query_id, list_distinct(list_filter(regexp_extract_all(replace(lower(expanded), '''', ''), '\\b([a-z][a-z0-9-]{{3,}})\\b', 1), lambda w: w NOT IN {_STOPS})) AS terms FROM expanded),
+ce AS (SELECT hit.*, CASE WHEN len(terms) = 0 THEN 0.0 ELSE (2 * {MATCH.format("lower(body)")} - len(terms))::DOUBLE / len(terms) END AS ce FROM hit JOIN lt USING (query_id)),
+co AS (SELECT *, CASE WHEN ann > 0.5 AND ce < 0 THEN ann ELSE ce END AS second FROM ce),
+h AS (SELECT co.query_id, vec_id, essay_slug, chunk_index, round(second + coalesce({MATCH.format("lower(coalesce(heading, '') || ' ' || body)")}, 0) * 0.2, 6) AS score FROM co LEFT JOIN q ON q.query_id = co.query_id WHERE second >= 0),
+{BEST.format("h")}
+SELECT query_id, vec_id, essay_slug, chunk_index, score::DOUBLE AS score, rank::INTEGER AS rank, 'stale' AS index_status, 'lexical' AS model FROM best WHERE rank <= 5""")
+def search_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every benchmark text asked of the chunks of all documents: expanded, embedded, searched, scored again, boosted and
+    cut to each essay's best, with the status of an index that the corpus has left behind."""
+    header = {"status": "index_current", "manifest_digest": "sha256:earlier"}
+    rows = stored(embeddings.payloads(chunking.chunks(essays(spark, sf_dir)), models.letter_embedder))
+    found = retrieve.retrieval(header, True, queries(spark, sf_dir), rows, vocabulary(spark, sf_dir), models.letter_embedder, "letters", "lexical", models.lexical_scorer)
+    meta = found.meta
+    return found.chunks.select("query_id", "vec_id", "essay_slug", "chunk_index", "score", "rank", F.lit(meta["index_status"]).alias("index_status"), F.lit(meta["model"]).alias("model"))
+
+
 def asked(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document with the words of one benchmark text, dealt out in turn."""
     n = table(spark, sf_dir, "benchmark").count()
