@@ -75,8 +75,8 @@ def micro_batches(rows: DataFrame, order: list[str], size: int = 16) -> DataFram
     return with_running_total(rows.withColumn("__one", F.lit(1)), order, "__one", "__before").withColumn("batch", F.floor(F.col("__before") / size).cast("long")).drop("__one", "__before")
 
 
-def plan_batch(actions: DataFrame, entries: DataFrame, sizes: DataFrame, budget: WriteBudget) -> DataFrame:
-    """essay_path, kind, deletes, upserts and what is granted of each: deletes first, then files in path order.
+def asked_for(actions: DataFrame, entries: DataFrame, sizes: DataFrame) -> DataFrame:
+    """essay_path, kind, and how many deletes and upserts each action takes.
 
     A removed file gives up all its chunks, a changed one only those beyond its new end; its own chunks are written anew.
     """
@@ -84,7 +84,12 @@ def plan_batch(actions: DataFrame, entries: DataFrame, sizes: DataFrame, budget:
     total = F.coalesce("new_total", F.lit(0))
     deletes = F.when(F.col("kind") == "delete_removed", F.col("old_total_chunks")).when(F.col("kind") == "reembed_changed", F.greatest(F.lit(0), F.col("old_total_chunks") - total)).otherwise(0)
     upserts = F.when(F.col("kind") == "delete_removed", 0).when(F.col("kind") == "embed_resume", F.greatest(F.lit(0), total - F.col("next_chunk_index"))).otherwise(total)
-    rows = rows.select("essay_path", "kind", deletes.cast("long").alias("deletes"), upserts.cast("long").alias("upserts"))
+    return rows.select("essay_path", "kind", deletes.cast("long").alias("deletes"), upserts.cast("long").alias("upserts"))
+
+
+def plan_batch(actions: DataFrame, entries: DataFrame, sizes: DataFrame, budget: WriteBudget) -> DataFrame:
+    """essay_path, kind, deletes, upserts and what is granted of each: deletes first, then files in path order."""
+    rows = asked_for(actions, entries, sizes)
     long = rows.select("essay_path", "kind", F.lit(0).alias("stage"), F.col("deletes").alias("pending")).unionByName(rows.select("essay_path", "kind", F.lit(1).alias("stage"), F.col("upserts").alias("pending")))
     granted = allocate(long, budget.chunk_write_budget, ["stage", "essay_path"])
     pick = lambda s: F.sum(F.when(F.col("stage") == s, F.col("granted")).otherwise(0))

@@ -22,6 +22,8 @@ TRIGGERS = ("deploy_postbuild", "manual", "ci")
 #: What a manifest says before anything has been written.
 SYNC_DEFAULTS = {"status": "no_index", "manifest_digest": None, "vector_count": 0, "last_sync_at": None, "last_error": None, "last_job": None}
 BACKFILL_DEFAULTS = {"status": "backlog_pending", "provider_daily_cap": 10_000, "write_budget": 9_500, "committed_archive_vectors": 0, "last_run": None, "updated_at": None}
+#: So many names of requests a manifest remembers; a day has fewer.
+REQUESTS = 10_000
 SYNC_ENTRY = "essay_path string, content_hash string, total_chunks long"
 BACKFILL_ENTRY = f"{SYNC_ENTRY}, next_chunk_index long, committed_chunks long"
 
@@ -128,16 +130,18 @@ def merged(header: dict, entries: DataFrame, local_header: dict, local_entries:
     return {**header, "status": status}, stored(manifest.merge_cursors(entries, local_entries))
 
 
-def run_backfill(essays: DataFrame, vectors: VersionedTable, table: VersionedTable, embedder: Embedder, budget: backfill.WriteBudget, clock: Clock = utc_now, only: DataFrame | None = None, trigger: str = "schedule", local: tuple[dict, DataFrame] | None = None, kept: VersionedTable | None = None, model: str = "default") -> dict:
+def run_backfill(essays: DataFrame, vectors: VersionedTable, table: VersionedTable, embedder: Embedder, budget: backfill.WriteBudget, clock: Clock = utc_now, only: DataFrame | None = None, trigger: str = "schedule", local: tuple[dict, DataFrame] | None = None, kept: VersionedTable | None = None, model: str = "default", request: str | None = None) -> dict:
     """One day's batch over the archives among essays (essay_path, body); the manifest's header afterwards.
 
     Deletions come first, from the end of removed and changed files, then the pending chunks in path order, as far as
     the budget reaches; the manifest's entries say how far each file has come, so that the next run goes on from there.
     A run that died or failed is taken up again. only: a table of the paths that the run is restricted to. local: header
     and entries of a manifest beside this machine, whose cursors count where they are of the same content and further on.
-    kept: vectors by content, as for a sync.
+    kept: vectors by content, as for a sync. request: a name under which the batch is run once, however often it is asked.
     """
     header, entries = read(table, BACKFILL_DEFAULTS, BACKFILL_ENTRY)
+    if request is not None and request in header.get("requests", []):
+        return header
     if local is not None:
         header, entries = merged(header, entries, *local)
     archives = essays.where(paths.is_year_archive(F.col("essay_path")))
@@ -192,6 +196,8 @@ def run_backfill(essays: DataFrame, vectors: VersionedTable, table: VersionedTab
         meter.spend(bookkeeping=1)
         run |= {"state": status, "finished_at": clock(), "chunks_upserted": spent["upserts_granted"], "chunks_deleted": spent["deletes_granted"], "budget_spent": meter.spent, "cursor_after": int(committed)}
         header |= {"status": status, "committed_archive_vectors": int(committed), "last_run": run, "updated_at": run["finished_at"]}
+        if request is not None:
+            header["requests"] = [*header.get("requests", [])[1 - REQUESTS :], request]
         retried(lambda: table.replace(entries_now, header))
         discarded(live, actions, chunks, plan, dead, rows, now_mine, *([] if only is None else [entries_now]))
     except Exception as error:

@@ -13,6 +13,7 @@ from sparkloom.operators.models import hashed_embedder, tracing_embedder
 from sparkloom.operators.vector_index import VectorIndex
 from sparkloom.sources import scratch
 from sparkloom.sources.tables import VersionedTable
+from sparkloom.streaming import ledger
 
 from .views import ARCHIVE_SQL, CHUNKS_SQL, ENTRIES_SQL, ESSAYS_SQL, SECTIONS_SQL, SLUG_SQL, archives, chunks_sql, counts, entries, essays, sql_chain, table
 
@@ -256,6 +257,24 @@ def budget_allocation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return backfill.plan_batch(manifest.backlog(found, live), found, counts(spark, sf_dir), backfill.WriteBudget(write_budget=BUDGET))
 
 
+ASKS = "SELECT '2026-01-' || lpad((doc_id % 28 + 1)::VARCHAR, 2, '0') AS day, coalesce(lang, '') || '-' || coalesce(source, '') AS request, sum(1 + n_chars // 2000)::BIGINT AS chunks FROM documents GROUP BY 1, 2"
+
+
+@query(f"WITH a AS ({ASKS}) SELECT day, request, least(chunks, greatest(0, 60 - coalesce(sum(chunks) OVER (PARTITION BY day ORDER BY request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)))::BIGINT AS granted FROM a")
+def budget_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream's ledger of 60 chunks a day grants to each language and source, which ask for their documents' chunks."""
+    day = F.concat(F.lit("2026-01-"), F.lpad((F.col("doc_id") % 28 + 1).cast("string"), 2, "0"))
+    request = F.concat(F.coalesce("lang", F.lit("")), F.lit("-"), F.coalesce("source", F.lit("")))
+    asks = table(spark, sf_dir, "documents").groupBy(day.alias("day"), request.alias("request")).agg(F.sum(1 + F.floor(F.col("n_chars") / 2000)).cast("long").alias("chunks"))
+    folder = f"{scratch.base_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    asks.select(F.to_timestamp("day").alias("at"), "request", "chunks").write.parquet(f"{folder}/asks")
+    stream = spark.readStream.schema(ledger.ASK).parquet(f"{folder}/asks")
+    with ledger.state_in_rocks(spark):
+        query_ = ledger.grants(stream, 60).writeStream.format("parquet").option("path", f"{folder}/out").option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
+    query_.awaitTermination()
+    return spark.read.schema(ledger.GRANT).parquet(f"{folder}/out").where("NOT closed").select("day", "request", "granted")
+
+
 @query(f"WITH {ENTRIES_SQL} SELECT count(*) AS files, sum(total_chunks)::BIGINT AS vector_count, sum(committed_chunks)::BIGINT AS committed_archive_vectors FROM entries")
 def manifest_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.rollup(entries(spark, sf_dir))

@@ -33,12 +33,14 @@ class VersionedTable:
 
     Rows lie in buckets by a hash of their key. Each change writes its buckets into a folder of its own and then one
     small pointer file, which names the folder of every bucket. The pointer is written under another name and renamed,
-    so readers see a whole version or the one before; where two writers race, the second one's rename fails and it
-    raises. The number of buckets is fixed when the table is first written.
+    so readers see a whole version or the one before. Two writers at once must be kept apart by the caller, but where the
+    file system refuses to rename onto a file (HDFS does), the second one raises. The number of buckets is fixed when the
+    table is first written. cut: a pattern that is taken off keys before they are hashed, so that keys of one group (the
+    chunks of an essay) share a bucket. spread: tasks that write a bucket.
     """
 
-    def __init__(self, spark: SparkSession, path: str, key: str = "id", buckets: int = 64):
-        self.spark, self.path, self.key, self.buckets = spark, path.rstrip("/"), key, buckets
+    def __init__(self, spark: SparkSession, path: str, key: str = "id", buckets: int = 64, cut: str | None = None, spread: int = 1):
+        self.spark, self.path, self.key, self.buckets, self.cut, self.spread = spark, path.rstrip("/"), key, buckets, cut, spread
 
     def _fs(self, name: str):
         where = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -74,7 +76,8 @@ class VersionedTable:
         return self.spark.read.schema(schema).parquet(*places) if places else self.spark.createDataFrame([], schema)
 
     def _bucket(self, of: int) -> Column:
-        return F.pmod(F.xxhash64(F.col(self.key).cast("string")), F.lit(of)).cast("int")
+        group = F.col(self.key).cast("string")
+        return F.pmod(F.xxhash64(group if self.cut is None else F.regexp_replace(group, self.cut, "")), F.lit(of)).cast("int")
 
     def _commit(self, at: dict, rows: DataFrame | None, touched: list[int], meta: dict | None) -> int:
         v = self.version() + 1
@@ -83,7 +86,7 @@ class VersionedTable:
         schema = at["schema"]
         if rows is not None:
             schema = json.dumps(rows.schema.jsonValue())
-            rows.withColumn("bucket", self._bucket(at["of"])).repartition(max(1, len(touched)), "bucket").write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
+            rows.withColumn("bucket", self._bucket(at["of"])).repartition(max(1, len(touched) * self.spread), "bucket", F.pmod(F.xxhash64(self.key), F.lit(self.spread))).write.partitionBy("bucket").parquet(f"{self.path}/{folder}")
             fs, where = self._fs(folder)
             names = [f.getPath().getName() for f in fs.listStatus(where)]
             buckets |= {n.split("=")[1]: folder for n in names if n.startswith("bucket=")}
@@ -135,6 +138,10 @@ class VersionedTable:
         old = self.read(only=self._touched(ids, at["of"])) if at["schema"] else None
         return ids if old is None else ids.select(self.key).join(old, self.key, "left")
 
+    def beside(self, ids: DataFrame) -> DataFrame | None:
+        """All rows that may be of the groups of `ids`: those of their buckets, or the whole table where keys have no groups."""
+        return self.read(only=None if self.cut is None else self._touched(ids, self.pointer()["of"]))
+
     def vacuum(self, keep: int = 2) -> int:
         """Delete the folders that the last `keep` versions don't name, and the other pointers; how many folders went.
 
@@ -166,8 +173,8 @@ def read_manifest(remote: DataFrame | None, local: str | None, defaults: dict) -
 
 def appended(table: VersionedTable, rows: DataFrame) -> int:
     """New messages or conversations, whose ids must not exist yet."""
-    old = table.read()
-    if old is not None and old.join(rows.select(table.key), table.key, "left_semi").limit(1).count():
+    old = table.read(only=table._touched(rows, table.pointer()["of"]))
+    if rows.groupBy(table.key).count().where("count > 1").limit(1).count() or old is not None and old.join(rows.select(table.key), table.key, "left_semi").limit(1).count():
         raise ValueError("ids exist already")
     return table.upsert(rows)
 
