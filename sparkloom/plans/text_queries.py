@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import sentences, text
-from sparkloom.operators import answer, chunking, conversations, embeddings, models, retrieve, sagas, terms
+from sparkloom.operators import answer, chunking, conversations, embeddings, models, postings, retrieve, sagas, terms
 from sparkloom.sources.scratch import stored
 
 from .index_queries import BEST, MATCH, TERMS, VEC_ID
@@ -205,6 +205,18 @@ def relevance_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("relevance"), "doc_id")))
 
 
+@query(f"""WITH {TERMS}, r AS (SELECT item_id AS query_id, doc_id, round({MATCH.format("lower(coalesce(text, ''))")} * 10 + length(coalesce(text, '')) / 1000000.0 - CASE WHEN source = 'src1' THEN 8 ELSE 0 END, 6)::DOUBLE AS relevance FROM documents, terms),
+o AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY relevance DESC, doc_id)::INTEGER AS rank FROM r) SELECT * FROM o WHERE rank <= 10""")
+def corpus_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the whole corpus that are most relevant to each benchmark text."""
+    asked_ = stored(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), terms.literal_terms(F.col("text")).alias("terms")))
+    body = F.coalesce("text", F.lit(""))
+    base = F.round(postings.base_score(F.length(body) / 1000000.0, F.coalesce(F.col("source") == "src1", F.lit(False))), 6)
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("doc"), body.alias("body"), base.alias("base"))
+    found = postings.Postings(docs, asked_.select(F.explode("terms").alias("term"))).top(asked_, 10)
+    return found.select("query_id", F.col("doc").alias("doc_id"), F.round("score", 6).alias("relevance"), "rank")
+
+
 @query(f"SELECT page_id, {sql_chain('html', text.LINE_RULES)} AS plain FROM pages")
 def strip_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", text.plain_line(F.col("html")).alias("plain"))
