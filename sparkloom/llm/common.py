@@ -31,6 +31,19 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
+def free_name(df: DataFrame, base: str) -> str:
+    """A column name that `df` doesn't have, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base
+
+
+def packed_row(df: DataFrame) -> Column:
+    """All columns of `df` as one struct, out of the way of names that an operator uses."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns])
+
+
 def scratch_dir(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder that the session names."""
     return f"{base_dir(spark)}/sparkloom-{uuid.uuid4().hex}"

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, guarded, mix64, slices, string_buffers, word_bounds, word_hashes, written
+from .common import documents, guarded, mix64, packed_row, slices, string_buffers, word_bounds, word_hashes, written
 from .components import connected_components
 
 #: Bits of an n-gram's hash; a slice's text number goes above them while it is sorted.
@@ -456,16 +456,17 @@ def jaccard_components(docs: DataFrame, key: str = "doc_id", text: str = "text",
 def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = 5, threshold: float = 0.8) -> DataFrame:
     """`docs` with one row of each component: the smallest key's, and of several such rows one.
 
-    Texts without words are components of their own and stay; so do null-key rows of components without any key.
+    Texts without words are components of their own and stay; so do null-key rows of components without any key. Null texts
+    count as empty, an empty table stays empty, and columns of any names pass through.
     """
     found = jaccard_components(docs, key, text, n, threshold).where("doc_id <=> component_id")
     sure = "n_shingles > 0 AND doc_id IS NOT NULL"
     pick = found.where(sure).groupBy("doc_id").agg(F.min("text_hash").alias("text_hash"))
     pick = pick.unionByName(found.where(f"NOT ({sure})").select("doc_id", "text_hash").distinct())
-    pick = pick.select(F.col("doc_id").alias("__key"), F.col("text_hash").alias("__kept"))
-    rows = docs.withColumn("__hash", F.xxhash64(F.coalesce(F.col(text), F.lit(""))))
-    stay = rows.join(pick, F.col(key).eqNullSafe(F.col("__key")) & (F.col("__hash") == F.col("__kept")), "left_semi")
-    return stay.dropDuplicates([key, "__hash"]).drop("__hash")
+    pick = pick.select(F.col("doc_id").alias("key"), F.col("text_hash").alias("kept"))
+    rows = docs.select(F.col(key).alias("own"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("hash"), packed_row(docs).alias("row"))
+    stay = rows.join(pick, F.col("own").eqNullSafe(F.col("key")) & (F.col("hash") == F.col("kept")), "left_semi")
+    return stay.dropDuplicates(["own", "hash"]).select("row.*")
 
 
 def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

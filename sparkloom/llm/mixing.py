@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, documents, written
+from .common import WORD, documents, free_name, packed_row, written
 
 #: Sources take these weights in turn, by code point, the null source last.
 WEIGHTS = (1, 2, 3)
@@ -73,9 +73,11 @@ def with_copies(docs: DataFrame, key: str = "doc_id", text: str = "text", source
 
 
 def mix_sources(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 17) -> DataFrame:
-    """The mix itself: each row of `docs` as often as with_copies() says, with the columns of `docs`."""
-    rows = with_copies(docs, key, text, source, seed).where("__copies > 0")
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int")))).select(*docs.columns)
+    """The mix itself: each row of `docs` as often as with_copies() says, with the columns of `docs`, whatever their names."""
+    row, copy = free_name(docs, "row"), free_name(docs, "copy")
+    own = docs.select(*dict.fromkeys([key, text, source]), packed_row(docs).alias(row))
+    rows = with_copies(own, key, text, source, seed).where("__copies > 0")
+    return rows.select(row, F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))).alias(copy)).select(f"{row}.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -161,6 +161,7 @@ def piece_sums(decoded: DataFrame, key: str = "doc_id") -> DataFrame:
 
 
 def op4_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every document; nulls, ties and empty tables as encode_pieces() says."""
     import public_tokenizers
 
     model = public_tokenizers.path("piece_bpe_32k.model")

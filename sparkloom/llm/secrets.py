@@ -116,7 +116,7 @@ def secret_spans(docs: DataFrame, keep: list[str], text: str = "text", reach: in
     body = text_or_empty(text)
     base = F.array_sort(F.concat(*[spans(k, body) for k in KINDS[:3]]))
     keep = [c for c in keep if c not in ("base_spans", "secret_spans")]
-    own = F.struct(F.lit(0).alias("__row"), *[F.col(c) for c in keep]).alias("__kept")  # away from the names used below
+    own = F.struct(F.lit(0).alias("__row"), *[F.col(f"`{c}`") for c in keep]).alias("__kept")  # away from the names used below
     found = docs.select(own, base.alias("base_spans"), body.alias("__text"))
     sure = F.size(F.filter("base_spans", lambda s: s["kind"] < KINDS.index("hex"))) > 0
     weak = F.when(sure, F.concat(*[spans(k, F.col("__text")) for k in KINDS[3:]])).otherwise(F.array().cast(SPAN))

@@ -229,7 +229,9 @@ def train(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
 
 
 def with_scores(docs: DataFrame, model: Model, text: str = "text", column: str = "toxicity") -> DataFrame:
-    """`docs` with a score from 0 to 1. Null texts count as empty; rows are independent."""
+    """`docs` with a score from 0 to 1. Null and empty texts have scores too; rows are independent, so ties, repeated rows
+    and null keys need nothing, and an empty table stays empty. A column of the new one's name is replaced; others of any
+    name pass through."""
     schema = docs.drop(column).withColumn(column, F.lit(None).cast("double")).schema
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -241,6 +243,7 @@ def with_scores(docs: DataFrame, model: Model, text: str = "text", column: str =
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract's columns of every document; nulls, ties and empty tables as train() and with_scores() say."""
     docs = documents(spark, sf_dir, "doc_id", "text")
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scores = with_scores(docs, model).drop("text")

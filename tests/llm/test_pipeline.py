@@ -52,3 +52,21 @@ def test_empty_documents(spark, tmp_path):
     for _, stage in corpus_pipeline.STAGES:
         docs = written(stage(spark, docs, SMALL))
     assert docs.count() == 0
+
+
+def test_awkward_rows_and_names(spark):
+    """Nulls, empty and long texts, repeated rows and columns with the operators' own names, through every stage."""
+    from .helpers import rows
+
+    names = ("__key", "__kept", "__hash", "__score", "score", "__size", "__copies", "__copy", "row", "own", "hash", "key", "kept", "component", "Text_hash")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{n}` string" for n in names)
+    data = [(*r[:5], *names) for r in rows()] + [(900, "password=hunter22 " + "many words here " * 200_000, "en", None, 3, *names)]
+    docs = spark.createDataFrame(data, schema).repartition(3)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before = docs.count()
+        docs = written(stage(spark, docs, SMALL))
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars", *names], name
+        assert all(r["__key"] == "__key" and r["Text_hash"] == "Text_hash" and r["__size"] == "__size" for r in docs.collect()), name
+        assert name == "mixing" or docs.count() <= before
+    assert "<assign>" in {r["text"][:8] for r in docs.where("doc_id = 900").collect()}
+    assert written(corpus_pipeline.STAGES[-1][1](spark, docs, SMALL)).columns == ["doc_id", "source", "n_tokens", "piece_ids"]
