@@ -1,4 +1,8 @@
-"""From documents to token ids: each stage is a Parquet table that the next one reads."""
+"""From documents to token ids: each stage is a Parquet table that the next one reads.
+
+Every stage takes null and empty texts as texts without words, keeps repeated rows as its operator says, gives an empty
+table for an empty one and passes columns of any names through (the last one returns its own).
+"""
 
 from __future__ import annotations
 
@@ -6,17 +10,24 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.llm import jaccard, mixing, pieces, secrets, toxicity
-from sparkloom.llm.common import documents, written
+from sparkloom.llm.common import documents, free_name, written
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose toxicity is below the threshold; the model learns from the labelled training rows among `docs`."""
+    """Documents whose toxicity is below the threshold; the model learns from the labelled training rows among `docs`.
+
+    Empty texts have scores like others; equal texts stay or go together.
+    """
     model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return toxicity.with_scores(docs, model, column="__score").where(F.col("__score") < toxicity.THRESHOLD).drop("__score")
+    score = free_name(docs, "score")
+    return toxicity.with_scores(docs, model, column=score).where(F.col(score) < toxicity.THRESHOLD).drop(score)
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the smallest doc_id, of each component of sets of five-word shingles 0.8 or more alike."""
+    """One document, the one with the smallest doc_id, of each component of sets of five-word shingles 0.8 or more alike.
+
+    Texts without words stay; of rows with one doc_id and one text a single row stays.
+    """
     return jaccard.one_of_each(docs)
 
 
@@ -25,16 +36,16 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     found = secrets.secret_spans(docs, docs.columns)
     changed = F.size("secret_spans") > 0
     cleaned = found.withColumn("text", secrets.redact(F.col("text"), F.col("secret_spans")))
-    return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    return cleaned.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*[f"`{c}`" for c in docs.columns])
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the sources' target weights ask for."""
+    """Each document as often as the sources' target weights ask for; texts without words add none and go."""
     return mixing.mix_sources(docs)
 
 
 def pieces_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source, n_tokens and piece_ids of every copy, with an end id each."""
+    """doc_id, source, n_tokens and piece_ids of every copy, with an end id each; an empty text has the end id alone."""
     import public_tokenizers
 
     encoded = pieces.encode_pieces(docs.select("doc_id", "source", "text"), public_tokenizers.path("piece_bpe_32k.model"))
