@@ -33,6 +33,8 @@ INITIAL, FINAL = "initial algebra catamorphism fold F-algebra μF", "final coalg
 SUFFIXES = "morphism algebra omorphism ification escence ulation unction osis ism ogy ion".split()
 WORD, LONG_WORD = r"(?<![a-z0-9_])([a-z]{3,})(?![a-z0-9_])", r"(?<![a-z0-9_])([a-z][a-z0-9-]{3,})(?<=[a-z0-9])(?![a-z0-9_])"
 BOOST, OVERLAP, INDEX_PENALTY, EDITS = 0.2, 10, 8, 2
+#: Letters of a word that the keys of its neighbourhood are made of; more than EDITS.
+REACH = 8
 
 
 def glossary(spark: SparkSession) -> DataFrame:
@@ -63,14 +65,37 @@ def short_aliases(terms: DataFrame) -> DataFrame:
     return claims.where(good).groupBy("alias").agg(F.count_distinct("term").alias("n"), F.min("term").alias("term")).where("n = 1").select("alias", "term")
 
 
-def fuzzy_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
-    """word, term: words (a column word) within two edits of a glossary term, by a join on what is left of them.
+def _shortened(word: Column) -> Column:
+    """All that a word becomes by losing one letter."""
+    places = F.when(F.length(word) > 0, F.sequence(F.lit(1), F.length(word))).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+
 
-    Words of a pair differ by at most two edits, so their lengths by at most two: lengths are the join's key.
+def remainders(word: Column, edits: int = EDITS, reach: int = REACH) -> Column:
+    """What the first `reach` letters of a word become by losing up to `edits` of them.
+
+    Two words within so many edits share one: in their best alignment each edit takes at most one letter of either side,
+    and a letter whose partner lies beyond the reach is paid for by a letter that came in before it.
     """
-    near = terms.select(F.col("term"), F.explode(F.sequence(F.length("term") - EDITS, F.length("term") + EDITS)).alias("len"))
-    words = words.select("word").distinct().where(~F.col("word").isin(STOP_WORDS))
-    return words.withColumn("len", F.length("word")).join(near, "len").where((F.col("word") == F.col("term")) | F.levenshtein("word", "term", EDITS).between(0, EDITS)).select("word", "term")
+    forms = F.array(F.substring(word, 1, reach))
+    every = forms
+    for _ in range(edits):
+        forms = F.array_distinct(F.flatten(F.transform(forms, _shortened)))
+        every = F.concat(every, forms)
+    return F.array_distinct(every)
+
+
+def fuzzy_candidates(words: DataFrame, terms: DataFrame, edits: int = EDITS) -> DataFrame:
+    """word, term: pairs that share a remainder and whose lengths differ by `edits` at most."""
+    keyed = lambda df, c: df.select(c).distinct().select(c, F.explode(remainders(F.col(c), edits)).alias("rest"))
+    near = F.abs(F.length("word") - F.length("term")) <= edits
+    return keyed(words, "word").join(keyed(terms, "term"), "rest").where(near).select("word", "term").distinct()
+
+
+def fuzzy_terms(words: DataFrame, terms: DataFrame) -> DataFrame:
+    """word, term: words (a column word) within two edits of a glossary term; only pairs that share a remainder are compared."""
+    pairs = fuzzy_candidates(words.where(~F.col("word").isin(STOP_WORDS)), terms)
+    return pairs.where(F.levenshtein("word", "term", EDITS).between(0, EDITS))
 
 
 def resolve_tokens(tokens: DataFrame, terms: DataFrame, aliases: DataFrame) -> DataFrame:
