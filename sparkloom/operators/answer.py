@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.functions.sentences import passage, sentences
+from sparkloom.functions.sentences import passage, split_sentences
 
 from .terms import INDEX_PENALTY, OVERLAP
 
@@ -53,13 +53,12 @@ def window_around(text: str, terms: list[str], most: int = WINDOW) -> str | None
     return cut if len(cut) > 20 else clean[:most]
 
 
-def extract(terms: list[str], ranked: list[tuple[str, str]]) -> str:
-    """Two or three sentences from chunks (heading, text) in order of relevance."""
+def extract(terms: list[str], ranked: list[tuple[str, str, list[str]]]) -> str:
+    """Two or three sentences from chunks (heading, text, sentences) in order of relevance."""
     out: list[str] = []
-    for heading, text in ranked:
+    for heading, text, found in ranked:
         if terms and not any(hits_term(t, f"{heading or ''} {text}") for t in terms):
             continue
-        found = sentences(text)
         if terms:
             found = [s for s in found if any(hits_term(t, s) for t in terms)] or [w for w in [window_around(text, terms)] if w]
         for s in found[:2]:
@@ -72,7 +71,7 @@ def extract(terms: list[str], ranked: list[tuple[str, str]]) -> str:
 
 @F.pandas_udf(T.StringType())
 def extractive_answers(terms: pd.Series, chunks: pd.Series) -> pd.Series:
-    return pd.Series([extract(list(t), [(c["heading"], c["text"]) for c in cs]) for t, cs in zip(terms, chunks, strict=True)])
+    return pd.Series([extract(list(t), [(c["heading"], c["text"], list(c["sentences"])) for c in cs]) for t, cs in zip(terms, chunks, strict=True)])
 
 
 def extractive(rows: DataFrame) -> DataFrame:
@@ -80,11 +79,20 @@ def extractive(rows: DataFrame) -> DataFrame:
 
     Index pages count only where a query has nothing else.
     """
-    kept = rows.groupBy("query_id").agg(F.first("terms").alias("terms"), F.array_sort(F.collect_list(F.struct("rank", "heading", "text", "is_index"))).alias("c"))
+    chunk = F.struct("rank", "heading", "text", "is_index", split_sentences("text").alias("sentences"))
+    kept = rows.groupBy("query_id").agg(F.first("terms").alias("terms"), F.array_sort(F.collect_list(chunk)).alias("c"))
     proper = F.filter("c", lambda x: ~x["is_index"])
     return kept.select("query_id", extractive_answers("terms", F.when(F.size(proper) > 0, proper).otherwise(F.col("c"))).alias("answer"))
 
 
+def sentences_of(texts: list[str]) -> list[list[str]]:
+    """Sentences of one request's few texts."""
+    from pyspark.sql import SparkSession
+
+    rows = SparkSession.active().createDataFrame(list(enumerate(texts)), "i int, text string").select("i", split_sentences("text").alias("s")).collect()
+    return [list(r["s"]) for r in sorted(rows)]
+
+
 def mentions(terms: list[str], answer: str) -> bool:
     return any(hits_term(t, answer) for t in terms) if terms else len(answer) >= 40
 
@@ -157,7 +165,7 @@ def answer(question: str, terms: list[str], chunks: list[dict], candidates: list
         return said(NOTHING, "empty")
     ranked = sorted(chunks, key=lambda c: -relevance(terms, c))
     proper = [c for c in ranked if not c.get("is_index")] or ranked
-    extracted = extract(terms, [(c.get("heading"), c["text"]) for c in proper])
+    extracted = extract(terms, [(c.get("heading"), c["text"], split) for c, split in zip(proper, sentences_of([c["text"] for c in proper]), strict=True)])
     if generate is None or not confident:
         return said(extracted, "extractive")
     try:
