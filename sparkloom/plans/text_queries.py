@@ -299,7 +299,32 @@ def size_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").groupBy(text.size_bucket(F.floor(F.col("n_chars") / 500)).alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query()
+def _again(column: str, pattern: str, by: str, times: int = 2) -> str:
+    """A replacement whose matches may touch: what the first pass has eaten the next one sees."""
+    for _ in range(times):
+        column = f"regexp_replace({column}, '{pattern}', '{by}', 'g')"
+    return column
+
+
+_W, _P, _C, _J = "\ufdd0", "\ufdd5", "\ufdd4", "\ufdd3"  # in addresses, inside of words, a cut, a cut taken back
+_SHELTER = f"array_to_string(list_transform(between, lambda b, i: b || coalesce(translate(found[i], '.!?\u2026', '{_W}\ufdd1\ufdd2\ufdd6'), '')), '')"
+_ADDRESS = r"(?i)\b(?:https?://|ftp://|www\.)[^\s<>)\"\x27]+|\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b"
+_STOPS_IN = _again(_again(_again(_again(_SHELTER, r"([0-9])\.([0-9])", rf"\1{_P}\2"), r"([A-Za-z0-9])\.([A-Za-z])", rf"\1{_P}\2"), rf"([.{_P}{_W}])\.", rf"\1{_P}"), rf"\.([.{_P}{_W}])", rf"{_P}\1")
+_STOPS_IN = _again(_STOPS_IN, r"(^|[\s(\"\x27])(\p{L})\.(\s{1,2}\p{Lu})", rf"\1\2{_P}\3", 3)
+_STOPS_IN = _again(_STOPS_IN, rf"(?i)(^|[^a-z])({'|'.join(sentences.ABBREVIATIONS).replace('.', f'[{_P}{_W}]')})\.", rf"\1\2{_P}")
+_CUTS = _again(_again("t", r"([!?\u2026][\"\x27)\]]*)\s+(\S)".replace("\\u2026", "\u2026"), rf"\1{_C}\2"), r"(\.[\"\x27)\]]*)\s+([\p{Lu}\"\u00ab])".replace("\\u00ab", "\u00ab"), rf"\1{_C}\2")
+_JOINS = _again("t", rf"{_C}([^{_C}{_J}]{{1,7}}|[)\]\"\x27\u00bb\u2014\u2013-]+)({_C}|{_J}|$)".replace("\\u00bb", "\u00bb").replace("\\u2014", "\u2014").replace("\\u2013", "\u2013"), rf"{_J}\1\2", 2)
+
+
+@query(f"""WITH p AS (SELECT doc_id, {sql_chain("translate(coalesce(text, ''), '" + sentences.SPACES + "', '" + " " * len(sentences.SPACES) + "')", text.PASSAGE_RULES)} AS t FROM documents),
+e AS (SELECT doc_id, regexp_replace(regexp_replace(t, '\\.{{3,}}', '\u2026', 'g'), '([!?])[!?]+', '\\1', 'g') AS t FROM p),
+a AS (SELECT doc_id, string_split_regex(t, '{_ADDRESS}') AS between, regexp_extract_all(t, '{_ADDRESS}') AS found FROM e),
+m AS (SELECT doc_id, {_STOPS_IN} AS t FROM a), c AS (SELECT doc_id, {_CUTS} AS t FROM m), j AS (SELECT doc_id, {_JOINS} AS t FROM c),
+s AS (SELECT doc_id, t, regexp_extract_all(t, '(?s)(.{{12,}}?)(?:{_C}|$)', 1) AS parts FROM j),
+r AS (SELECT doc_id, parts, substr(t, 1 + coalesce(list_sum(list_transform(parts, lambda x: length(x) + 1)), 0)::BIGINT) AS rest FROM s),
+w AS (SELECT doc_id, CASE WHEN rest = '' THEN parts WHEN len(parts) = 0 THEN [rest] ELSE parts[1:len(parts) - 1] || [parts[-1] || ' ' || rest] END AS parts FROM r),
+x AS (SELECT doc_id, list_filter(list_transform(parts, lambda x: translate(x, '{_W}{_P}\ufdd1\ufdd2\ufdd6{_C}{_J}', '..!?\u2026  ')), lambda x: length(x) >= 8) AS found FROM w)
+SELECT doc_id, len(found)::INTEGER AS n_sentences, sha256(array_to_string(found, chr(10))) AS sha256 FROM x""")
 def sentence_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = table(spark, sf_dir, "documents").select("doc_id", sentences.split_sentences("text").alias("s"))
     return found.select("doc_id", F.size("s").alias("n_sentences"), F.sha2(F.array_join("s", "\n"), 256).alias("sha256"))

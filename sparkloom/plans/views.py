@@ -14,7 +14,12 @@ PATH = """CASE WHEN lang = 'en' AND source = 'src1' THEN concat('content/posts/e
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the driver's. Texts that lie in fewer splits than there are cores, as in a file of one row group, are
+    dealt out first, since what is done with each of them takes longer than moving it; larger tables are read in place."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    if name == "documents" and rows.rdd.getNumPartitions() < spark.sparkContext.defaultParallelism:
+        return rows.repartition(spark.sparkContext.defaultParallelism, "doc_id")
+    return rows
 
 
 def essays(spark: SparkSession, sf_dir: str) -> DataFrame:
