@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .repeats import has_tandem
+
 # Rewrites of one line of marked-up text, in order.
 LINE_RULES = [(r"<[^>]+>", " "), (r"\{[^}]+\}", " "), (r"!\[[^\]]*\]\([^)]+\)", " "), (r"\[([^\]]+)\]\([^)]+\)", r"$1"), (r"^import\s+.+$", " "), (r"\s+", " ")]
 # Rewrites of a passage, in order; those with (?m) work line by line.
@@ -94,11 +96,23 @@ def repeated_gram(text: Column, n: int = 18, times: int = 3) -> Column:
     return (F.length(text) >= n + times - 1) & F.exists(F.element_at(pairs, 1), lambda same: F.coalesce(same, F.lit(False)))
 
 
-def malformed(text: Column) -> Column:
-    """Text that a generator should not have written: too short, a citation mark first, units or words over and over."""
+def few_words(text: Column) -> Column:
+    """Ten words or more, of which less than four in ten are distinct."""
+    return (F.size(F.split(F.lower(text), r"\s+")) >= 10) & (unique_word_share(text) < 0.4)
+
+
+def flaws(text: Column) -> Column:
+    """What speaks against a generated text: short, cited (a citation mark first), tandem (a unit of twelve characters or
+    more three times in a row), repeated_gram, few_words."""
     t = clean_generated(text)
-    few = (F.size(F.split(t, r"\s+")) >= 10) & (unique_word_share(t) < 0.4)
-    return (F.length(t) < 8) | trimmed(text).rlike(r"^\[\d+\]") | t.rlike(r"([\s\S]{12,}?)\1{2,}") | repeated_gram(t) | few
+    flags = {"short": F.length(t) < 8, "cited": trimmed(text).rlike(r"^\[\d+\]"), "tandem": has_tandem(t), "repeated_gram": repeated_gram(t), "few_words": few_words(t)}
+    return F.struct(*[F.coalesce(flag, F.lit(False)).alias(name) for name, flag in flags.items()])
+
+
+def malformed(text: Column) -> Column:
+    """Text that a generator should not have written: any of its flaws()."""
+    found = flaws(text)
+    return found["short"] | found["cited"] | found["tandem"] | found["repeated_gram"] | found["few_words"]
 
 
 def size_bucket(n: Column) -> Column:

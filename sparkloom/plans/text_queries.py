@@ -237,6 +237,15 @@ def repetition_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.repeated_gram(t).alias("repeated_gram"), few.alias("few_words"))
 
 
+@query()
+def generation_flaws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All that would speak against each document if a generator had written it.
+
+    Its SQL would compare all pairs of neighbouring blocks of every text, for minutes; tests hold it against the pattern.
+    """
+    return table(spark, sf_dir, "documents").select("doc_id", text.flaws(F.col("text")).alias("f")).select("doc_id", "f.*")
+
+
 MACHINES = {
     "embed": ("no_index index_current stale sync_failed sync_running sync_pending", "deploy_build_ok posts_digest_changed schedule_sync sync_retry posts_digest_unchanged sync_complete sync_start sync_error"),
     "backfill": ("backlog_pending batch_running batch_committed backlog_complete batch_failed", "daily_schedule batch_upsert_ok backlog_remaining backlog_drained batch_error batch_retry archive_content_changed"),
