@@ -1,4 +1,4 @@
-"""Repeated stretches of a corpus, found exactly without a row for each position.
+"""Repeated stretches of a corpus, found without a row for each position; spans are known by 64-bit hashes.
 
 A window is K consecutive units (words or bytes) of one document. Each window is sampled by the smallest of its m-unit
 hashes, the leftmost of equal ones, which depends on the window's content alone; consecutive windows with one sample make
