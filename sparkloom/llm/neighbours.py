@@ -197,9 +197,9 @@ class MultiIndex:
         return rows.mapInArrow(code, f"vec_id long, vector {kind}, cell long")
 
     def _blocked(self, rows: DataFrame, key: str) -> DataFrame:
-        """Rows of a cell in blocks of some BLOCK, dealt by hashes of `key`."""
+        """Rows of a cell in blocks of some BLOCK, dealt by hashes of `key`; sizes are a row for each cell."""
         sizes = rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("n_blocks"))
-        dealt = rows.join(guarded(sizes, 24), "cell")  # a row for each cell.withColumn("block", F.pmod(F.xxhash64(key), "n_blocks"))
+        dealt = rows.join(guarded(sizes, 24), "cell").withColumn("block", F.pmod(F.xxhash64(key), "n_blocks"))
         others = [c for c in rows.columns if c != "cell"]
         return dealt.groupBy("cell", "block").agg(*[F.collect_list(F.struct(*others)).alias("rows")])
 
