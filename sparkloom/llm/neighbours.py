@@ -33,7 +33,7 @@ PER_CELL, MOST = 64, 1024
 SHARE, LARGE, LEVELS = 256, 8192, 4
 #: Entries that a query looks at in any case, and how many times as many it has looked at after each further round.
 LEAST, FURTHER = 1000, 4
-MISSED = 0.15
+MISSED = 0.05
 #: Entries and queries of a block.
 BLOCK = 256
 TOP = 10
