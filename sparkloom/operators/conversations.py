@@ -84,6 +84,15 @@ def orphans(messages: DataFrame, conversations: DataFrame, conversation: str = "
     return messages.join(conversations, conversation, "left_anti")
 
 
+def forgotten(conversations: VersionedTable, messages: VersionedTable, ids: DataFrame) -> None:
+    """Delete conversations (a column id) and all their messages, those first, so that none is left without its conversation."""
+    old = messages.read()
+    if old is not None:
+        mine = old.join(ids.select(F.col("id").alias("conversation_id")).distinct(), "conversation_id", "left_semi")
+        messages.delete(mine.select(messages.key))
+    conversations.delete(ids)
+
+
 def system_prompt(context: Column) -> Column:
     return F.concat(F.lit(INSTRUCTION + "\n\nRetrieved passages:\n"), F.coalesce(context, F.lit(NO_PASSAGES)))
 
