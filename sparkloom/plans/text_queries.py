@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import sentences, text
-from sparkloom.operators import answer, chunking, conversations, embeddings, models, postings, retrieve, sagas, terms
+from sparkloom.operators import answer, chunking, conversations, embeddings, models, paging, postings, retrieve, sagas, terms
 from sparkloom.sources.scratch import stored
 
 from .index_queries import BEST, MATCH, TERMS, VEC_ID
@@ -34,6 +34,13 @@ def messages_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.messages_page(messages(spark, sf_dir), 4)
 
 
+@query(f"WITH {MESSAGES_SQL}, r AS (SELECT *, {RANKED.format('ord')} - 1 AS n FROM messages) SELECT conversation_id, ord, role, content, (n // 3)::INTEGER AS page FROM r")
+def message_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message with its page of three, by a table of page boundaries."""
+    rows = messages(spark, sf_dir)
+    return paging.pages(rows, stored(paging.marks(rows, 3)))
+
+
 def cursors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return messages(spark, sf_dir).groupBy("conversation_id").agg(F.max("ord").alias("before"))
 
