@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,8 +30,17 @@ SHIFT = 2
 LUMA, WIDEST = 4, 4095
 
 
-def _table(lengths: dict[int, int]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of code lengths by symbol: the segment's bytes, codes and lengths by symbol, symbols and lengths by the next 16 bits."""
+def _direct(symbols: np.ndarray, widths: np.ndarray) -> np.ndarray:
+    """By the next 16 bits: a coefficient without a run before it, times 32, and how many bits it takes in all; 0 for others."""
+    ahead, size = np.arange(1 << 16), symbols & 15
+    some = (symbols >> 4 == 0) & (size > 0) & (widths > 0) & (widths + size <= 16)
+    value = Bits.extend((ahead << widths & 0xFFFF) << 8, size)
+    return np.where(some, value << 5 | widths + size, 0).astype(np.int32)
+
+
+def _table(lengths: dict[int, int]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of code lengths by symbol: the segment's bytes, codes and lengths by symbol, symbols and lengths by the next 16 bits,
+    and coefficients by them."""
     order = sorted(lengths, key=lambda s: (lengths[s], s))
     counts = bytes(sum(lengths[s] == n for s in order) for n in range(1, 17))
     codes, sizes = np.zeros(256, np.int64), np.zeros(256, np.int64)
@@ -43,11 +53,7 @@ def _table(lengths: dict[int, int]) -> tuple[bytes, np.ndarray, np.ndarray, np.n
         symbols[code << (16 - last) : (code + 1) << (16 - last)] = s
         widths[code << (16 - last) : (code + 1) << (16 - last)] = last
         code += 1
-    return counts + bytes(order), codes, sizes, symbols, widths
-
-
-DC = _table(dict.fromkeys(range(12), 4))
-AC = _table({s: 4 if s == 0 or s >> 4 == 0 and s <= 8 else 6 if s >> 4 == 1 and s & 15 <= 4 else 9 for s in [*(r << 4 | n for r in range(16) for n in range(1, 11)), *(r << 4 for r in range(16))]})
+    return counts + bytes(order), codes, sizes, symbols, widths, _direct(symbols, widths)
 
 
 def bit_size(v: np.ndarray) -> np.ndarray:
@@ -55,23 +61,25 @@ def bit_size(v: np.ndarray) -> np.ndarray:
 
 
 def packed(values: np.ndarray, lengths: np.ndarray, block: np.ndarray, n_blocks: int) -> tuple[np.ndarray, np.ndarray]:
-    """Bit strings, in order and given by block, as bytes; each block is filled up with ones. Also each block's end."""
-    ends = np.cumsum(lengths)
+    """Bit strings of 1 to 56 bits, in order and given by block, as bytes; each block is filled up with ones. Also each
+    block's end."""
     bits = np.bincount(block, lengths, n_blocks).astype(np.int64)
     n_bytes = (bits + 7) // 8
     stops = np.cumsum(n_bytes)
-    first_bit = np.cumsum(bits) - bits
-    at = ends - lengths - first_bit[block] + 8 * (stops - n_bytes)[block]
-    wide = values.astype(np.int64) << (32 - lengths - (at & 7))
-    out = np.zeros(int(stops[-1]) + 4 if n_blocks else 4, np.float64)
-    for i in range(4):
-        part = (wide >> (24 - 8 * i)) & 255
-        some = np.flatnonzero(part)
-        out += np.bincount((at[some] >> 3) + i, part[some], len(out))
-    data = out[: int(stops[-1]) if n_blocks else 0].astype(np.uint8)
-    fill = 8 * n_bytes - bits
+    if not len(values):
+        return np.zeros(0, np.uint8), stops
+    at = np.cumsum(lengths) - lengths
+    at += (8 * (stops - n_bytes) - np.cumsum(bits) + bits)[block]
+    word, inside = at >> 6, (at & 63).astype(np.uint64)
+    left = values.astype(np.uint64) << (64 - lengths).astype(np.uint64)
+    begins = np.concatenate([[0], np.flatnonzero(word[1:] != word[:-1]) + 1])  # each word has a begin: gaps are short
+    out = np.zeros(len(begins) + 1, np.uint64)
+    out[:-1] = np.bitwise_or.reduceat(left >> inside, begins)
+    last = np.append(begins[1:], len(at)) - 1  # what of a word's last string goes into the next word
+    out[1:] |= left[last] << (np.uint64(63) - inside[last]) << np.uint64(1)
+    data = out.astype(">u8").view(np.uint8)[: int(stops[-1])]
     some = n_bytes > 0
-    data[stops[some] - 1] |= ((1 << fill[some]) - 1).astype(np.uint8)
+    data[stops[some] - 1] |= ((1 << (8 * n_bytes - bits)[some]) - 1).astype(np.uint8)
     return data, stops
 
 
@@ -92,17 +100,19 @@ def ac_bits(coefs: np.ndarray, start: int, stop: int, high: int, low: int) -> tu
     """
     band = coefs[:, start : stop + 1]
     width, n = band.shape[1], len(band)
+    if not high and n and 0 < (band.min() >> low) and (band.max() >> low) < 256:  # every coefficient is new: no runs, no ends
+        fours = np.zeros((n, -(-width // 4) * 4), np.uint8)
+        fours[:, :width] = band >> low
+        two = PAIRS[fours.view("<u2")]
+        one, two = two[:, ::2], two[:, 1::2]
+        more = two & 31
+        return ((one >> 5).astype(np.uint64) << more | two >> 5).ravel(), ((one & 31) + more).astype(np.int64).ravel(), np.repeat(np.arange(n), fours.shape[1] // 4)
     size_now = np.abs(band) >> low
     known = (np.abs(band) >> high > 0) if high else np.zeros(band.shape, bool)
     new = (size_now > 0) & ~known
     block, k = np.nonzero(new)
     last = np.full(n, -1)
     last[block] = k
-    if not high and len(block) == n * width:  # every coefficient is new: no runs, no ends
-        v = band.ravel()
-        size = bit_size(v >> low if (v > 0).all() else np.sign(v) * (np.abs(v) >> low))
-        m = np.sign(v) * (np.abs(v) >> low)
-        return AC[1][size] << size | np.where(m < 0, m + (1 << size) - 1, m), AC[2][size] + size, np.repeat(np.arange(n), width)
     zero = ~new & ~known
     zeros = np.cumsum(zero, axis=1)
     since = np.zeros(len(block), np.int64)  # zeros up to the previous new one of the block
@@ -157,16 +167,16 @@ def packed_scan(coefs: np.ndarray, start: int, stop: int, high: int, low: int) -
 
 def stuffed(data: np.ndarray, stops: np.ndarray, restart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """With a zero after each 255, and after each block its restart marker (restart: 0 to 7, or -1 for none)."""
-    full = data == 255
+    full = np.flatnonzero(data == 255)
     marks = restart >= 0
     before = np.cumsum(marks) - marks
-    block = np.repeat(np.arange(len(stops)), np.diff(np.append(0, stops)))
-    at = np.arange(len(data)) + np.cumsum(full) - full + 2 * before[block]
-    fulls = np.concatenate([[0], np.cumsum(full)])[stops]
-    ends = stops + fulls + 2 * (before + marks)
+    ends = stops + np.searchsorted(full, stops) + 2 * (before + marks)
     out = np.zeros(int(ends[-1]) if len(ends) else 0, np.uint8)
-    out[at] = data
+    kept = np.ones(len(out), bool)
+    kept[full + np.arange(1, len(full) + 1) + 2 * before[np.searchsorted(stops, full, "right")]] = False
     place = ends[marks]
+    kept[place - 2] = kept[place - 1] = False
+    out[kept] = data
     out[place - 2] = 255
     out[place - 1] = 0xD0 + restart[marks]
     return out, ends
@@ -183,7 +193,7 @@ def encode_images(payloads: list[bytes]) -> list[bytes]:
     down = [-(-s // a) for s, a in zip(squares, across, strict=True)]
     blocks = np.array([6 * a * d for a, d in zip(across, down, strict=True)])
     begins = np.cumsum(blocks) - blocks
-    coefs = np.zeros((int(blocks.sum()), 64), np.int64)
+    coefs = np.zeros((int(blocks.sum()), 64), np.int16)
     flat = coefs.reshape(-1)
     for p, b in zip(payloads, begins, strict=True):
         flat[b * 64 : b * 64 + len(p)] = np.frombuffer(p, np.uint8)
@@ -214,40 +224,41 @@ def encode_images(payloads: list[bytes]) -> list[bytes]:
 class Image:
     """What an image's segments say, with the places of its scans' data in the slice's bytes."""
 
-    def __init__(self, raw: bytes, base: int, markers: np.ndarray):
+    def __init__(self, raw: bytes, base: int, markers: list[int]):
         self.scans, self.payload, self.restart = [], 0, 0
         tables: dict[int, tuple] = {}
         at = 2
         while raw[at + 1] != 0xD9:
-            marker, size = raw[at + 1], struct.unpack_from(">H", raw, at + 2)[0]
+            marker, size = raw[at + 1], raw[at + 2] << 8 | raw[at + 3]
             body = raw[at + 4 : at + 2 + size]
             at += 2 + size
-            if marker == 0xFE:
+            if marker == 0xDA:
+                n, part, which, start, stop, level = body[:6]
+                if n != 1:
+                    raise ValueError("scans of several components are not supported")
+                end = markers[bisect_left(markers, base + at)] - base
+                table = tables.get(0x10 | which & 15 if start else which >> 4)
+                self.scans.append((numbers[part], start, stop, level >> 4, level & 15, table, base + at, base + end))
+                at = end
+            elif marker == 0xFE:
                 self.payload = struct.unpack(">Q", body)[0]
             elif marker == 0xDD:
                 self.restart = struct.unpack(">H", body)[0]
             elif marker == 0xC2:
                 self.height, self.width = struct.unpack_from(">HH", body, 1)
                 self.parts = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(body[5])]
+                numbers = {p[0]: i for i, p in enumerate(self.parts)}
             elif marker == 0xC4:
                 tables[body[0]] = _known(body[1:])
             elif marker == 0xDB:
                 self.quant = body[1:65]
-            elif marker == 0xDA:
-                if body[0] != 1:
-                    raise ValueError("scans of several components are not supported")
-                end = int(markers[np.searchsorted(markers, base + at)]) - base
-                part = next(i for i, p in enumerate(self.parts) if p[0] == body[1])
-                table = tables.get(body[2] >> 4) if body[3] == 0 else tables.get(0x10 | body[2] & 15)
-                self.scans.append((part, body[3], body[4], body[5] >> 4, body[5] & 15, table, base + at, base + end))
-                at = end
         most = max(p[1] for p in self.parts), max(p[2] for p in self.parts)
         across, down = -(-self.width // (8 * most[0])), -(-self.height // (8 * most[1]))
         self.grid = [(across * p[1], down * p[2]) for p in self.parts]
         self.blocks = [a * d for a, d in self.grid]
 
 
-_TABLES: dict[bytes, tuple] = {DC[0]: DC, AC[0]: AC}
+_TABLES: dict[bytes, tuple] = {}
 
 
 def _known(body: bytes) -> tuple:
@@ -265,7 +276,7 @@ def _known(body: bytes) -> tuple:
                 out[3][code << (16 - last) : (code + 1) << (16 - last)] = s
                 out[4][code << (16 - last) : (code + 1) << (16 - last)] = last
                 code += 1
-            _TABLES[body] = tuple(out)
+            _TABLES[body] = (*out, _direct(*out[3:]))
     return _TABLES[body]
 
 
@@ -273,9 +284,10 @@ class Bits:
     """Bits of the data without stuffing, read at many places at once."""
 
     def __init__(self, data: np.ndarray):
-        padded = np.append(data, np.zeros(8, np.uint8)).astype(np.int64)
-        self.words = padded[:-3] << 24 | padded[1:-2] << 16 | padded[2:-1] << 8 | padded[3:]
-        self.data = data
+        self.data = np.append(data, np.zeros(16 + -len(data) % 4, np.uint8))
+        self.words = np.empty(len(self.data) - 4, np.int64)  # 32 bits from each byte on
+        for i in range(4):
+            self.words[i::4] = self.data[i : len(self.data) - 4 + i].view(">u4")
 
     def peek(self, at: np.ndarray) -> np.ndarray:
         """The next 24 bits."""
@@ -299,6 +311,23 @@ class Bits:
         return np.where(size == 0, 0, np.where(v >> np.maximum(size - 1, 0), v, v - (1 << size) + 1))
 
 
+DC = _table(dict.fromkeys(range(12), 4))
+AC = _table({s: 4 if s == 0 or s >> 4 == 0 and s <= 8 else 6 if s >> 4 == 1 and s & 15 <= 4 else 9 for s in [*(r << 4 | n for r in range(16) for n in range(1, 11)), *(r << 4 for r in range(16))]})
+_TABLES |= {DC[0]: DC, AC[0]: AC}
+
+
+def _pairs() -> np.ndarray:
+    """By two positive coefficients below 256, the first in the low byte: their bit string, times 32, and its length; a
+    zero stands for none."""
+    v = np.arange(256)
+    size = bit_size(v)
+    code, length = np.where(v > 0, AC[1][size] << size | v, 0), np.where(v > 0, AC[2][size] + size, 0)
+    return ((code[None, :] << length[:, None] | code[:, None]) << 5 | length[:, None] + length[None, :]).ravel().astype(np.uint32)
+
+
+PAIRS = _pairs()
+
+
 def scan_dc(bits: Bits, at: np.ndarray, block: np.ndarray, left: np.ndarray, coefs: np.ndarray, high: int, low: int, table: tuple) -> None:
     """Lanes are restart intervals: `left` blocks from `block`, with bits from `at`."""
     last = np.zeros(len(at), np.int64)
@@ -316,7 +345,21 @@ def scan_dc(bits: Bits, at: np.ndarray, block: np.ndarray, left: np.ndarray, coe
 
 
 def scan_ac(bits: Bits, at: np.ndarray, block: np.ndarray, left: np.ndarray, coefs: np.ndarray, start: int, stop: int, low: int, table: tuple) -> None:
-    k = np.full(len(at), start)
+    k = start
+    if (left == 1).all():  # as long as no run and no end comes, all lanes are at the same coefficient
+        found = np.empty((stop - start + 1, len(at)), coefs.dtype)
+        for row in found:
+            now = table[5][bits.words[at >> 3] >> 16 - (at & 7) & 0xFFFF]
+            length = now & 31
+            if not length.all():
+                break
+            row[:] = now >> 5
+            at = at + length
+            k += 1
+        coefs[block, start:k] = found[: k - start].T << low
+        if k > stop:
+            return
+    k = np.full(len(at), k)
     flat = coefs.reshape(-1)
     while len(at):
         symbol, at, ahead = bits.symbols(table, at)
@@ -360,12 +403,15 @@ def scan_refine(bits: Bits, at: np.ndarray, block: np.ndarray, left: np.ndarray,
             at[need] = after + np.where(end, r, s > 0)
         whole = np.flatnonzero((ends > 0) & (k == start))
         if len(whole):  # corrections alone: read a block's together where all its coefficients are known
-            whole = whole[(coefs[block[whole], start : stop + 1] != 0).all(axis=1)]
-        if len(whole):
-            spots = at[whole, None] + np.arange(width)
-            fix = bits.data[spots >> 3] >> (7 - (spots & 7)).astype(np.uint8) & 1
             some = coefs[block[whole], start : stop + 1]
-            coefs[block[whole], start : stop + 1] = some + np.sign(some) * (fix.astype(np.int64) << low)
+            known = (some != 0).all(axis=1)
+            if not known.all():
+                whole, some = whole[known], some[known]
+        if len(whole):
+            fix = np.unpackbits(bits.data[(at[whole] >> 3)[:, None] + np.arange((width + 14) // 8)], axis=1)
+            inside = at[whole] & 7
+            fix = fix[:, inside[0] : inside[0] + width] if (inside == inside[0]).all() else np.take_along_axis(fix, inside[:, None] + np.arange(width), 1)
+            coefs[block[whole], start : stop + 1] = some + np.sign(some) * (fix.astype(coefs.dtype) << low)
             at[whole] += width
             k[whole] = stop + 1
         rest = np.flatnonzero(k <= stop)
@@ -393,47 +439,89 @@ def scan_refine(bits: Bits, at: np.ndarray, block: np.ndarray, left: np.ndarray,
 
 def decode_coefficients(images: list[bytes]) -> tuple[list[Image], np.ndarray, np.ndarray]:
     """The images' headers, all coefficients in zigzag order, and where each image's blocks begin (one more at the end)."""
-    data = np.frombuffer(b"".join(images), np.uint8)
+    joined = b"".join(images)
+    data = np.frombuffer(joined, np.uint8)
     bases = np.cumsum([0, *map(len, images)])
     full = np.flatnonzero(data[:-1] == 255)
     following = data[full + 1]
-    real = full[(following != 0) & ((following < 0xD0) | (following > 0xD7)) & (following != 255)]
+    real = full[(following != 0) & ((following < 0xD0) | (following > 0xD7)) & (following != 255)].tolist()
     marks = full[(following >= 0xD0) & (following <= 0xD7)]
-    found = [Image(raw, int(b), real) for raw, b in zip(images, bases, strict=False)]
+    zeros = full[following == 0] + 1
+    bits = Bits(np.frombuffer(joined.replace(b"\xff\x00", b"\xff"), np.uint8))
+    found = [Image(raw, b, real) for raw, b in zip(images, bases.tolist(), strict=False)]
     begins = np.cumsum([0, *(sum(x.blocks) for x in found)])
-    coefs = np.zeros((int(begins[-1]), 64), np.int64)
-    keep = np.ones(len(data), bool)
-    keep[full[following == 0] + 1] = False
-    plain = np.concatenate([[0], np.cumsum(keep)])
-    bits = Bits(data[keep])
-    deepest = max((len(x.scans) for x in found), default=0)
-    for i in range(deepest):  # the i-th scans of all images, by what they hold
-        groups: dict[tuple, list] = {}
-        for image, begin in zip(found, begins, strict=False):
-            if i < len(image.scans):
-                part, *what, table, a, b = image.scans[i]
-                groups.setdefault((*what, id(table)), []).append((begin + sum(image.blocks[:part]), image.blocks[part], image.restart or image.blocks[part], a, b, table))
-        for (start, stop, high, low, _), scans in groups.items():
-            lanes = np.array([-(-n // every) for _, n, every, *_ in scans])
-            which = np.repeat(np.arange(len(scans)), lanes)
-            inner = np.arange(len(which)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
-            first, count, every, a, b = (np.array([s[j] for s in scans])[which] for j in range(5))
-            at = a.copy()
-            at[inner > 0] = marks[np.concatenate([np.arange(x, x + n - 1) for x, n in zip(np.searchsorted(marks, [s[3] for s in scans]), lanes, strict=True)]).astype(np.int64)] + 2
-            block, left = first + inner * every, np.minimum(every, count - inner * every)
-            args = (bits, plain[at] * 8, block, left, coefs)
-            if stop == 0:
-                scan_dc(*args, high, low, scans[0][5])
-            elif high:
-                scan_refine(*args, start, stop, low, scans[0][5])
-            else:
-                scan_ac(*args, start, stop, low, scans[0][5])
+    coefs = np.zeros((int(begins[-1]), 64), np.int16)  # as wide as coefficients of 8-bit and 12-bit images get
+    groups: dict[tuple, list] = {}  # the first scans of all components, the second ones, and so on, by what they hold
+    for image, begin in zip(found, begins.tolist(), strict=False):
+        firsts = [begin + sum(image.blocks[:i]) for i in range(len(image.blocks))]
+        turns = [0] * len(firsts)
+        for part, start, stop, high, low, table, a, _ in image.scans:
+            groups.setdefault((turns[part], start, stop, high, low, id(table)), []).append((firsts[part], image.blocks[part], image.restart or image.blocks[part], a, table))
+            turns[part] += 1
+    for (_, start, stop, high, low, _), scans in sorted(groups.items(), key=lambda g: g[0][0]):
+        first, count, every, a = (np.array(x) for x in list(zip(*scans, strict=True))[:4])
+        lanes = -(-count // every)
+        which = np.repeat(np.arange(len(scans)), lanes)
+        inner = np.arange(len(which)) - np.repeat(np.cumsum(lanes) - lanes, lanes)
+        later = inner > 0
+        at = a[which]
+        at[later] = marks[(np.searchsorted(marks, a)[which] + inner - 1)[later]] + 2
+        done = inner * every[which]
+        block, left = first[which] + done, np.minimum(every[which], count[which] - done)
+        args = (bits, (at - np.searchsorted(zeros, at)) * 8, block, left, coefs)
+        if stop == 0:
+            scan_dc(*args, high, low, scans[0][4])
+        elif high:
+            scan_refine(*args, start, stop, low, scans[0][4])
+        else:
+            scan_ac(*args, start, stop, low, scans[0][4])
     return found, coefs, begins
 
 
 #: The inverse transform of a block in zigzag order as a matrix, in whole 2 ** -12ths so that sums are exact.
 _WAVE = np.array([[np.sqrt((1 if u else 0.5) / 4) * np.cos((2 * x + 1) * u * np.pi / 16) for x in range(8)] for u in range(8)])
 INVERSE = np.rint(np.einsum("ux,vy->uvxy", _WAVE, _WAVE).reshape(64, 64)[ZIGZAG] * 4096)
+#: What a chroma sample adds to its pixels: to red, by cr, and to blue, by cb.
+RED, BLUE = ((factor * (np.arange(256) - 128) + 32768 >> 16).astype(np.int16) for factor in (91881, 116130))
+
+
+def samples_of(coefs: np.ndarray) -> np.ndarray:
+    """Blocks of samples. Single precision where all sums of 2 ** -12ths stay below its 24 bits, which it holds exactly."""
+    most = max(int(coefs.max(initial=0)), -int(coefs.min(initial=0))) * np.abs(INVERSE).sum(axis=0).max() + (1 << 20)
+    inverse = (INVERSE / 4096).astype(np.float32 if most < 1 << 24 else np.float64)
+    samples = np.empty(coefs.shape, np.uint8)
+    for begin in range(0, len(coefs), 2048):
+        wave = coefs[begin : begin + 2048].astype(inverse.dtype) @ inverse
+        wave += 128.5
+        samples[begin : begin + 2048] = np.clip(wave, 0, 255, out=wave)
+    return samples
+
+
+def halved_chroma(image: Image) -> bool:
+    return [p[1:] for p in image.parts] == [(2, 2), (1, 1), (1, 1)]
+
+
+def rgb_squares(images: list[Image], begins: np.ndarray, samples: np.ndarray) -> np.ndarray:
+    """Of images with halved chroma, given where their blocks begin: all squares of 16 x 16 pixels, row by row."""
+    across, down = np.array([x.grid[1] for x in images], np.int64).reshape(-1, 2).T
+    count = across * down
+    which = np.repeat(np.arange(len(images)), count)
+    number = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    cb = (begins + 4 * count)[which] + number
+    cr = cb + count[which]
+    out = np.empty((len(which), 8, 2, 8, 2, 3), np.uint8)
+    for some in (slice(i, i + 512) for i in range(0, len(which), 512)):
+        wide = across[which[some]]
+        row, column = np.divmod(number[some], wide)
+        first = begins[which[some]] + 4 * row * wide + 2 * column
+        y = samples[first[:, None, None] + np.array([0, 1]) + 2 * wide[:, None, None] * np.array([[0], [1]])]
+        y = y.reshape(-1, 2, 2, 8, 8).swapaxes(2, 3).reshape(-1, 8, 2, 8, 2).astype(np.int16)
+        blue, red = samples[cb[some]], samples[cr[some]]
+        green = 22554 * (blue.astype(np.int32) - 128) + 46802 * (red.astype(np.int32) - 128) - 32768 >> 16
+        for c, add in enumerate((RED[red], -green.astype(np.int16), BLUE[blue])):
+            pixels = y + add.reshape(-1, 8, 1, 8, 1)
+            out[some, ..., c] = np.clip(pixels, 0, 255, out=pixels)
+    return out.reshape(-1, 16, 16, 3)
 
 
 def rgb_of(image: Image, samples: np.ndarray) -> np.ndarray:
@@ -455,15 +543,22 @@ def decode_images(images: list[bytes]) -> Iterator[tuple[bytes, np.ndarray]]:
     """The payload and the RGB tensor of each image."""
     found, coefs, begins = decode_coefficients(images)
     stored = (coefs - SHIFT).astype(np.uint8).tobytes()
-    for image, a, b in zip(found, begins[:-1], begins[1:], strict=True):
-        if image.quant != bytes([1] * 64):
+    if any(x.quant != bytes([1] * 64) for x in found):
+        coefs = coefs.astype(np.int32)
+        for image, a, b in zip(found, begins[:-1], begins[1:], strict=True):
             coefs[a:b] *= np.frombuffer(image.quant, np.uint8)
-    samples = np.empty(coefs.shape, np.uint8)
-    for begin in range(0, len(coefs), 4096):
-        wave = coefs[begin : begin + 4096].astype(np.float64) @ INVERSE
-        samples[begin : begin + 4096] = np.clip(np.floor((wave + 2048) / 4096) + 128, 0, 255)
-    for image, a, b in zip(found, begins[:-1], begins[1:], strict=True):
-        yield stored[a * 64 : a * 64 + image.payload], rgb_of(image, samples[a:b])
+    samples = samples_of(coefs)
+    usual = [halved_chroma(x) for x in found]
+    squares = rgb_squares([x for x, u in zip(found, usual, strict=True) if u], begins[:-1][usual], samples)
+    at = 0
+    for image, u, a, b in zip(found, usual, begins[:-1].tolist(), begins[1:].tolist(), strict=True):
+        if u:
+            across, down = image.grid[1]
+            rgb = squares[at : at + across * down].reshape(down, across, 16, 16, 3).swapaxes(1, 2).reshape(16 * down, 16 * across, 3)[: image.height, : image.width]
+            at += across * down
+        else:
+            rgb = rgb_of(image, samples[a:b])
+        yield stored[a * 64 : a * 64 + image.payload], rgb
 
 
 #: How a table of images is packed: codes of whole bits leave little to other codecs.
@@ -474,6 +569,16 @@ def padded(text: bytes) -> bytes:
     return text + bytes(-len(text) % 64 or (0 if text else 64))
 
 
+def channel_sums(rgb: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sums and sums of squares of a tensor's channels, by pieces whose sums fit into 32 bits."""
+    pixels, total, square = rgb.reshape(-1, 3), np.zeros(3, np.int64), np.zeros(3, np.int64)
+    for begin in range(0, len(pixels), 1 << 15):
+        some = np.ascontiguousarray(pixels[begin : begin + (1 << 15)].T).astype(np.uint32)
+        total += some.sum(axis=1, dtype=np.int64)
+        square += np.einsum("ij,ij->i", some, some)
+    return total, square
+
+
 def with_media(docs: DataFrame, text: str = "text", media: str = "media") -> DataFrame:
     """`docs` with the binary column `media`: the text's UTF-8 bytes, filled up with zeros to a positive multiple of 64,
     as a progressive JPEG image. Null texts count as empty; equal texts give equal images."""
@@ -510,9 +615,8 @@ def decoded_media(docs: DataFrame, media: str = "media", tensors: bool = True) -
                         c.append(None)
                     continue
                 payload, rgb = next(found)
-                pixels = rgb.reshape(-1, 3)
-                total, square = pixels.sum(axis=0, dtype=np.int64), np.einsum("ij,ij->j", pixels, pixels, dtype=np.int64)
-                n = len(pixels)
+                n = rgb.shape[0] * rgb.shape[1]
+                total, square = channel_sums(rgb)
                 values = [f"{int(t) / n:.3f}/{np.sqrt(int(n * int(q) - int(t) ** 2)) / n:.3f}" for t, q in zip(total, square, strict=True)]
                 for name, value in zip(columns, (payload, rgb.shape[0], rgb.shape[1], ",".join(values), rgb.tobytes() if tensors else None), strict=False):
                     columns[name].append(value)
