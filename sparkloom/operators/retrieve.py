@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from typing import NamedTuple
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.functions import paths
 
@@ -22,8 +18,6 @@ from .vector_index import VectorIndex
 TOP_K, POOL, MIN_SCORE, MIN_RERANK = 5, 60, 0.5, 0.0
 # Ids of records that aren't chunks.
 CONTROL_IDS = ("__manifest__", "__backfill_manifest__")
-#: Scores of a pair of blocks that a task holds at a time.
-SCORES = 4 << 20
 
 
 def clamp_top_k(k: int | None) -> int:
@@ -43,37 +37,14 @@ def dot(a: Column, b: Column) -> Column:
 def similar(queries: DataFrame, vectors: DataFrame, k: int | None = None, floor: float | None = None, query_id: str = "query_id", id_: str = "vec_id", vector: str = "vector") -> DataFrame:
     """query_id, vec_id, score of each query's k best vectors, or of all that reach `floor`.
 
-    Both sides are packed into blocks and joined by key: the vectors are dealt over the shuffle's partitions, the queries
-    are copied to each. A pair of blocks is one matrix product; a task keeps its own k best for each query, so what is
-    shuffled for the final ranking is small. Nothing is collected. Null vectors are left out; vectors of another length
-    than a query's don't meet it.
+    Queries and vectors are dealt into tiles; a task scores its tile by matrix products and keeps each query's k best, so
+    what is shuffled for the final ranking is small. Nothing is collected. Null vectors are left out; vectors of another
+    length than a query's don't meet it.
     """
-    spark = vectors.sparkSession
-    q_type, v_type = queries.schema[query_id].dataType, vectors.schema[id_].dataType
-    schema = f"query_id {q_type.simpleString()}, vec_id {v_type.simpleString()}, score double"
-    kinds = (to_arrow_type(q_type), to_arrow_type(v_type))
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    pairs = blocks.met(blocks.packed(queries, query_id, vector, ("asking", "sought")), blocks.packed(vectors, id_, vector), parts)
-
-    def out(q: pa.Array, v: pa.Array, score: np.ndarray) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([q.cast(kinds[0]), v.cast(kinds[1]), pa.array(score)], names=["query_id", "vec_id", "score"])
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                dim = batch.column("dim")[row].as_py()
-                q, v = (blocks.matrix(batch.column(c)[row].as_buffer(), dim) for c in ("sought", "flat"))
-                names, ids = (batch.column(c)[row].values for c in ("asking", "ids"))
-                step = max(1, SCORES // max(1, len(v)))
-                for at in range(0, len(q), step):
-                    scores = np.round(q[at : at + step] @ v.T, 6) + 0.0
-                    keep = np.ones(scores.shape, bool) if floor is None else scores >= floor
-                    if k is not None and scores.shape[1] > k:
-                        keep &= scores >= np.partition(scores, -k, axis=1)[:, [-k]]
-                    i, j = np.nonzero(keep)
-                    yield out(names.take(pa.array(i + at)), ids.take(pa.array(j)), scores[i, j])
-
-    found = pairs.select("dim", "asking", "sought", "ids", "flat").mapInArrow(scored, schema)
+    asked = queries.select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector"))
+    rows = vectors.select(F.col(id_).alias("id"), F.col(vector).alias("vector"))
+    kinds = (asked.schema["query_id"].dataType.simpleString(), rows.schema["id"].dataType.simpleString())
+    found = blocks.nearest(blocks.dealt(asked, rows, k, ("id",)), blocks.compared(floor), k, kinds).withColumnRenamed("id", "vec_id")
     if k is None:
         return found
     best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))

@@ -2,12 +2,14 @@
 
 Coarse centroids cut the vectors into cells. What is left of a vector beyond its centroid is cut into subspaces, each
 quantised by a codebook of its own, so a vector is one byte a subspace. A query probes the cells whose centroids it likes
-best, ranks their codes by sums of table entries, and the short list is scored exactly with the vectors themselves.
+best, scores what their codes stand for, and the short list is scored exactly with the vectors themselves.
 
 Centroids and codebooks are fitted on a bounded sample (`FIT` vectors with the smallest hashes of ids); every vector is
 coded. How many cells to probe and how long the short list must be is measured on held-out vectors (`HELD`), so that
-`recall` of their nearest ones stay in reach. Codes lie in Parquet, in blocks sorted by cell; queries and blocks are joined by
-cell on the executors, and no query is collected.
+`recall` of their nearest ones stay in reach. Codes lie in Parquet, in blocks sorted by cell. For a search they are joined with
+the vectors that there are and dealt into tiles (`blocks`); how well a code must score for a query's short list is read off
+the codes of the vectors that the codec was fitted on. So a short list is scored where its vectors are, and neither probes
+nor short lists are shuffled, whose rows would grow with the square of the vectors.
 """
 
 from __future__ import annotations
@@ -18,10 +20,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 
 from sparkloom.sources.scratch import discarded, stored
 
+from . import blocks
+
 FIT, HELD = 16_384, 1_024
 #: Vectors of a cell on average, cells at most, bits of a code's byte.
 PER_CELL, CELLS = 256, 4096
@@ -55,6 +58,8 @@ class Codec:
     def __init__(self, coarse: np.ndarray, books: np.ndarray) -> None:
         self.coarse, self.books = coarse, books  # cells x dim, subspaces x entries x width
         self.probes, self.short = len(coarse), 1.0
+        #: Cells and codes of fitted vectors, and how many of them a short list holds for each result; none: not measured.
+        self.sample, self.listed = (np.zeros(0, np.int32), np.zeros((0, len(books)), np.uint8)), 0.0
 
     def _parts(self, x: np.ndarray) -> np.ndarray:
         m, _, width = self.books.shape
@@ -66,15 +71,25 @@ class Codec:
         parts = self._parts(x - self.coarse[cells])
         return cells, np.stack([_assigned(parts[:, m], self.books[m]) for m in range(len(self.books))], 1).astype(np.uint8)
 
-    def tables(self, q: np.ndarray) -> np.ndarray:
-        """What each entry of each codebook adds to a query's inner product: queries x subspaces x entries."""
-        return np.einsum("qmw,mew->qme", self._parts(q), self.books)
-
-    def probed(self, q: np.ndarray, probes: int | None = None) -> np.ndarray:
-        """The cells that each query likes best."""
-        likes = q @ self.coarse.T
-        n = min(self.probes if probes is None else probes, len(self.coarse))
-        return np.argpartition(-likes, n - 1, axis=1)[:, :n]
+    def decoded(self, cells: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """The vectors that codes stand for."""
+        parts = self.books[np.arange(codes.shape[1]), codes]
+        return self.coarse[cells] + parts.reshape(len(parts), -1)[:, : self.coarse.shape[1]]
+
+    def reach(self, q: np.ndarray) -> np.ndarray:
+        """How much each query likes the last of the cells that it probes."""
+        if self.probes >= len(self.coarse):
+            return np.full(len(q), -np.inf)
+        last = -np.partition(-(q @ self.coarse.T), self.probes - 1, axis=1)[:, self.probes - 1]
+        return last - 1e-9 * np.abs(last)
+
+    def floors(self, q: np.ndarray, k: int) -> np.ndarray:
+        """The score that a code must reach for the short list of each query's k best."""
+        n = max(k, int(np.ceil(self.listed * k)))
+        if not self.listed or n >= len(self.sample[0]):
+            return np.full(len(q), -np.inf)
+        rough, step = self.decoded(*self.sample), max(1, blocks.SCORES // len(self.sample[0]))
+        return np.concatenate([np.zeros(0), *[np.partition(q[at : at + step] @ rough.T, -n, axis=1)[:, -n] for at in range(0, len(q), step)]])
 
     @classmethod
     def trained(cls, x: np.ndarray, size: int, k: int, recall: float) -> Codec:
@@ -104,12 +119,10 @@ class Codec:
         place = np.argsort(np.argsort(-likes, axis=1), axis=1)
         share = 1 - (1 - recall) / 2
         self.probes = int(np.quantile(np.take_along_axis(place, cells[best], 1), share, method="higher")) + 1
-        rank = np.empty(best.shape)
-        for i in range(len(held)):
-            table = self.tables(held[i : i + 1])[0]
-            rough = likes[i][cells] + table[np.arange(len(table)), codes].sum(1)
-            rank[i] = (rough[None] > rough[best[i]][:, None]).sum(1)
-        self.short = float(np.quantile(rank, share, method="higher") + 1) * max(1.0, size / len(fit)) / k
+        rough = held @ self.decoded(cells, codes).T
+        rank = np.stack([(r[None] > r[b][:, None]).sum(1) for r, b in zip(rough, best, strict=True)])
+        self.sample, self.listed = (cells.astype(np.int32), codes), float(np.quantile(rank, share, method="higher") + 1) / k
+        self.short = self.listed * max(1.0, size / len(fit))
 
 
 class VectorIndex:
@@ -137,13 +150,14 @@ class VectorIndex:
         row = spark.read.parquet(f"{path}/codec").first()
         coarse = np.frombuffer(row["coarse"], np.float64).reshape(-1, row["dim"])
         codec = Codec(coarse, np.frombuffer(row["books"], np.float64).reshape(row["subspaces"], -1, row["width"]))
-        codec.probes, codec.short = row["probes"], row["short"]
+        codec.probes, codec.short, codec.listed = row["probes"], row["short"], row["listed"]
+        codec.sample = (np.frombuffer(row["cells"], np.int32), np.frombuffer(row["codes"], np.uint8).reshape(-1, row["subspaces"]))
         return cls(spark, path, codec, row["id"], row["kind"])
 
     def _note(self) -> None:
         c = self.codec
-        row = (bytearray(c.coarse.astype(np.float64).tobytes()), bytearray(c.books.astype(np.float64).tobytes()), c.coarse.shape[1], c.books.shape[0], c.books.shape[2], c.probes, c.short, self.id, self.kind)
-        self.spark.createDataFrame([row], "coarse binary, books binary, dim int, subspaces int, width int, probes int, short double, id string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/codec")
+        row = (bytearray(c.coarse.astype(np.float64).tobytes()), bytearray(c.books.astype(np.float64).tobytes()), c.coarse.shape[1], c.books.shape[0], c.books.shape[2], c.probes, c.short, c.listed, bytearray(c.sample[0].tobytes()), bytearray(c.sample[1].tobytes()), self.id, self.kind)
+        self.spark.createDataFrame([row], "coarse binary, books binary, dim int, subspaces int, width int, probes int, short double, listed double, cells binary, codes binary, id string, kind string").coalesce(1).write.mode("overwrite").parquet(f"{self.path}/codec")
 
     def add(self, vectors: DataFrame, vector: str = "vector", mode: str = "append") -> None:
         """Code more vectors; those that are no more needn't be taken out, since the short list is joined with what there is."""
@@ -157,66 +171,40 @@ class VectorIndex:
         rows = vectors.where(F.col(vector).isNotNull()).select(self.id, vector).mapInArrow(code, f"id {self.kind}, cell int, code binary")
         rows = stored(rows)
         sizes = F.broadcast(rows.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("n")))  # a row for each of CELLS cells at most
-        blocks = rows.join(sizes, "cell").groupBy("cell", F.pmod(F.xxhash64("id"), "n").alias("block")).agg(F.collect_list(F.struct("id", "code")).alias("held"))
-        blocks.repartitionByRange("cell").sortWithinPartitions("cell").write.mode(mode).parquet(f"{self.path}/blocks")
+        held = rows.join(sizes, "cell").groupBy("cell", F.pmod(F.xxhash64("id"), "n").alias("block")).agg(F.collect_list(F.struct("id", "code")).alias("held"))
+        held.repartitionByRange("cell").sortWithinPartitions("cell").write.mode(mode).parquet(f"{self.path}/blocks")
         discarded(rows)
 
     def search(self, queries: DataFrame, vectors: DataFrame, k: int, query_id: str = "query_id", vector: str = "vector") -> DataFrame:
         """query_id, id, score (to six digits), rank: the k best of `vectors` that the index finds for each query."""
         shared, dim = self.shared, self.codec.coarse.shape[1]
-        keep = max(k, int(np.ceil(self.codec.short * k)))
-        asked = queries.where(F.col(vector).isNotNull()).select(F.col(query_id).alias("q"), F.col(vector).alias("v"))
-        q_kind, v_kind = (asked.schema[c].dataType for c in ("q", "v"))
+        asked = queries.where(F.size(vector) == dim).select(F.col(query_id).alias("query_id"), F.col(vector).alias("vector"))
+        live = vectors.where(F.size(vector) == dim).select(F.col(self.id).alias("id"), F.col(vector).alias("vector"))
+        q_kind, id_kind = asked.schema["query_id"].dataType.simpleString(), live.schema["id"].dataType.simpleString()
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    q = np.asarray(batch.column(1).flatten(), np.float64).reshape(-1, dim)
-                    cells = shared.value.probed(q)
-                    again = pa.array(np.repeat(np.arange(len(q)), cells.shape[1]))
-                    yield pa.RecordBatch.from_arrays([pa.array(cells.ravel(), pa.int32()), batch.column(0).take(again), batch.column(1).take(again)], ["cell", "q", "v"])
-
-        probes = stored(asked.mapInArrow(probe, f"cell int, q {q_kind.simpleString()}, v {v_kind.simpleString()}"))
-        groups = F.broadcast(probes.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK).alias("n")))  # a row for each of CELLS cells at most
-        asking = probes.join(groups, "cell").groupBy("cell", F.pmod(F.xxhash64("q"), "n").alias("group")).agg(F.collect_list(F.struct("q", "v")).alias("asking"))
-        met = self.spark.read.parquet(f"{self.path}/blocks").select("cell", "held").join(asking.select("cell", "asking"), "cell")
-        id_type, q_type = to_arrow_type(vectors.schema[self.id].dataType), to_arrow_type(q_kind)
-
-        def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            best: dict = {}
-
-            def out() -> pa.RecordBatch:
-                names = [q for q, (_, found) in best.items() for _ in range(len(found))]
-                rough, found = (np.concatenate([b[i] for b in best.values()]) for i in (0, 1))
-                return pa.RecordBatch.from_arrays([pa.array(names, q_type), pa.array(found.tolist(), id_type), pa.array(rough)], ["query_id", "id", "rough"])
-
-            for batch in batches:
-                for row in range(batch.num_rows):
-                    held, asking = (batch.column(c).slice(row, 1).flatten() for c in ("held", "asking"))
-                    ids = np.array(held.field("id").to_pylist(), object)
-                    codes = np.frombuffer(b"".join(held.field("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-                    q = np.asarray(asking.field("v").flatten(), np.float64).reshape(-1, dim)
-                    names = asking.field("q").to_pylist()
-                    cell = batch.column("cell")[row].as_py()
-                    tables, near = shared.value.tables(q), q @ shared.value.coarse[cell]
-                    for i, name in enumerate(names):
-                        rough = near[i] + tables[i][np.arange(codes.shape[1]), codes].sum(1)
-                        old = best.get(name)
-                        found = ids if old is None else np.concatenate([old[1], ids])
-                        rough = rough if old is None else np.concatenate([old[0], rough])
-                        if len(rough) > keep:
-                            top = np.argpartition(-rough, keep - 1)[:keep]
-                            rough, found = rough[top], found[top]
-                        best[name] = (rough, found)
-                    if len(best) * keep > 4_000_000:
-                        yield out()
-                        best.clear()
-            if best:
-                yield out()
-
-        listed = met.mapInArrow(rank, f"query_id {q_kind.simpleString()}, id {self.kind}, rough double")
-        first = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("rough"), "id"))
-        short = listed.withColumn("n", first).where(F.col("n") <= keep).select("query_id", "id")
-        full = short.join(vectors.select(F.col(self.id).alias("id"), F.col(vector).alias("x")), "id").join(asked.withColumnRenamed("q", "query_id"), "query_id")
-        score = F.round(F.aggregate(F.zip_with("x", "v", lambda a, b: a.cast("double") * b.cast("double")), F.lit(0.0), lambda s, a: s + a), 6) + F.lit(0.0)
-        return full.select("query_id", F.col("id").alias(self.id), score.alias("score")).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), self.id))).where(F.col("rank") <= k)
+                q = blocks.matrix(batch.column(1)) if batch.num_rows else np.zeros((0, dim))
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shared.value.reach(q)), pa.array(shared.value.floors(q, k))], ["query_id", "vector", "reach", "floor"])
+
+        def ranked(asking: blocks.Asking, run: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+            x, ids, cells = blocks.matrix(run.column("vector")), run.column("id"), np.asarray(run.column("cell"))
+            codes = np.frombuffer(b"".join(run.column("code").to_pylist()), np.uint8).reshape(len(cells), -1)
+            rough = shared.value.decoded(cells, codes).astype(np.float32)
+            who = np.flatnonzero(asking.q @ shared.value.coarse[cells[0]] >= asking.column["reach"])
+            step = max(1, blocks.SCORES // len(x))
+            for at in range(0, len(who), step):
+                own = who[at : at + step]
+                q, low = asking.q[own], asking.low(own)
+                floor = np.where(np.isneginf(low), low, asking.column["floor"][own])  # a query without k vectors takes any
+                i, j = np.nonzero(q.astype(np.float32) @ rough.T >= floor.astype(np.float32)[:, None])
+                scores = blocks.paired(q, x, i, j)
+                some = scores >= low[i]
+                yield from asking.offer(own[i[some]], ids.take(pa.array(j[some])), scores[some])
+
+        asking = asked.mapInArrow(probe, f"query_id {q_kind}, vector {asked.schema['vector'].dataType.simpleString()}, reach double, floor double")
+        codes = self.spark.read.parquet(f"{self.path}/blocks").select("cell", "block", F.explode("held").alias("h")).select("cell", "block", "h.id", "h.code")
+        tiles = blocks.dealt(asking, codes.join(live, "id"), k, ("cell", "block"), ("cell",))
+        found = blocks.nearest(tiles, ranked, k, (q_kind, id_kind), ("cell",))
+        best = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "id"))
+        return found.withColumn("rank", best).where(F.col("rank") <= k).select("query_id", F.col("id").alias(self.id), "score", "rank")

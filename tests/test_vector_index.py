@@ -70,3 +70,53 @@ def test_retrieval_by_status(spark, tmp_path):
     assert retrieve.confident(F.lit(0.6), False) is not None
     flags = spark.range(1).select(retrieve.confident(F.lit(0.6), False).alias("a"), retrieve.confident(F.lit(0.4), False).alias("b"), retrieve.confident(F.lit(0.0), True).alias("c"), retrieve.confident(F.lit(None).cast("double"), True).alias("d")).first()
     assert tuple(flags) == (True, False, True, False)
+
+
+def on_disk(folder):
+    """Bytes below the folder of shuffles and scratch tables."""
+    import os
+
+    sizes = 0
+    for d, _, names in os.walk(folder):
+        for name in names:
+            try:
+                sizes += os.path.getsize(os.path.join(d, name))
+            except OSError:  # a file may go meanwhile
+                pass
+    return sizes
+
+
+def test_searches_move_vectors_and_not_pairs(spark, tmp_path):
+    x = unit(np.random.default_rng(6).normal(size=(6000, 16)))
+    table(spark, x).write.parquet(str(tmp_path / "x"))
+    rows = spark.read.parquet(str(tmp_path / "x"))
+    sought = rows.where("vec_id % 2 = 0").select(F.col("vec_id").alias("query_id"), "vector")
+    index = VectorIndex.built(rows, str(tmp_path / "i"))
+    folder = spark.conf.get("spark.checkpoint.dir").removeprefix("file:")
+    before = on_disk(folder)
+    assert retrieve.similar(sought, rows, 10).count() == index.search(sought, rows, 10).count() == 30000
+    assert on_disk(folder) - before < 10 * x.nbytes
+
+
+def test_tiles_of_few_queries_and_many_equal_vectors(spark, tmp_path, monkeypatch):
+    from sparkloom.operators import blocks
+
+    monkeypatch.setattr(blocks, "QUERY_BYTES", 10_000)
+    draw = np.random.default_rng(7)
+    x = unit(draw.normal(size=(900, 6)))
+    x[100:800] = x[0]
+    names = [f"v{i:04d}" for i in draw.permutation(900)]
+    rows = spark.createDataFrame([(n, v.tolist()) for n, v in zip(names, x, strict=True)], "vec_id string, vector array<float>").repartition(3)
+    sought = spark.createDataFrame([(i, x[i].tolist()) for i in range(0, 100, 2)] + [(100, None), (101, []), (102, [1.0])], "query_id int, vector array<double>")
+    tiles = blocks.dealt(sought, rows.withColumnRenamed("vec_id", "id"), 10, ("id",))
+    assert tiles.select("tile").distinct().count() == 4
+    want = set()
+    for q in range(0, 100, 2):
+        score = np.round(np.float32(x).astype(float) @ x[q], 6) + 0.0
+        want |= {(q, rank + 1, names[v], score[v]) for rank, v in enumerate(sorted(range(900), key=lambda v: (-score[v], names[v]))[:10])}
+    found = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in retrieve.similar(sought, rows, 10).collect()}
+    assert found == want
+    index = VectorIndex.built(rows, str(tmp_path / "i"), recall=1.0)
+    got = {(r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in index.search(sought, rows, 10).collect()}
+    assert len(got) == 500 and len(got & want) >= 475
+    assert {r for r in got if r[0] == 0} == {r for r in want if r[0] == 0}
