@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .repeats import has_tandem
+from .repeats import has_passage, has_tandem
 
 # Rewrites of one line of marked-up text, in order.
 LINE_RULES = [(r"<[^>]+>", " "), (r"\{[^}]+\}", " "), (r"!\[[^\]]*\]\([^)]+\)", " "), (r"\[([^\]]+)\]\([^)]+\)", r"$1"), (r"^import\s+.+$", " "), (r"\s+", " ")]
@@ -89,16 +89,21 @@ def unique_word_share(text: Column) -> Column:
 
 def repeated_gram(text: Column, n: int = 18, times: int = 3) -> Column:
     """Whether some run of n characters occurs `times` times: a longer run that does contains one of n that does."""
-    cut = lambda letters: F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(letters) - n + 1)), lambda i: F.array_join(F.slice(letters, i, n), ""))
-    # one-element arrays name what would otherwise be computed again for each position
-    grams = F.transform(F.array(F.split(F.lower(text), "")), lambda letters: F.sort_array(cut(letters)))
-    pairs = F.transform(grams, lambda g: F.zip_with(g, F.slice(g, F.lit(times), F.greatest(F.lit(1), F.size(g))), lambda a, b: a == b))
-    return (F.length(text) >= n + times - 1) & F.exists(F.element_at(pairs, 1), lambda same: F.coalesce(same, F.lit(False)))
+    return _repeated_gram(text, F.lower(text), n, times)
+
+
+def _repeated_gram(text: Column, low: Column, n: int = 18, times: int = 3) -> Column:
+    return (F.length(text) >= n + times - 1) & has_passage(n, times)(low)
 
 
 def few_words(text: Column) -> Column:
     """Ten words or more, of which less than four in ten are distinct."""
-    return (F.size(F.split(F.lower(text), r"\s+")) >= 10) & (unique_word_share(text) < 0.4)
+    return _few_words(F.lower(text))
+
+
+def _few_words(low: Column) -> Column:
+    words = F.split(low, r"\s+")
+    return (F.size(words) >= 10) & (F.size(F.array_distinct(words)) / F.size(words) < 0.4)
 
 
 def flaws(text: Column) -> Column:
@@ -109,6 +114,16 @@ def flaws(text: Column) -> Column:
     return F.struct(*[F.coalesce(flag, F.lit(False)).alias(name) for name, flag in flags.items()])
 
 
+def with_flaws(rows: DataFrame, text: str = "text") -> DataFrame:
+    """`rows` with the fields of flaws() in place of a text; what several of them need is made once, in a column of its own."""
+    rest, t, low = [c for c in rows.columns if c != text], F.col("__text"), F.col("__low")
+    rows = rows.select(*rest, trimmed(F.col(text)).alias("__text"))
+    rows = rows.select(*rest, t.rlike(r"^\[\d+\]").alias("__cited"), F.regexp_replace(t, r"^\[\d+\]\s*", "").alias("__text"))
+    rows = rows.select(*rest, "__cited", "__text", F.lower(t).alias("__low"))
+    flags = {"short": F.length(t) < 8, "cited": F.col("__cited"), "tandem": has_tandem(t), "repeated_gram": _repeated_gram(t, low), "few_words": _few_words(low)}
+    return rows.select(*rest, *[F.coalesce(flag, F.lit(False)).alias(name) for name, flag in flags.items()])
+
+
 def malformed(text: Column) -> Column:
     """Text that a generator should not have written: any of its flaws()."""
     found = flaws(text)

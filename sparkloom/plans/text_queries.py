@@ -250,7 +250,7 @@ def generation_flaws(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Its SQL would compare all pairs of neighbouring blocks of every text, for minutes; tests hold it against the pattern.
     """
-    return table(spark, sf_dir, "documents").select("doc_id", text.flaws(F.col("text")).alias("f")).select("doc_id", "f.*")
+    return text.with_flaws(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 MACHINES = {

@@ -49,3 +49,48 @@ def test_flaws_of_every_kind(spark):
     assert len(got) == len(rows)
     for r in got:
         assert (tuple(r["f"]), r["m"]) == (brute(rows[r["i"]]), any(brute(rows[r["i"]]))), rows[r["i"]]
+
+
+def test_slices_of_texts_of_all_kinds(monkeypatch):
+    from collections import Counter
+
+    import pyarrow as pa
+
+    monkeypatch.setattr(repeats, "SLICE", 500)
+    monkeypatch.setattr(repeats, "DOC_BITS", 3)
+    draw = random.Random(9)
+    texts = [None, "", "x" * 36, "é" * 36, "x" * 35, None]
+    for n in range(1500):
+        letters = draw.choice(["ab", "abcdefgh ", "aé€😀"])
+        unit = "".join(draw.choice(letters) for _ in range(draw.randrange(1, 40)))
+        between = ["".join(draw.choice(letters) for _ in range(draw.randrange(0, 25))) for _ in range(4)]
+        texts.append(between[0] + unit * draw.randrange(1, 4) + between[1] + unit * draw.randrange(0, 3) + between[2] + unit + between[3])
+    whole = pa.array(["before", *texts])
+    tandem = [re.search(r"([\s\S]{12,}?)\1{2,}", t or "") is not None for t in texts]
+    again = [max(Counter((t or "")[i : i + 18] for i in range(max(1, len(t or "") - 17))).values()) >= 3 and len(t or "") >= 20 for t in texts]
+    assert 100 < sum(tandem) < 1400 and 100 < sum(again) < 1400
+    for given in (whole.slice(1), pa.array(texts, pa.large_string())):
+        assert repeats._flagged(given, repeats._tandems).to_pylist() == tandem
+        assert repeats._flagged(given, lambda part: repeats._come_again(part, 18, 3)).to_pylist() == again
+    monkeypatch.setattr(repeats._Slice, "keys", lambda part, n: (lambda at, _: (at, part.text[at].astype("uint64")))(*part.hashed(n, repeats.np.uint64)))
+    assert repeats._flagged(whole.slice(1), lambda part: repeats._come_again(part, 18, 3)).to_pylist() == again  # with one hash for all
+
+
+def test_flaws_of_a_table_in_time(spark):
+    """Against what takes each word of each text once: four times as long here, 28 times with a string for each place."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.plans import text_queries
+
+    at = "/root/testdata/sf0.1"
+    words = lambda s, at: text_queries.table(s, at, "documents").select("doc_id", F.size(F.array_distinct(F.split(F.lower("text"), r"\s+"))))
+
+    def took(query):
+        began = time.perf_counter()
+        query(spark, at).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - began
+
+    text_queries.generation_flaws(spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    words(spark, "/root/testdata/sf0.01").write.format("noop").mode("overwrite").save()
+    plain, flaws = max(took(words), took(words)), took(text_queries.generation_flaws)
+    assert flaws < 10 * plain
